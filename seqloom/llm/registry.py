@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import license_scan, media_columns, token_codec
+from seqloom.llm import language_id, license_scan, media_columns, quality, token_codec, toxicity
 
-_MODULES = (license_scan, media_columns, token_codec)
+_MODULES = (license_scan, media_columns, token_codec, language_id, toxicity, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
