@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontamination, language_id, license_scan, media_columns, quality, token_codec, toxicity
+from seqloom.llm import decontamination, language_id, license_scan, media_columns, quality, substring_dedup, token_codec, toxicity, url_filter
 
-_MODULES = (license_scan, media_columns, token_codec, language_id, toxicity, decontamination, quality)
+_MODULES = (license_scan, url_filter, media_columns, token_codec, language_id, substring_dedup, toxicity, decontamination, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
