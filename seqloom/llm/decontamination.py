@@ -145,29 +145,29 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
     return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = BLOCK_BYTES) -> DataFrame:
     """Search whole texts for windows of benchmark items.
 
-    Returns one row for each row (repeated rows stay repeated): doc_id, n_words, n_hit (words inside an occurrence), n_items
-    and item_ids (items with an occurring window, sorted as strings), runs ([first, last) word numbers of what is hit).
-    A null or wordless text has no words and no hits; null items and items without words have no windows, and items with a
-    null id are left out; items that share an id count as one. An empty benchmark hits nothing, an empty table gives none.
-    Other columns are ignored, whatever their names.
+    Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, n_words, n_hit (words
+    inside an occurrence), n_items and item_ids (items with an occurring window, sorted as strings), runs ([first, last) word
+    numbers of what is hit). A null or wordless text has no words and no hits; null items and items without words have no
+    windows, and items with a null id are left out; items that share an id count as one. An empty benchmark hits nothing, an
+    empty table gives none. Other columns are ignored, whatever their names; a carried column must not have a name from above.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    spark, keep = docs.sparkSession, len(carry)
+    run_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     parts = blocks_of(benchmark, most=most)
+    out = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text"))
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in out.schema.fields[:keep])
     for k, part in enumerate(parts):
         shipped = spark.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in part.collect()]))  # bounded by `most`
-        last = k == len(parts) - 1
-        run_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
             own = shipped.value
             for batch in batches:
-                texts = batch.column(1)
+                texts = batch.column(keep)
                 words, runs, items = [], [], []
-                earlier = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True) if k else [((), ())] * batch.num_rows
+                earlier = zip(batch.column(keep + 2).to_pylist(), batch.column(keep + 3).to_pylist(), strict=True) if k else [((), ())] * batch.num_rows
                 for value, (old_runs, old_items) in zip(texts, earlier, strict=True):
                     n, r, i = own.judge(value.as_py())
                     if k:
@@ -177,11 +177,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     runs.append([{"first": a, "last": b} for a, b in r])
                     items.append(sorted(map(str, i)))
                 texts = pa.nulls(batch.num_rows, pa.string()) if last else texts
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string()))], ["doc_id", "_text", "n_words", "runs", "item_ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], texts, pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[: keep + 1], "n_words", "runs", "item_ids"])
 
-        out = out.mapInArrow(run, "doc_id long, _text string, n_words long, runs array<struct<first:long,last:long>>, item_ids array<string>")
+        out = out.mapInArrow(run, types + "_text string, n_words long, runs array<struct<first:long,last:long>>, item_ids array<string>")
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "runs")
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(*own, "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "runs")
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Components of documents whose shingle sets have a Jaccard similarity of at least numerator / denominator.
 
     Returns one row for each row (repeated rows stay repeated): doc_id, n_shingles (size of the set), component_id (the smallest
-    doc_id that links reach, itself included). A-Z are lowered; words are runs of anything but ASCII white space; a text of
+    doc_id that links reach, itself included), text_key (a hash of the text), group_key (the same for all rows of a component;
+    null for an empty set). A-Z are lowered; words are runs of anything but ASCII white space; a text of
     fewer than WORDS words has one shingle of all of them. A null or wordless text has an empty set and links with nothing:
     its component is its own id. Rows with a null id take part; their component is the least id of those they reach, or null.
     Links of repeated ids are links of that id's rows, each judged by its own text. An empty table gives none. Other columns
@@ -348,14 +349,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.select("set_key", "doc").join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "doc", F.coalesce("label", "set_key").alias("label"))
     named = materialize(named, "near-named")
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    ids = named.join(least, "label").select("set_key", "component_id")
+    ids = named.join(least, "label").select("set_key", "component_id", "label")
     out = members.join(ids, "set_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.col("n") == 0
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("key").alias("text_key"),
+        F.when(~own, F.col("label")).alias("group_key"),
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that stay when one document of each component does: the one with the least id, and
+    the least hash of the text among rows that share it. Rows that repeat each other stay once. Texts without words are
+    in no component and stay, and so do rows whose id is null and that link with nothing."""
+    found = jaccard_components(docs, id_col, text_col)
+    alone = found.where(F.col("group_key").isNull()).select("doc_id", "text_key")
+    first = found.where(F.col("group_key").isNotNull()).groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("_first"))
+    stay = alone.unionByName(first.select("_first.doc_id", "_first.text_key")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = rows.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_semi")
+    return rows.dropDuplicates(["_own_id", "_own_key"]).drop("_own_id", "_own_key")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all whole texts of `documents`."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = {

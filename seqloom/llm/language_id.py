@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.ngram_features import ngram_buckets, plain
 from seqloom.llm.samples import bounded, fold
+from seqloom.llm.store import with_carried
 from seqloom.llm.textkernels import slices, text_buffer
 
 BITS, ORDERS, DIM = 15, (1, 2, 3, 4), 16
@@ -138,31 +139,32 @@ def has_letter(text: str | None) -> bool:
     return text is not None and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Predict the language of whole texts.
 
-    Returns one row for each row (repeated rows stay repeated): doc_id, lang_pred, score (the confidence, 0 to 1), rejected.
-    A null text, or one without a letter, is `und` with score 0 and is rejected; so is every row if the model knows no
-    language. A null id stays null. Other columns are ignored, whatever their names.
+    Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, lang_pred, score (the
+    confidence, 0 to 1), rejected. A null text, or one without a letter, is `und` with score 0 and is rejected; so is every
+    row if the model knows no language. Other columns are ignored, whatever their names; a carried column must not be
+    called lang_pred, score or rejected.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            data, off = text_buffer(batch.column(1))
+            texts = batch.column(len(carry))
+            data, off = text_buffer(texts)
             n = batch.num_rows
             lang, score = np.zeros(n, np.int64), np.zeros(n)
-            known = np.fromiter((has_letter(x.as_py()) for x in batch.column(1)), bool, n) if own.languages else np.zeros(n, bool)
+            known = np.fromiter((has_letter(x.as_py()) for x in texts), bool, n) if own.languages else np.zeros(n, bool)
             if own.languages:
                 for a, b in slices(off):
                     lang[a:b], score[a:b] = own.predict(_all_buckets(data, off[a : b + 1]))
             names = [own.languages[i] if k else "und" for i, k in zip(lang.tolist(), known.tolist(), strict=True)]
             score = np.where(known, score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.threshold))], ["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.threshold))], [*batch.schema.names[: len(carry)], "lang_pred", "score", "rejected"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    return kept.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return with_carried(docs, carry, F.col(text_col).cast("string"), run, "lang_pred string, score double, rejected boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,3 +54,10 @@ def discard(df: DataFrame) -> None:
     jvm, path = df.sparkSession._jvm, df._seqloom_path
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def with_carried(df: DataFrame, carry: tuple[str, ...], text: Column, run: Callable, schema: str) -> DataFrame:
+    """`run` over Arrow batches of the carried columns (named _c0, _c1, ...) and the text, under its own names again after."""
+    kept = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], text.alias("_text"))
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema.fields[: len(carry)])
+    return kept.mapInArrow(run, types + schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
