@@ -152,7 +152,7 @@ def with_(body: str, recursive: bool = False) -> str:
 
     def visit(text: str) -> None:
         for name in SQL:
-            if name not in need and re.search(rf"\b{name}\b", text):
+            if name not in need and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 visit(SQL[name])
                 if name not in need:
                     need.append(name)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.queries import traces
+from seqloom.queries import series, traces
 
-_MODULES = (traces,)
+_MODULES = (traces, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
