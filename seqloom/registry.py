@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.queries import series, traces
+from seqloom.queries import records, series, traces
 
-_MODULES = (traces, series)
+_MODULES = (traces, series, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
