@@ -13,9 +13,10 @@ Links are wanted as components, so pairs inside a component that is already join
 2. Every prefix n-gram that several classes have picks a head among them (the class with most copies, then the least key).
    All others are compared with the head only. That joins up groups of near copies in time linear in their size.
 3. For each head, the classes that shared one of its n-grams form a group. Where such a group still falls into several
-   components, the pairs across components are compared, in blocks of bounded size (rows of the largest component against the
-   others, and those against each other; lengths too far apart are skipped). A block counts overlaps fragment by fragment in
-   numpy and returns links that join something up, not pairs.
+   components, the pairs across components are looked at, in blocks of bounded size (rows of the largest component against the
+   others, and those against each other; lengths too far apart are skipped). A block compares bitmaps of the sets (a bit is
+   the parity of the n-grams hashed to it, so bitmaps never differ in more bits than sets do in n-grams) and lets only pairs
+   through that may be close enough; those are compared like the ones of step 2.
 4. Components of all links.
 
 This loses no link between different components: two linked documents share a prefix n-gram, hence a head, and either are in one
@@ -163,83 +164,79 @@ def prefix_size(n: int, numerator: int, denominator: int) -> int:
     return n - -(-n * numerator // denominator) + 1
 
 
-def _overlaps(left: list[list[np.ndarray]], right: list[list[np.ndarray]]) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set: partial counts of each fragment, summed."""
-    total = np.zeros((len(left), len(right)), np.float32)
-    for f in range(FRAGMENTS):
-        a, b = [x[f] for x in left], [x[f] for x in right]
-        tokens = np.concatenate([*a, *b])
-        if not len(tokens):
-            continue
-        row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-        u, where, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        shared = count > 1
-        number = np.cumsum(shared) - 1
-        keep = shared[where]
-        row, col = row[keep], number[where[keep]]
-        for start in range(0, int(shared.sum()), 4096):
-            own = (col >= start) & (col < start + 4096)
-            m = np.zeros((len(a) + len(b), min(4096, int(shared.sum()) - start)), np.float32)
-            m[row[own], col[own] - start] = 1
-            total += m[: len(a)] @ m[len(a) :].T
-    return total
-
-
-def _block(rows: list[tuple], numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Links of a block that join different components up; rows are (side, key, component, n, fragments)."""
-    left = [r for r in rows if r[0] == 0]
-    right = [r for r in rows if r[0] == 1]
-    alone = not right
-    right = left if alone else right
-    over = _overlaps([r[4] for r in left], [r[4] for r in right])
-    na, nb = np.array([r[3] for r in left], np.float64), np.array([r[3] for r in right], np.float64)
-    good = denominator * over >= numerator * (na[:, None] + nb[None, :] - over)
-    good &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity bits of a set, at least four for each n-gram; their number is a power of two."""
+    size = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
+    place = (mix64(shingles) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=size) & 1).tobytes()
 
-    out = []
-    for i, j in zip(*np.nonzero(good), strict=True):
-        a, b = root(left[i][2]), root(right[j][2])
-        if a != b:
-            parent[a] = b
-            out.append((left[i][1], right[j][1]))
+
+def _folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps, packed, folded to `size` bits (neighbours that merge add up modulo 2)."""
+    out = np.empty((len(rows), size // 8), np.uint8)
+    for i, raw in enumerate(rows):
+        own = np.frombuffer(raw, np.uint8)
+        if len(own) > len(out[i]):
+            own = np.packbits(np.unpackbits(own).reshape(size, -1).sum(axis=1) & 1)
+        out[i] = own
     return out
 
 
+def may_link(left: list[bytes], right: list[bytes], na: np.ndarray, nb: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which pairs of sets, given as bitmaps and sizes, may be similar enough. False is certain.
+
+    The intersection is half of what both sizes exceed the number of differing n-grams by, and that is at least the number of
+    differing bits. The bits are taken in parts, whose distances are added up.
+    """
+    size = 8 * min(map(len, (*left, *right)))
+    a, b = _folded(left, size), _folded(right, size)
+    same = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, size // 8, 512):
+        x, y = (1.0 - 2.0 * np.unpackbits(m[:, at : at + 512], axis=1).astype(np.float32) for m in (a, b))
+        same += x @ y.T
+    both = (na[:, None] + nb[None, :] - (size - same) / 2) / 2
+    return denominator * both >= numerator * (na[:, None] + nb[None, :] - both)
+
+
 def _blocks(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, side, key, component, n, fragments) in the order of blocks."""
+        """Pairs that may link out of rows (block, side, key, component, n, bits) in the order of blocks."""
         block, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len({r[2] for r in rows}) > 1:
-                links = _block(rows, numerator, denominator)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+            left = [r for r in rows if r[0] == 0]
+            right = [r for r in rows if r[0] == 1] or left
+            if not left:
+                return
+            good = may_link([r[4] for r in left], [r[4] for r in right], np.array([r[3] for r in left], np.float64), np.array([r[3] for r in right], np.float64), numerator, denominator)
+            good &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
+            if right is left:
+                good = np.triu(good)
+            i, j = np.nonzero(good)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in left])[i]), pa.array(np.array([r[1] for r in right])[j])], ["a", "b"])
 
         for batch in batches:
-            head = [batch.column(i).to_pylist() for i in range(5)]
-            sets = batch.column(5)
-            for i, (of, side, key, comp, n) in enumerate(zip(*head, strict=True)):
+            for of, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if of != block:
                     yield from done()
                     block, rows = of, []
-                inner = sets[i].values
-                cut = np.asarray(inner.offsets)
-                cut = cut - cut[0]
-                flat = unsigned(np.asarray(inner.flatten()))
-                rows.append((side, key, comp, n, [flat[x:y] for x, y in zip(cut, cut[1:], strict=False)]))
+                rows.append(row)
         yield from done()
 
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets are similar enough: partial overlaps of each fragment, summed."""
+    one = sets.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("fragments").alias("fa"))
+    two = sets.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("fragments").alias("fb"))
+    both = pairs.join(one, "a").join(two, "b")
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+    both = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0).cast("long"), lambda total, x: total + x).alias("both"))
+    return both.where(denominator * F.col("both") >= numerator * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least numerator / denominator.
 
@@ -282,9 +279,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = classes.select("set_key", "n", "copies")
     by_gram = meeting.join(size, "set_key").select("gram", "set_key", "n", F.struct(-F.col("copies"), F.col("set_key"), F.col("n")).alias("_rank"))
     heads = by_gram.groupBy("gram").agg(F.min("_rank").alias("_rank")).select("gram", F.col("_rank.set_key").alias("head"), F.col("_rank.n").alias("head_n"))
+    # Lengths whose ratio may be close enough lie in the same or neighbouring classes of size.
+    step = float(np.log(denominator / numerator))
     groups = by_gram.select("gram", "set_key", "n").join(heads, "gram").select("head", "head_n", "set_key", "n").distinct()
-    groups = materialize(groups, "near-groups")
+    groups = materialize(groups.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")), "near-all-groups")
     discard(meeting)
+    # A class without another one of a fitting length below the same head has no pair there.
+    cells = groups.groupBy("head", "size").agg(F.count("*").alias("m"))
+    reach = cells.select("head", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "m")
+    reach = reach.groupBy("head", "size").agg(F.sum("m").alias("m")).where(F.col("m") > 1).select("head", "size")
+    groups = materialize(groups.join(reach, ["head", "size"], "left_semi"), "near-groups")
 
     # The sets of all that met, in fragments.
     need = groups.select("set_key").distinct().join(classes.select("set_key", "key"), "set_key")
@@ -294,34 +298,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = _First()
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            key, flat = [], []
+            key, size, bits, flat = [], [], [], []
             for j, x in _sets_of(batch, 1):
                 if first(keys[j]):
                     key.append(keys[j])
+                    size.append(len(x))
+                    bits.append(bitmap(x))
                     flat += order.value.fragments(x)
             lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
             if key:
                 inner = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
                 outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FRAGMENTS, dtype=np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), outer], ["set_key", "fragments"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), outer], ["set_key", "n", "bits", "fragments"])
 
-    sets = texts.mapInArrow(fragments, "set_key long, fragments array<array<bigint>>").groupBy("set_key").agg(F.first("fragments").alias("fragments"))
-    sets = materialize(sets, "near-fragments")
+    # A set that comes twice (equal texts that tasks do not see together) gives the same links twice, which does no harm.
+    sets = materialize(texts.mapInArrow(fragments, "set_key long, n long, bits binary, fragments array<array<bigint>>"), "near-fragments")
 
     # Step 2: everyone against the heads.
     close = (F.col("n") * denominator >= F.col("head_n") * numerator) & (F.col("head_n") * denominator >= F.col("n") * numerator)
-    pairs = groups.where((F.col("head") != F.col("set_key")) & close)
-    pairs = pairs.join(sets, "set_key").join(sets.select(F.col("set_key").alias("head"), F.col("fragments").alias("head_fragments")), "head")
-    partial = F.zip_with("fragments", "head_fragments", lambda a, b: F.size(F.array_intersect(a, b)))
-    pairs = pairs.select("head", "set_key", "n", "head_n", F.aggregate(partial, F.lit(0).cast("long"), lambda total, x: total + x).alias("both"))
-    star = pairs.where(denominator * F.col("both") >= numerator * (F.col("n") + F.col("head_n") - F.col("both"))).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
-    star = materialize(star, "near-star")
+    pairs = groups.where((F.col("head") != F.col("set_key")) & close).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+    star = materialize(_links(pairs, sets, numerator, denominator), "near-star")
     joined = components(star)
 
     # Step 3: pairs across components below one head.
-    here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", F.coalesce("label", "set_key").alias("component"))
-    # Lengths whose ratio may be close enough lie in the same or neighbouring classes.
-    here = here.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(denominator / numerator)) + 1e-9).cast("int"))
+    here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", "size", F.coalesce("label", "set_key").alias("component"))
     here = materialize(here, "near-open")
     per = here.groupBy("head", "component").agg(F.count("*").alias("m"))
     most = per.groupBy("head").agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts")).where(F.col("_parts") > 1)
@@ -329,8 +329,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     here = here.withColumn("other", (F.col("component") != F.col("_largest")).cast("int")).drop("_largest")
     fill = here.groupBy("head", "size", "other").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     here = here.join(fill, ["head", "size", "other"]).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    here = here.select("head", "set_key", "n", "component", F.struct("size", "other", "block").alias("place"))
-    each = fill.select("head", "size", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("head", F.struct("size", "other", "block").alias("place"))
+    here = materialize(here.select("head", "set_key", "n", "component", F.struct("size", "other", "block").alias("place")), "near-placed")
+    each = here.groupBy("head", "place.size", "place.other").agg(F.max("place.block").alias("_last"))
+    each = each.select("head", "size", "other", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("block")).select("head", F.struct("size", "other", "block").alias("place"))
     left, right = each.select("head", F.col("place").alias("x")), each.select(F.col("head").alias("_h"), F.col("place").alias("y"))
     plan = left.join(right, (F.col("head") == F.col("_h")) & (F.col("x") <= F.col("y")) & (F.col("y.size") - F.col("x.size") <= 1) & (F.col("x.other") + F.col("y.other") > 0))
     plan = plan.select("head", "x", "y", F.xxhash64("head", "x", "y").alias("of"))
@@ -339,11 +340,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Blocks in which some pair may link: two components and, of two sides, both filled.
     work = a.unionByName(b)
     open_ = work.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("of")
-    work = work.join(open_, "of", "left_semi").join(sets, "set_key").select("of", "side", "set_key", "component", "n", "fragments")
-    work = work.repartition("of").sortWithinPartitions("of", "side")
-    cross = materialize(work.mapInArrow(_blocks(numerator, denominator), "a long, b long"), "near-cross")
+    work = materialize(work.join(open_, "of", "left_semi"), "near-work").join(sets.select("set_key", "bits"), "set_key")
+    work = work.select("of", "side", "set_key", "component", "n", "bits").repartition("of").sortWithinPartitions("of", "side")
+    may = work.mapInArrow(_blocks(numerator, denominator), "a long, b long")
+    may = may.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = materialize(_links(may, sets, numerator, denominator), "near-cross")
 
-    # Step 4. Labels of the first round are links too.
+    # Step 4.
     links = star.unionByName(cross)
     final = components(links) if not cross.isEmpty() else joined
     named = classes.select("set_key", "doc").join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "doc", F.coalesce("label", "set_key").alias("label"))
@@ -368,10 +371,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = jaccard_components(docs, id_col, text_col)
     alone = found.where(F.col("group_key").isNull()).select("doc_id", "text_key")
     first = found.where(F.col("group_key").isNotNull()).groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("_first"))
-    stay = alone.unionByName(first.select("_first.doc_id", "_first.text_key")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    rows = rows.join(stay, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["_own_id", "_own_key"]).drop("_own_id", "_own_key")
+    stay = alone.unionByName(first.select("_first.doc_id", "_first.text_key")).select(F.col("doc_id").alias("_seqloom_id"), F.col("text_key").alias("_seqloom_key")).distinct()
+    rows = docs.withColumns({"_seqloom_own_id": F.col(id_col).cast("long"), "_seqloom_own_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = rows.join(stay, F.col("_seqloom_own_id").eqNullSafe(F.col("_seqloom_id")) & (F.col("_seqloom_own_key") == F.col("_seqloom_key")), "left_semi")
+    return rows.dropDuplicates(["_seqloom_own_id", "_seqloom_own_key"]).drop("_seqloom_own_id", "_seqloom_own_key")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
