@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of this process, where the session names none.
+_OWN: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,9 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="seqloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="seqloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        path = _OWN[0]
     return path.rstrip("/")
 
 
