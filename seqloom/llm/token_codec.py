@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.textkernels import mix64, span_hashes
+from seqloom.llm.textkernels import mix64, slices, span_hashes, text_buffer
 
 MAX_VOCABULARY = 1_000_000
-#: Pre-tokens whose ids a task keeps; when they are more, it starts again. Only speed depends on it.
-MEMO = 500_000
+#: Pre-tokens whose ids a worker keeps; when they are more, those not met since the last time are let go. Only speed depends on it.
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,16 +156,15 @@ def character_classes() -> bytes:
     return out.tobytes()
 
 
-def split_by_class(text: str, classes: np.ndarray) -> list[str]:
-    """What findall(CLASS_PATTERN, text) gives, from runs of equal character classes.
+def class_bounds(code: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the pieces that findall(CLASS_PATTERN, text) gives begin, and the length; `code` holds the text's code points.
 
     A run of letters, numbers or others takes one blank before it; of other white space before a run the last character is
     a piece of its own (unless it is that blank) and the rest another; an apostrophe that begins a piece goes with a
     following s, t, m, d, re, ve or ll.
     """
-    if not text:
-        return []
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not len(code):
+        return np.zeros(1, np.int64)
     kind = classes[code]
     n = len(code)
     starts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
@@ -192,8 +191,7 @@ def split_by_class(text: str, classes: np.ndarray) -> list[str]:
             behind = behind[behind < n]
             joined = kind[behind] == _LETTER
             cut[behind[joined]] = True
-    bounds = np.append(np.flatnonzero(cut), n).tolist()
-    return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return np.append(np.flatnonzero(cut), n)
 
 
 class Codec:
@@ -211,15 +209,17 @@ class Codec:
         self._rest()
 
     def _rest(self) -> None:
-        if self.classes is None:
-            self.find = regex.compile(self.pattern).findall
-        else:
-            table = np.frombuffer(self.classes, np.uint8)
-            self.find = lambda text: split_by_class(text, table)
+        self.find = regex.compile(self.pattern).finditer
+        self.table = None if self.classes is None else np.frombuffer(self.classes, np.uint8)
         self.memo: dict[str, bytes] = {}
-        self.token: list[bytes] = [b""] * (int(self.ids.max()) + 1)
+        self.older: dict[str, bytes] = {}
+        size = int(self.ids.max()) + 1
+        token = [b""] * size
         for k, i in zip(self.keys, self.ids.tolist(), strict=True):
-            self.token[i] = k
+            token[i] = k
+        self.length = np.fromiter(map(len, token), np.int64, size)
+        self.offset = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(token), np.uint8)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k in ("ranks", "pattern", "keys", "ids", "hash", "classes")}
@@ -228,29 +228,78 @@ class Codec:
         self.__dict__.update(state)
         self._rest()
 
-    def resolve(self, pieces: list[str]) -> None:
-        """Put pre-tokens into the memo: whole ones by the perfect hash, the others by merging."""
-        raw = [p.encode() for p in pieces]
-        for piece, data, k in zip(pieces, raw, self.hash.candidates(raw).tolist(), strict=True):
-            if self.keys[k] == data:
-                self.memo[piece] = struct.pack("<I", self.ids[k])
-            else:
-                ids = merge_bytes(data, self.ranks)
-                self.memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        pieces = self.find(text)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = set(pieces).difference(self.memo)
-        if new:
-            self.resolve(list(new))
-        return b"".join(map(self.memo.__getitem__, pieces))
-
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that little-endian unsigned 32-bit ids stand for."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def resolve(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens: of whole ones by the perfect hash, of the others by merging. The memo keeps them."""
+        get, old = self.memo.get, self.older.get
+        out = [get(p) for p in pieces]
+        new = [k for k, x in enumerate(out) if x is None]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, self.older = {}, self.memo
+            old = self.older.get
+        missing = []
+        for k in new:
+            out[k] = old(pieces[k])
+            if out[k] is None:
+                missing.append(k)
+        if missing:
+            raw = [pieces[k].encode("utf-8", "surrogatepass") for k in missing]
+            for k, data, c in zip(missing, raw, self.hash.candidates(raw).tolist(), strict=True):
+                ids = [int(self.ids[c])] if self.keys[c] == data else merge_bytes(data, self.ranks)
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        self.memo.update((pieces[k], out[k]) for k in new)
+        return out
+
+    def bounds(self, text: str, code: np.ndarray) -> np.ndarray:
+        """Starts of the pre-tokens in a text, and its length. What the pattern leaves out would be no pre-token."""
+        if self.table is not None:
+            return class_bounds(code, self.table)
+        spans = [m.span() for m in self.find(text)]
+        if [0, *(b for _, b in spans)] != [*(a for a, _ in spans), len(text)]:
+            raise ValueError("the pattern leaves out a part of the text")
+        return np.array([0, *(b for _, b in spans)], np.int64)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Pre-tokens that occur several times in the batch are resolved once."""
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        starts, ends, counts, base = [], [], [], 0
+        for t, code in zip(texts, codes, strict=True):
+            at = self.bounds(t, code) + base
+            starts.append(at[:-1])
+            ends.append(at[1:])
+            counts.append(len(at) - 1)
+            base += len(code)
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        if not len(start):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        _, first, which = np.unique(span_hashes(np.concatenate(codes), start, end), return_index=True, return_inverse=True)
+        line = "".join(texts)
+        known = self.resolve([line[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(known), "<u4")
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        offset = np.cumsum(length) - length
+        own = length[which]
+        behind = np.cumsum(own)
+        ids = flat[np.repeat(offset[which] - (behind - own), own) + np.arange(behind[-1])]
+        cut = np.append(0, behind)[np.cumsum([0, *counts])]
+        out = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        # Equal hashes of different pre-tokens would show in the decoded bytes; such a text is encoded piece by piece.
+        for k, t in enumerate(texts):
+            if self.decode(out[k]) != t.encode("utf-8", "surrogatepass"):
+                at = self.bounds(t, codes[k]).tolist()
+                out[k] = np.frombuffer(b"".join(self.resolve([t[a:b] for a, b in zip(at, at[1:], strict=False)])), "<u4")
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of one text."""
+        return self.encode_batch([text])[0]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        if not len(ids):
+            return b""
+        length = self.length[ids]
+        behind = np.cumsum(length)
+        return self.bytes[np.repeat(self.offset[ids] - (behind - length), length) + np.arange(behind[-1])].tobytes()
 
 
 def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -268,13 +317,14 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
         codec_ = codec.value
         for batch in batches:
             cols: list[list] = [[] for _ in names[1:]]
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                ids = codec_.encode(text)
-                back, raw = codec_.decode(ids), text.encode()
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), raw == back]
-                for col, x in zip(cols, row + [np.frombuffer(ids, "<i4")] * with_ids, strict=True):
-                    col.append(x)
+            _, off = text_buffer(batch.column(1))
+            for a, b in slices(off):
+                texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
+                for text, ids in zip(texts, codec_.encode_batch(texts), strict=True):
+                    back, raw = codec_.decode(ids), text.encode("utf-8", "surrogatepass")
+                    row = [len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), raw == back]
+                    for col, x in zip(cols, row + [ids.astype("<i4")] * with_ids, strict=True):
+                        col.append(x)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
 
