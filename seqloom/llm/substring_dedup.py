@@ -158,20 +158,24 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, .
     seeds = materialize(texts.mapInArrow(_seeds(length, seed), "seed long, key long, twice boolean"), "repeat-seeds")
     places = seeds.groupBy("seed").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice"))
     shared = places.where((F.col("a") != F.col("b")) | F.col("twice")).select("seed")
+    # Written first, so that the join has an exchange on either side and adaptive execution can split a hot seed.
+    shared = materialize(shared, "repeat-shared-seeds")
     alive = seeds.join(shared, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     alive = materialize(alive, "repeat-shared")
     discard(seeds)
+    discard(shared)
 
     at = texts.join(alive, F.col("_key") == F.col("key")).select("_key", "_text", "seeds")
     windows = materialize(at.mapInArrow(_windows(length, seed), "w1 long, w2 long, key long, at int, place long"), "repeat-windows")
     discard(alive)
     ends = windows.groupBy("w1", "w2").agg(F.min("place").alias("a"), F.max("place").alias("b"))
-    again = ends.where(F.col("a") != F.col("b")).select("w1", "w2")
+    again = materialize(ends.where(F.col("a") != F.col("b")).select("w1", "w2"), "repeat-again")  # for the same reason
     starts = windows.select("w1", "w2", "key", "at").join(again, ["w1", "w2"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("starts"))
     equal = texts.groupBy(F.col("_key").alias("key")).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
     found = starts.join(equal, "key", "full_outer").select("key", F.col("starts").alias("_starts"), F.col("copies").alias("_copies"))
     found = materialize(found, "repeat-found")
     discard(windows)
+    discard(again)
 
     carried = [f"_c{i}" for i in range(len(carry))]
     both = keyed.join(found, F.col("_key") == F.col("key"), "left").select(*carried, "_text", "_starts", "_copies")
