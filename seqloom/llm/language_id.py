@@ -27,7 +27,7 @@ from seqloom.llm.textkernels import slices, text_buffer
 
 BITS, ORDERS, DIM = 15, (1, 2, 3, 4), 16
 #: At most about so many rows of each language are learned from.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 500
 #: At least this share of rightly predicted calibration rows is kept by the rejection.
 KEEP = 0.999
 
@@ -84,7 +84,7 @@ def training_features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray
 
     got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label string, bucket binary, n binary").collect()
     got.sort(key=lambda r: (r[0] is not None, r[0], bytes(r[2])))
-    return [(r[1], np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<i4").astype(np.float64)) for r in got]
+    return [(r[1], np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4").astype(np.float32)) for r in got]
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 16, rate: float = 20.0, seed: int = 7) -> LanguageModel:
