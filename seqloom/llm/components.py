@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
         if not changed:
             break
+    discard(both)
     return labels.select("node", "label")

@@ -282,13 +282,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Lengths whose ratio may be close enough lie in the same or neighbouring classes of size.
     step = float(np.log(denominator / numerator))
     groups = by_gram.select("gram", "set_key", "n").join(heads, "gram").select("head", "head_n", "set_key", "n").distinct()
-    groups = materialize(groups.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")), "near-all-groups")
+    every_group = materialize(groups.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")), "near-all-groups")
     discard(meeting)
     # A class without another one of a fitting length below the same head has no pair there.
-    cells = groups.groupBy("head", "size").agg(F.count("*").alias("m"))
+    cells = every_group.groupBy("head", "size").agg(F.count("*").alias("m"))
     reach = cells.select("head", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "m")
     reach = reach.groupBy("head", "size").agg(F.sum("m").alias("m")).where(F.col("m") > 1).select("head", "size")
-    groups = materialize(groups.join(reach, ["head", "size"], "left_semi"), "near-groups")
+    groups = materialize(every_group.join(reach, ["head", "size"], "left_semi"), "near-groups")
 
     # The sets of all that met, in fragments.
     need = groups.select("set_key").distinct().join(classes.select("set_key", "key"), "set_key")
@@ -340,11 +340,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Blocks in which some pair may link: two components and, of two sides, both filled.
     work = a.unionByName(b)
     open_ = work.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("of")
-    work = materialize(work.join(open_, "of", "left_semi"), "near-work").join(sets.select("set_key", "bits"), "set_key")
+    chosen = materialize(work.join(open_, "of", "left_semi"), "near-work")
+    work = chosen.join(sets.select("set_key", "bits"), "set_key")
     work = work.select("of", "side", "set_key", "component", "n", "bits").repartition("of").sortWithinPartitions("of", "side")
     may = work.mapInArrow(_blocks(numerator, denominator), "a long, b long")
     may = may.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = materialize(_links(may, sets, numerator, denominator), "near-cross")
+    for used in (sets, groups, every_group, chosen, here):
+        discard(used)
 
     # Step 4.
     links = star.unionByName(cross)
