@@ -11,12 +11,16 @@ written to the shared folder, which cuts the lineage. Nothing that grows with th
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.store import discard, materialize
 
-DAMPING, STEPS, WRITE_EVERY, CLOSE_ENOUGH, THRESHOLD = 0.85, 20, 4, 1e-6, 0.5
+DAMPING, WRITE_EVERY, THRESHOLD = 0.85, 4, 0.5
+#: Scores have settled when none changes by more than this share of itself; what is below LEAST counts as nothing.
+CLOSE_ENOUGH, LEAST = 1e-6, 1e-300
 #: The most rules that are tried as expressions on each url.
 MAX_RULES = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,13 +70,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return each.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = DAMPING) -> DataFrame:
     """Trust along the edges and distrust against them.
 
     `edges` (src, dst, weight) has each pair of hosts once; `seeds` (host, trust, distrust) has non-negative weights, each
     host once. Returns (host, trust, distrust) of every host that anything reached; each kind starts with a sum of one (zero
-    if it has no seeds), and what arrives at a host without a way on is lost. Ends after `steps`, or when no score of a step
-    has changed by more than CLOSE_ENOUGH. Rows with nulls are left out.
+    if it has no seeds), and what arrives at a host without a way on is lost. Rows with nulls are left out.
+
+    Ends when, between two written steps, no host was reached anew and no score changed by more than CLOSE_ENOUGH of itself, so
+    the end does not depend on how small the scores are or how long the ways. That comes by itself: all that can be reached is
+    reached after the longest shortest way, and later changes shrink by `damping` a step. Scores are doubles: what falls below
+    LEAST (the end of an unbranched way of about 4,000 links) is not waited for. A number of `steps` sets the end instead.
     """
     edges, seeds = edges.dropna(), seeds.dropna(subset=["host"]).fillna(0)
     total = seeds.agg(F.coalesce(F.sum("trust"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("distrust"), F.lit(0.0)).alias("d")).first()
@@ -88,20 +96,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     ways = materialize(ways.join(out, ["kind", "from"]).select("kind", "from", "to", (F.col("weight") / F.col("whole")).alias("part")), "url-ways")
     scores, kept = start, None
     if not ways.isEmpty():
-        for step in range(1, steps + 1):
+        for step in count(1) if steps is None else range(1, steps + 1):
             moved = scores.withColumnRenamed("host", "from").join(ways, ["kind", "from"])
             moved = moved.select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
             stay = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
             after = moved.unionByName(stay).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if step % WRITE_EVERY and step < steps:
+            if step % WRITE_EVERY and step != steps:
                 scores = after
                 continue
             after = materialize(after, "url-scores")
             if kept is not None:
                 both = after.alias("a").join(kept.alias("b"), ["kind", "host"], "full_outer")
-                change = both.agg(F.max(F.abs(F.coalesce("a.score", F.lit(0.0)) - F.coalesce("b.score", F.lit(0.0))))).first()[0]
+                new, old = F.col("a.score"), F.col("b.score")
+                settled = both.where(new.isNull() | old.isNull() | (F.abs(new - old) > CLOSE_ENOUGH * new + LEAST)).isEmpty()
                 discard(kept)
-                if (change or 0.0) < CLOSE_ENOUGH:
+                if settled:
                     scores = after
                     break
             scores = kept = after

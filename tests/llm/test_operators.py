@@ -188,6 +188,27 @@ def test_links_carry_trust_and_distrust(spark):
     assert got == {1: ("allow", "net/de/"), 2: ("allow", None), 3: ("block", None), 4: ("block", "org/es/"), 5: ("allow", None)}
 
 
+def test_propagation_reaches_all_hosts_however_small_their_scores(spark):
+    # A way of 30 links to a bad host that is one of a billion pages' seeds: no score on it comes near 1e-6.
+    n, many = 30, 1e9
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(n)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([(f"h{n}", 0.0, 1.0), ("else", 0.0, many)], "host string, trust double, distrust double")
+    got = {r.host: r.distrust for r in url_filter.propagate(edges, seeds).collect()}
+    d = url_filter.DAMPING
+    assert got == {"else": pytest.approx((1 - d) * many / (many + 1))} | {f"h{i}": pytest.approx((1 - d) * d ** (n - i) / (many + 1), rel=1e-9, abs=0) for i in range(n + 1)}
+
+
+def test_propagation_settles_on_cycles(spark):
+    ring = [(f"h{i}", f"h{(i + 1) % 6}", 1.0) for i in range(6)] + [("h5", "in", 1.0)]
+    edges = spark.createDataFrame(ring, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in url_filter.propagate(edges, seeds).collect()}
+    d = url_filter.DAMPING
+    first = (1 - d) / (1 - d**6 / 2)
+    want = {f"h{i}": first * d**i for i in range(6)} | {"in": first * d**6 / 2}
+    assert got == {h: pytest.approx(v, rel=1e-5, abs=0) for h, v in want.items()}
+
+
 # 3
 
 
