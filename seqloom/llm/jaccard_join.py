@@ -7,7 +7,11 @@ counted separately in each fragment, and the sum per pair decides.
 Candidates: of two sets that are similar enough, one n-gram at least is among the first few of both (prefix filter). Since
 frequent n-grams come last, passages that many documents share hardly make candidates.
 
-Links are wanted as components, so pairs inside a component that is already joined up are not looked at:
+All links (`links`): documents with equal sets form a class, one of each takes part; the classes that share a prefix n-gram
+form its group, and all pairs of a group are looked at in blocks as in step 3, whose pairs are then counted block by block. Two
+linked classes share a prefix n-gram, so no link is lost, and each is counted in one block only.
+
+Where only components are wanted, pairs inside a component that is already joined up are not looked at:
 
 1. Documents with equal sets form a class; one of each takes part.
 2. Every prefix n-gram that several classes have picks a head among them (the class with most copies, then the least key).
@@ -41,6 +45,8 @@ from seqloom.llm.textkernels import document_words, mix64, signed, slices, text_
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 FRAGMENTS, BUCKET_BITS, PIECE, BLOCK = 16, 21, 1 << 16, 256
+#: How many n-grams of a block are held before overlaps are added up, and how many different ones are counted at once.
+HELD, COLUMNS = 1 << 18, 1 << 13
 #: Keys of sets that a task remembers, to let only the first of equal ones through.
 REMEMBER = 500_000
 
@@ -214,7 +220,7 @@ def _blocks(numerator: int, denominator: int):
                 good = np.triu(good)
             i, j = np.nonzero(good)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in left])[i]), pa.array(np.array([r[1] for r in right])[j])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in left])[i]), pa.array(np.array([r[1] for r in right])[j]), pa.array(np.full(len(i), block))], ["a", "b", "of"])
 
         for batch in batches:
             for of, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -228,21 +234,98 @@ def _blocks(numerator: int, denominator: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar enough: partial overlaps of each fragment, summed."""
-    one = sets.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("fragments").alias("fa"))
-    two = sets.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("fragments").alias("fb"))
-    both = pairs.join(one, "a").join(two, "b")
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    both = both.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0).cast("long"), lambda total, x: total + x).alias("both"))
+    """Those of the distinct pairs (a, b) whose sets are similar enough: a row for each pair and fragment holds the partial
+    overlap, and the sum per pair decides. All fragments of a set come equally often, so the rows that repeat them divide out."""
+    one = sets.select(F.col("set_key").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    two = sets.select(F.col("set_key").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = each.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    both = partial.groupBy("a", "b", "na", "nb").agg(F.expr(f"sum(part) div (count(*) div {FRAGMENTS})").alias("both"))
     return both.where(denominator * F.col("both") >= numerator * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def _overlaps(keys: list[int], grams: list[np.ndarray], place: dict[int, int], total: np.ndarray) -> None:
+    """Add the overlaps of some fragments of the sets to the sums."""
+    row = np.repeat(np.array([place[k] for k in keys]), [len(x) for x in grams])
+    _, gram, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = often[gram] > 1
+    row, gram = row[shared], gram[shared]
+    _, gram = np.unique(gram, return_inverse=True)
+    order = np.argsort(gram, kind="stable")
+    row, gram = row[order], gram[order]
+    for at in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
+        a, b = np.searchsorted(gram, [at, at + COLUMNS])
+        holds = np.zeros((len(total), int(gram[b - 1]) + 1 - at), np.float32)
+        holds[row[a:b], gram[a:b] - at] = 1
+        total += (holds @ holds.T).astype(np.int64)
+
+
+def _counted(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links out of rows (block, fragment, a, b, n, grams) in the order of blocks and fragments: first the pairs (a, b) of
+        a block (fragment -1), then the sets (a) in fragments, which are counted some at a time."""
+        block, pairs, size, keys, grams, held = None, [], {}, [], [], 0
+        place: dict[int, int] = {}
+        total = np.zeros((0, 0), np.int64)
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if keys:
+                _overlaps(keys, grams, place, total)
+            if pairs:
+                a, b = np.array(pairs, np.int64).T
+                both = total[[place[x] for x in a.tolist()], [place[x] for x in b.tolist()]]
+                whole = np.array([size[x] for x in a.tolist()]) + np.array([size[x] for x in b.tolist()])
+                good = denominator * both >= numerator * (whole - both)
+                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(both[good])], ["a", "b", "both"])
+
+        for batch in batches:
+            of, part, a, b, n = (batch.column(i).to_pylist() for i in range(5))
+            values, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            for i in range(batch.num_rows):
+                if of[i] != block:
+                    yield from links()
+                    block, pairs, size, keys, grams, held, place = of[i], [], {}, [], [], 0, {}
+                if part[i] < 0:
+                    pairs.append((a[i], b[i]))
+                    continue
+                if not place:
+                    place = {k: j for j, k in enumerate(sorted({k for pair in pairs for k in pair}))}
+                    total, before = np.zeros((len(place), len(place)), np.int64), part[i]
+                if part[i] != before and held > HELD:
+                    _overlaps(keys, grams, place, total)
+                    keys, grams, held = [], [], 0
+                before = part[i]
+                own = values[offsets[i] : offsets[i + 1]]
+                size[a[i]] = n[i]
+                keys.append(a[i])
+                grams.append(own.copy())
+                held += len(own)
+        yield from links()
+
+    return run
+
+
+def _all_links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b, both) of the pairs (a, b, of) whose sets are similar enough. Each pair belongs to one of its blocks, and each set
+    is sent once to each block that it has a pair in."""
+    own = materialize(pairs.groupBy("a", "b").agg(F.min("of").alias("of")), "near-may")
+    need = own.select("of", F.col("a").alias("set_key")).unionByName(own.select("of", F.col("b").alias("set_key"))).distinct()
+    none = F.lit(None)
+    parts = need.join(sets, "set_key").select("of", "fragment", F.col("set_key").alias("a"), none.cast("long").alias("b"), "n", "grams")
+    rows = own.select("of", F.lit(-1).alias("fragment"), "a", "b", none.cast("long").alias("n"), none.cast("array<bigint>").alias("grams")).unionByName(parts)
+    found = rows.repartition("of").sortWithinPartitions("of", "fragment").mapInArrow(_counted(numerator, denominator), "a long, b long, both long")
+    found = materialize(found, "near-links")
+    discard(own)
+    return found
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR, links: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least numerator / denominator.
 
     Returns one row for each row (repeated rows stay repeated): doc_id, n_shingles (size of the set), component_id (the smallest
     doc_id that links reach, itself included), text_key (a hash of the text), group_key (the same for all rows of a component;
-    null for an empty set). A-Z are lowered; words are runs of anything but ASCII white space; a text of
+    null for an empty set); with `links`, which compares all pairs, also n_links (how many other rows a row links with, those of
+    an equal set included). A-Z are lowered; words are runs of anything but ASCII white space; a text of
     fewer than WORDS words has one shingle of all of them. A null or wordless text has an empty set and links with nothing:
     its component is its own id. Rows with a null id take part; their component is the least id of those they reach, or null.
     Links of repeated ids are links of that id's rows, each judged by its own text. An empty table gives none. Other columns
@@ -307,21 +390,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     flat += order.value.fragments(x)
             lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
             if key:
-                inner = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
-                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FRAGMENTS, dtype=np.int32)), inner)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), outer], ["set_key", "n", "bits", "fragments"])
-
-    # A set that comes twice (equal texts that tasks do not see together) gives the same links twice, which does no harm.
-    sets = materialize(texts.mapInArrow(fragments, "set_key long, n long, bits binary, fragments array<array<bigint>>"), "near-fragments")
-
-    # Step 2: everyone against the heads.
-    close = (F.col("n") * denominator >= F.col("head_n") * numerator) & (F.col("head_n") * denominator >= F.col("n") * numerator)
-    pairs = groups.where((F.col("head") != F.col("set_key")) & close).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
-    star = materialize(_links(pairs, sets, numerator, denominator), "near-star")
-    joined = components(star)
+                grams = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
+                number = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(key))
+                first_bits = [x for own in bits for x in (own, *[None] * (FRAGMENTS - 1))]
+                columns = [pa.array(np.repeat(key, FRAGMENTS), pa.int64()), pa.array(np.repeat(size, FRAGMENTS), pa.int64()), pa.array(first_bits, pa.binary()), pa.array(number), grams]
+                yield pa.RecordBatch.from_arrays(columns, ["set_key", "n", "bits", "fragment", "grams"])
+
+    # A row for each set and fragment; the first one has the bitmap. A set can come twice (equal texts that tasks do not see
+    # together), with all its rows.
+    sets = materialize(texts.mapInArrow(fragments, "set_key long, n long, bits binary, fragment int, grams array<bigint>"), "near-fragments")
+
+    if links:
+        # All pairs: every class is a component of its own.
+        here = groups.select("head", "set_key", "n", "size", F.col("set_key").alias("component"))
+    else:
+        # Step 2: everyone against the heads.
+        close = (F.col("n") * denominator >= F.col("head_n") * numerator) & (F.col("head_n") * denominator >= F.col("n") * numerator)
+        pairs = groups.where((F.col("head") != F.col("set_key")) & close).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+        star = materialize(_links(pairs, sets, numerator, denominator), "near-star")
+        joined = components(star)
+        here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", "size", F.coalesce("label", "set_key").alias("component"))
 
     # Step 3: pairs across components below one head.
-    here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", "size", F.coalesce("label", "set_key").alias("component"))
     here = materialize(here, "near-open")
     per = here.groupBy("head", "component").agg(F.count("*").alias("m"))
     most = per.groupBy("head").agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts")).where(F.col("_parts") > 1)
@@ -341,21 +431,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work = a.unionByName(b)
     open_ = work.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("of")
     chosen = materialize(work.join(open_, "of", "left_semi"), "near-work")
-    work = chosen.join(sets.select("set_key", "bits"), "set_key")
+    work = chosen.join(sets.where("fragment = 0").select("set_key", "bits"), "set_key")
     work = work.select("of", "side", "set_key", "component", "n", "bits").repartition("of").sortWithinPartitions("of", "side")
-    may = work.mapInArrow(_blocks(numerator, denominator), "a long, b long")
-    may = may.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = materialize(_links(may, sets, numerator, denominator), "near-cross")
+    may = work.mapInArrow(_blocks(numerator, denominator), "a long, b long, of long")
+    may = may.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "of")
+    if links:
+        cross = _all_links(may, sets, numerator, denominator)
+    else:
+        cross = materialize(_links(may.select("a", "b").distinct(), sets, numerator, denominator), "near-cross")
     for used in (sets, groups, every_group, chosen, here):
         discard(used)
 
     # Step 4.
-    links = star.unionByName(cross)
-    final = components(links) if not cross.isEmpty() else joined
+    if links:
+        final = components(cross.select("a", "b"))
+    else:
+        final = components(star.unionByName(cross)) if not cross.isEmpty() else joined
     named = classes.select("set_key", "doc").join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "doc", F.coalesce("label", "set_key").alias("label"))
     named = materialize(named, "near-named")
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     ids = named.join(least, "label").select("set_key", "component_id", "label")
+    more = []
+    if links:
+        met = cross.select(F.col("a").alias("set_key"), F.col("b").alias("other")).unionByName(cross.select(F.col("b").alias("set_key"), F.col("a").alias("other")))
+        met = met.join(classes.select(F.col("set_key").alias("other"), "copies"), "other").groupBy("set_key").agg(F.sum("copies").alias("others"))
+        met = classes.select("set_key", "copies").join(met, "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        ids = ids.join(met, "set_key")
+        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = members.join(ids, "set_key", "left")
     own = F.col("n") == 0
     return out.select(
@@ -364,6 +466,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("key").alias("text_key"),
         F.when(~own, F.col("label")).alias("group_key"),
+        *more,
     )
 
 
@@ -381,8 +484,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all whole texts of `documents`."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    """Near-duplicate components, over all links, of all whole texts of `documents`."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = {

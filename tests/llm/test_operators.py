@@ -511,6 +511,21 @@ def test_components_equal_brute_force(spark):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(naive_components(rows))
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_all_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = near_copies(7, 12)
+    rows = [*enumerate([*texts, *texts[:9], None, ""])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    n = [sum(j != i and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), links=True).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == list(enumerate(n)) and max(n) > 4
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(naive_components(rows))
+
+
 def test_small_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     rows = list(enumerate(near_copies(3, 10)))
