@@ -1,17 +1,19 @@
 """Quality from random-indexing word vectors and a small network.
 
 Word vectors: each word has a fixed sparse index vector of a few +1 and -1, drawn from its hash. The vector of a word is the sum
-of the index vectors of the words around it in a bounded sample of labelled documents (random indexing), scaled to unit length.
-Words that are rare in the sample share a vector with all rare words of the same shape (case, digits, or the mark they consist
-of); a word that repeats the one before it counts as the word "repeated".
+of the index vectors of the words around it in all documents (random indexing), scaled to unit length. Words are hashed into
+BUCKETS, whose sums every task adds up before they are added together; words of a bucket with fewer than LEAST occurrences share
+a vector with all words of the same shape (case, digits, or the mark they consist of). A word that repeats the one before it
+counts as the word "repeated". Sums are whole numbers, so they do not depend on partitions.
 
 A document is the mean and the standard deviation of the vectors of all its words. A network of two layers in numpy gives the
-logit, and a temperature set on rows kept out of the training makes probabilities of it. Scoring is one pass without a shuffle;
-the broadcast model has at most VOCABULARY rows of DIM numbers.
+logit, and a temperature set on rows kept out of the training makes probabilities of it; only these two learn from a bounded
+sample of labelled documents. Scoring is one pass without a shuffle; the broadcast model has a fixed number of rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.samples import bounded, fold
 from seqloom.llm.textkernels import SLICE_BYTES, byte_class, mix64, slices, span_hashes, text_buffer
 
-DIM, NONZERO, WINDOW, VOCABULARY, HIDDEN = 24, 4, 2, 8000, 16
+DIM, NONZERO, WINDOW, HIDDEN = 24, 4, 2, 16
+#: Buckets of words, how often one must occur, and the rows of words and shapes that travel together.
+BUCKETS, LEAST, SHAPES, PIECE = 1 << 16, 8, 2048, 2048
 #: At most about so many rows of each class are learned from.
 TRAIN_ROWS = 1500
 #: From this probability on a document is predicted to be of quality.
@@ -37,6 +41,8 @@ _SPACE = byte_class([(0x20, 0x20), (0x09, 0x0D)])
 _KIND = np.where(_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 3))).astype(np.uint8)
 _REPEATED = np.uint64(1)
 _SHAPES = np.uint64(16)
+#: Words whose contexts are added up at once.
+PART = 1 << 16
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,24 +86,27 @@ def index_vectors(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    return (mix64(words) >> np.uint64(48)).astype(np.int64)
+
+
+def shape_row(shape: np.ndarray) -> np.ndarray:
+    return np.minimum((shape - _SHAPES).astype(np.int64), SHAPES - 1)
+
+
 @dataclass
 class QualityModel:
-    """Sorted word hashes and their vectors (shapes are words too), the network's layers and the temperature."""
+    """Which buckets of words have a vector, the vectors (of buckets, then of shapes), the network's layers and the temperature."""
 
-    words: np.ndarray
+    known: np.ndarray
     vectors: np.ndarray
     layers: list[np.ndarray]
     temperature: float
 
     def rows_of(self, own: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        """The row of each word's vector: its own, else its shape's, else the last one (zeros)."""
-        out = np.full(len(own), len(self.words), np.int64)
-        for keys in (shape, own):
-            at = np.searchsorted(self.words, keys)
-            at[at == len(self.words)] = 0
-            hit = self.words[at] == keys if len(self.words) else np.zeros(len(keys), bool)
-            out[hit] = at[hit]
-        return out
+        """The row of each word's vector: its bucket's, else its shape's (zeros for one that never occurred)."""
+        bucket = bucket_of(own)
+        return np.where(self.known[bucket], bucket, BUCKETS + shape_row(shape))
 
     def pool(self, own: np.ndarray, shape: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Mean and standard deviation of the word vectors of each document."""
@@ -140,43 +149,67 @@ def training_words(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return [(r[1], np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], "<u2").astype(np.uint64)) for r in got]
 
 
-def word_vectors(rows: list[tuple[int, np.ndarray, np.ndarray]], least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word (and shape) hashes and their unit vectors by random indexing; one more row of zeros at the end."""
-    counts: dict[int, int] = {}
-    for _, own, _ in rows:
-        u, c = np.unique(own, return_counts=True)
-        for w, n in zip(u.tolist(), c.tolist(), strict=True):
-            counts[w] = counts.get(w, 0) + n
-    often = sorted((w for w, n in counts.items() if n >= least), key=lambda w: (-counts[w], w))[: VOCABULARY - 2048]
-    shapes = np.unique(np.concatenate([s for _, _, s in rows])) if rows else np.zeros(0, np.uint64)
-    words = np.unique(np.concatenate([np.array(often, np.uint64), shapes]))
-    model = QualityModel(words, np.zeros((len(words) + 1, DIM), np.float32), [], 1.0)
-    index = np.concatenate([index_vectors(words), np.zeros((1, DIM), np.float32)])
-    total = np.zeros((len(words) + 1, DIM))
-    for _, own, shape in rows:
-        for a in range(0, len(own), SLICE_BYTES // 16):  # a long document in parts
-            row = model.rows_of(own[a : a + SLICE_BYTES // 16], shape[a : a + SLICE_BYTES // 16])
-            v = index[row]
-            around = np.zeros_like(v)
-            for d in range(1, WINDOW + 1):
-                around[d:] += v[:-d]
-                around[:-d] += v[d:]
-            order = np.argsort(row, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0)) if len(row) else np.zeros(0, np.int64)
-            if len(first):
-                total[row[order][first]] += np.add.reduceat(around[order], first, axis=0)
-    total[-1] = 0
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return words, (total / np.maximum(norm, 1e-9)).astype(np.float32)
-
-
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 600, rate: float = 0.01, seed: int = 11) -> QualityModel:
-    """Word vectors, then the network by Adam on whole batches, then the temperature. With one class only, or no rows, the score
+def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This task's sums of context vectors and numbers of occurrences (last column), of buckets and of shapes, in pieces."""
+    total = np.zeros((BUCKETS + SHAPES, DIM + 1))
+    for batch in batches:
+        data, off = text_buffer(batch.column(0))
+        for a, b in slices(off):
+            own, shape, bounds = words_of(data, off[a : b + 1])
+            document = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # A part of the words at a time, with the words around it.
+            for at in range(0, len(own), PART):
+                lo, hi = max(0, at - WINDOW), min(len(own), at + PART + WINDOW)
+                different, which = np.unique(own[lo:hi], return_inverse=True)
+                v, doc = index_vectors(different)[which], document[lo:hi]
+                around = np.ones((hi - lo, DIM + 1), np.float32)
+                around[:, :DIM] = 0
+                for d in range(1, WINDOW + 1):
+                    same = (doc[d:] == doc[:-d])[:, None]
+                    around[d:, :DIM] += v[:-d] * same
+                    around[:-d, :DIM] += v[d:] * same
+                end = min(len(own), at + PART)
+                around = around[at - lo : end - lo]
+                for row in (bucket_of(own[at:end]), BUCKETS + shape_row(shape[at:end])):
+                    order = np.argsort(row, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0))
+                    total[row[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.float64)
+    for i in range(0, len(total), PIECE):
+        if total[i : i + PIECE, DIM].any():
+            packed = zlib.compress(total[i : i + PIECE].astype("<i8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([packed], pa.binary())], ["piece", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces that a task has got."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(zlib.decompress(packed.as_py()), "<i8")
+            total[piece] = total[piece] + own if piece in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["piece", "sums"])
+
+
+def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets have a vector, and the unit vectors of buckets and shapes, from the column `text` of all rows. The driver
+    gets the sums of all tasks: BUCKETS + SHAPES rows, whatever the corpus."""
+    total = np.zeros((BUCKETS + SHAPES, DIM + 1), np.int64)
+    pieces = texts.select("text").mapInArrow(_context_sums, "piece int, sums binary")
+    # Each of the exchange's partitions holds whole pieces, so every piece arrives once.
+    for piece, packed in pieces.repartition(len(total) // PIECE, "piece").mapInArrow(_added, "piece int, sums binary").collect():
+        total[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(zlib.decompress(packed), "<i8").reshape(-1, DIM + 1)
+    sums = total[:, :DIM].astype(np.float64)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return total[:BUCKETS, DIM] >= LEAST, (sums / np.maximum(norm, 1e-9)).astype(np.float32)
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], known: np.ndarray, vectors: np.ndarray, rounds: int = 600, rate: float = 0.01, seed: int = 11) -> QualityModel:
+    """The network by Adam on whole batches, then the temperature. With one class only, or no rows, the score
     is that class's (or one half) for all documents."""
-    words, vectors = word_vectors(rows)
     y = np.array([r[0] for r in rows], np.float64)
     zero = [np.zeros(2 * DIM), np.ones(2 * DIM), np.zeros((2 * DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)]
-    model = QualityModel(words, vectors, zero, 1.0)
+    model = QualityModel(known, vectors, zero, 1.0)
     if not len(y) or y.min() == y.max():
         zero[5][0] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
@@ -207,16 +240,17 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 600, rat
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Learn from labelled documents outside the fold that is held out, at most about `train_rows` of each class.
+    """Word vectors from all documents; the network from labelled ones outside the fold that is held out, at most about
+    `train_rows` of each class.
 
-    The sampled labels (bounded) are broadcast, so the documents are read once and not shuffled. A document with several
+    The sampled labels (bounded) are broadcast, so the documents are read twice and not shuffled. A document with several
     labels counts with the highest one.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     own = own.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded(own, "doc_id", "label", train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train(training_words(texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())))
+    return train(training_words(texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())), *word_vectors(texts))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

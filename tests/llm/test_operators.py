@@ -365,6 +365,20 @@ def test_learning_does_not_look_at_held_out_labels(spark):
     assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
+def test_word_vectors_come_from_all_documents(spark):
+    # No labelled document has these words; those that occur often have vectors of their own, whatever the partitions.
+    rows = [(i, " ".join(f"w{'abcdefgh'[j % 8]}{'xyz'[i % 3]} word" for j in range(40))) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (99, None), (100, "labelled text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(100, 1)], "doc_id long, quality int")
+    a, b = (quality.fit_model(docs.repartition(n), labels) for n in (1, 5))
+    own = quality.words_of(*textkernels.text_buffer(__import__("pyarrow").array([rows[0][1]])))[0]
+    at = quality.bucket_of(own)
+    assert a.known[at].all() and (np.linalg.norm(a.vectors[at], axis=1) > 0.99).all()
+    assert (a.known == b.known).all() and (a.vectors == b.vectors).all()
+    few, _, _ = quality.words_of(*textkernels.text_buffer(__import__("pyarrow").array(["labelled"])))
+    assert not a.known[quality.bucket_of(few)].any()
+
+
 # 6
 
 
