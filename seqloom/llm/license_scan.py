@@ -52,6 +52,58 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     ),
 ]
+#: The first two paragraphs of the Unlicense; the SQL has them, the operator does not take them for the licence.
+_CUT = [n for n in NOTICES if n[0] == "Unlicense"]
+_BODY = {i: t for i, t in NOTICES if "\n" in t and i != "Unlicense"}
+_UNLICENSE = (
+    _CUT[0][1]
+    + """
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+)
+_REFER = "\n\nFor more information, please refer to "
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole licence texts, and the titles that may stand before each.
+TEXTS = [
+    ("MIT", _BODY["MIT"], ["MIT License", "The MIT License", "The MIT License (MIT)"]),
+    ("ISC", _BODY["ISC"], ["ISC License", "The ISC License"]),
+    ("Unlicense", _UNLICENSE, ["The Unlicense"]),
+    ("Unlicense", _UNLICENSE + _REFER + "<https://unlicense.org>", ["The Unlicense"]),
+    ("Unlicense", _UNLICENSE + _REFER + "<https://unlicense.org/>", ["The Unlicense"]),
+    ("Unlicense", _UNLICENSE + _REFER + "<http://unlicense.org/>", ["The Unlicense"]),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END, ["BSD 2-Clause License"]),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END, ["BSD 3-Clause License"]),
+]
+#: Digests of the canonical forms of longer texts: the file as published, and without what follows its terms.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"),
+    ("Apache-2.0", "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("GPL-2.0", "8126cac356e98c9f273e2d821c0d2f3969c7add1c0b09b73679f90fa7414205c"),
+    ("GPL-2.0", "a07b31e413f005893efb82b73c1664077ccbad48a65bc01513dcfdc8af30d965"),
+    ("GPL-2.0", "6682f0d9a5f2b5772c3fa93592f1011da82ec1b9dc4babcf73f7959ac7614e5b"),
+    ("GPL-3.0", "969fd5d620157eced8b632e4ba7154859f195397976b89e7ee716615116fc70a"),
+    ("GPL-3.0", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.1", "6eacb2e57ceb0cc63a48b9b4e3181e4b691c27408dfd80dc12bafc4bffff46b5"),
+    ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "9672a697b80e59f5b1b0201e64d65dee8762b193cdd934dc5bcf2b57350a2ead"),
+    ("CC0-1.0", "e259b3e0bf831ddcd5351d255b832a3eccf42a266790e35dd570e35b737e30f2"),
+]
 #: Equivalent words, and equivalent phrases of the canonical form.
 WORDS = {
     "licence": "license",
@@ -91,8 +143,13 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_digest, license_id) of the known texts, one row for each digest (the first id by name where two are equal)."""
-    rows = spark.createDataFrame(notices or NOTICES, "license_id string, known_text string")
-    return rows.groupBy(digest(F.col("known_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+    if notices is None:
+        notices = [n for n in NOTICES if n not in _CUT] + [(i, t) for i, body, titles in TEXTS for t in (body, *(f"{x}\n\n{body}" for x in titles))]
+        ready = spark.createDataFrame(DIGESTS, "license_id string, license_digest string")
+    else:
+        ready = spark.createDataFrame([], "license_id string, license_digest string")
+    rows = spark.createDataFrame(notices, "license_id string, known_text string").select("license_id", digest(F.col("known_text")).alias("license_digest"))
+    return rows.unionByName(ready).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,6 +114,21 @@ def test_license_forms(spark):
     assert license_scan.license_scan(spark.createDataFrame([(1, "Copyright 2020 X\n" + mine)], "doc_id long, text string")).first().license_id == "ISC"
 
 
+def test_whole_license_texts(spark):
+    from pathlib import Path
+
+    cut = next(t for i, t in license_scan.NOTICES if i == "Unlicense")
+    mit = next(t for i, t in license_scan.NOTICES if i == "MIT" and "\n" in t)
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + mit), (None, cut), (None, mit[:-200])]
+    rows += [(i, body) for i, body, _ in license_scan.TEXTS]
+    there = Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if (there / file).exists():
+            rows.append((name, (there / file).read_text()))
+    got = license_scan.license_scan(spark.createDataFrame([(j, t) for j, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == {j: i for j, (i, _) in enumerate(rows)}
+
+
 def test_license_edges(spark):
     assert ids(license_scan.license_scan(frame(spark)).collect()) == ids(EDGES)
     assert license_scan.license_scan(frame(spark).limit(0)).count() == 0
