@@ -499,6 +499,40 @@ def iir_filter(spark, sf):
     return rows.select("vec_id", F.col("t").cast("long").alias("t"), six(F.col("y")).alias("y"))
 
 
+# The same three over all channels; their SQL above covers the first one.
+
+
+def _scan_channels(spark, sf, a: float, b: float, c: float, d: float):
+    from seqloom.operators.kernels import linear_scan
+
+    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
+    rows = rows.select("vec_id", "ch", F.posexplode(linear_scan(F.transform("_p", lambda x: x["value"]), a, b, c, d)).alias("t", "y"))
+    return rows.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
+
+
+@query("ssm_scan_channels")
+def ssm_scan_channels(spark, sf):
+    """`ssm_scan` of every channel of each series."""
+    return _scan_channels(spark, sf, 0.9, 0.5, 2.0, 0.1)
+
+
+@query("iir_filter_channels")
+def iir_filter_channels(spark, sf):
+    """`iir_filter` of every channel of each series."""
+    return _scan_channels(spark, sf, 0.8, 0.2, 1.0, 0.0)
+
+
+@query("cauchy_sum_channels")
+def cauchy_sum_channels(spark, sf):
+    """`cauchy_sum` of every channel of each series."""
+    from seqloom.operators.kernels import cauchy_parts
+
+    nodes = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(math.cos(2 * math.pi * k / 8)).alias("zr"), F.lit(math.sin(2 * math.pi * k / 8)).alias("zi")) for k in range(8)])
+    rows = fx.series(spark, sf).withColumn("z", F.explode(nodes))
+    re, im = cauchy_parts(F.col("value"), 0.1 * F.col("value"), -0.5 - F.col("t"), F.col("t").cast("double"), F.col("z.zr"), F.col("z.zi"))
+    return rows.groupBy("vec_id", "ch", F.col("z.k").alias("k")).agg(six(F.sum(re)).alias("re"), six(F.sum(im)).alias("im"))
+
+
 @query("center_crop", f"SELECT vec_id, {r6('x[1]')} AS first, {r6('x[40]')} AS last, len(x)::BIGINT AS n FROM (SELECT vec_id, list_transform(embedding[13:52], lambda v: v::DOUBLE) AS x FROM embeddings)")
 def center_crop(spark, sf):
     x = F.slice(F.col("embedding").cast("array<double>"), (64 - 40) // 2 + 1, 40)
