@@ -1,7 +1,8 @@
 """Stratified folds for rows with several labels, whole groups at a time.
 
 The assignment is sequential by nature: each choice changes what the folds still need. It runs over the aggregated table of
-groups and label counts, in batches of a bounded number of groups; batches are independent and run in parallel.
+groups and label counts, by default over all groups at once, whatever their number. Only where a batch size is asked for are
+groups dealt to independent batches, which run in parallel and balance labels within themselves.
 """
 
 from __future__ import annotations
@@ -11,9 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups that are assigned together.
-BATCH = 20_000
-
 
 def assign(labels: list[list[int]], sizes: list[int], ratios: list[float], seed: int = 0) -> list[int]:
     """A fold for each group of `sizes` rows, whose rows have the listed label ids (with repetition).
@@ -23,11 +21,15 @@ def assign(labels: list[list[int]], sizes: list[int], ratios: list[float], seed:
     """
     rng = np.random.default_rng(seed)
     n_labels = 1 + max((x for own in labels for x in own), default=-1)
-    count = np.zeros((len(labels), n_labels), np.int64)
-    for g, own in enumerate(labels):
-        np.add.at(count[g], own, 1)
+    own = [np.unique(np.array(x, np.int64), return_counts=True) for x in labels]
+    left = np.zeros(n_labels, np.int64)
+    members: list[list[tuple[int, int]]] = [[] for _ in range(n_labels)]
+    for g, (ids, times) in enumerate(own):
+        left[ids] += times
+        for x, k in zip(ids.tolist(), times.tolist(), strict=True):
+            members[x].append((-k, -g))
     share = np.array(ratios, np.float64)
-    want = np.outer(share, count.sum(axis=0))
+    want = np.outer(share, left)
     want_rows = share * sum(sizes)
     fold = np.full(len(labels), -1)
 
@@ -36,32 +38,33 @@ def assign(labels: list[list[int]], sizes: list[int], ratios: list[float], seed:
         best = best[want_rows[best] == want_rows[best].max()]
         f = int(best[0] if len(best) == 1 else rng.choice(best))
         fold[g] = f
-        want[f] -= count[g]
+        ids, times = own[g]
+        want[f, ids] -= times
+        left[ids] -= times
         want_rows[f] -= sizes[g]
 
     while True:
-        left = count[fold < 0].sum(axis=0) if n_labels else np.zeros(0)
         open_ = np.flatnonzero(left > 0)
         if not len(open_):
             break
         label = int(open_[np.argmin(left[open_])])
-        groups = np.flatnonzero((fold < 0) & (count[:, label] > 0))
-        for g in sorted(groups.tolist(), key=lambda g: (-count[g, label], -g)):
-            put(g, want[:, label])
+        for _, g in sorted(members[label]):
+            if fold[-g] < 0:
+                put(-g, want[:, label])
     for g in np.flatnonzero(fold < 0).tolist():
         put(g, want_rows)
     return fold.tolist()
 
 
-def stratified_folds(rows: DataFrame, group: str, labels: str, ratios: list[float], seed: int = 0, batch: int = BATCH) -> DataFrame:
+def stratified_folds(rows: DataFrame, group: str, labels: str, ratios: list[float], seed: int = 0, batch: int | None = None) -> DataFrame:
     """(group, fold) for rows with a group and an array of labels. Groups with a null name are left out.
 
-    Groups are dealt to batches by a hash, so that a batch has about `batch` of them and fits one task.
+    All groups are assigned together: one task holds a row of label counts for each of them. With `batch`, groups are dealt
+    by a hash to independent batches of about so many.
     """
     flat = rows.where(F.col(group).isNotNull())
     per = flat.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.col(labels).cast("array<string>"))).alias("own"))
-    n = per.count()
-    parts = max(1, -(-n // batch))
+    parts = 1 if batch is None else max(1, -(-per.count() // batch))
     per = per.withColumn("batch", F.pmod(F.xxhash64("group_"), F.lit(parts)))
     kind = per.schema["group_"].dataType.simpleString()
 
