@@ -38,7 +38,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontamination.decontaminate(docs, benchmark, carry=tuple(docs.columns))
+    out = decontamination.decontaminate(docs, benchmark, carry=tuple(docs.columns), unnamed=True)
     return out.where(F.col("n_hit") == 0).select(docs.columns)
 
 

@@ -105,11 +105,11 @@ class WuManber:
 class Benchmark:
     """The patterns of a block of items, the search tables over them and the items that each belongs to."""
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
         owners: dict[bytes, set[int]] = defaultdict(set)
         for item, text in items:
             for w in windows_of(words_of(text)):
-                owners[w].add(item)
+                owners[w].update(() if item is None else (item,))
         patterns = sorted(owners)
         self.items = [sorted(owners[p]) for p in patterns]
         self.lengths = [p.count(b" ") - 1 for p in patterns]
@@ -135,9 +135,10 @@ class Benchmark:
         return len(words), runs, items
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES) -> list[DataFrame]:
+def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES, unnamed: bool = False) -> list[DataFrame]:
     """The benchmark in parts whose patterns have about `most` bytes (or one item): a sum over sizes decides, not the driver."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("item_id").isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows if unnamed else rows.where(F.col("item_id").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text") * WORDS)).first()[0] or 0
     n = max(1, -(-2 * int(total) // most)) if total > most else 1
     if n == 1:
@@ -145,18 +146,18 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
     return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """Search whole texts for windows of benchmark items.
 
     Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, n_words, n_hit (words
     inside an occurrence), n_items and item_ids (items with an occurring window, sorted as strings), runs ([first, last) word
     numbers of what is hit). A null or wordless text has no words and no hits; null items and items without words have no
-    windows, and items with a null id are left out; items that share an id count as one. An empty benchmark hits nothing, an
+    windows. Items with a null id are left out, or, with `unnamed`, searched too but not listed; items that share an id count as one. An empty benchmark hits nothing, an
     empty table gives none. Other columns are ignored, whatever their names; a carried column must not have a name from above.
     """
     spark, keep = docs.sparkSession, len(carry)
     run_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    parts = blocks_of(benchmark, most=most)
+    parts = blocks_of(benchmark, most=most, unnamed=unnamed)
     out = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text"))
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in out.schema.fields[:keep])
     for k, part in enumerate(parts):
@@ -197,7 +198,7 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` against all of `benchmark`."""
-    out = decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+    out = decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")), unnamed=True)
     ids = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

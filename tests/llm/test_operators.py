@@ -470,6 +470,19 @@ def test_hits_equal_brute_force(spark):
     assert len(decontamination.blocks_of(bench, most=400)) > 1
 
 
+def test_items_without_an_id_are_searched(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean"), (3, "named item here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (4, "named item")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.op8_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (12, 0, True), 2: (0, 0, False), 3: (2, 1, True)}
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_search_finds_all_occurrences():
     rnd = random.Random(9)
     patterns = sorted({bytes(rnd.choices(b"ab", k=rnd.randint(1, 12))) for _ in range(40)})
