@@ -1,31 +1,28 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 All n-grams (word shingles) have one global order: by how often their hash bucket occurs, rare first, then by hash. The order is
-cut into FRAGMENTS at equal shares of the corpus; a document's set is held fragment by fragment, overlaps of two documents are
-counted separately in each fragment, and the sum per pair decides.
-
-Candidates: of two sets that are similar enough, one n-gram at least is among the first few of both (prefix filter). Since
-frequent n-grams come last, passages that many documents share hardly make candidates.
-
-All links (`links`): documents with equal sets form a class, one of each takes part; the classes that share a prefix n-gram
-form its group, and all pairs of a group are looked at in blocks as in step 3, whose pairs are then counted block by block. Two
-linked classes share a prefix n-gram, so no link is lost, and each is counted in one block only.
-
-Where only components are wanted, pairs inside a component that is already joined up are not looked at:
+cut into FRAGMENTS at equal shares of the corpus, and a document's set is held as a row for each fragment. Overlaps are counted
+fragment by fragment: the sets of a block meet once in each fragment, in a task of its own, which gives a matrix of partial
+overlaps; the matrices of a block's fragments are added up, and the sums decide. A block holds a bounded number of sets and of
+n-grams, so pairs are never rows: what leaves a block is a spanning forest of its links, or each set's number of links.
 
 1. Documents with equal sets form a class; one of each takes part.
-2. Every prefix n-gram that several classes have picks a head among them (the class with most copies, then the least key).
-   All others are compared with the head only. That joins up groups of near copies in time linear in their size.
-3. For each head, the classes that shared one of its n-grams form a group. Where such a group still falls into several
-   components, the pairs across components are looked at, in blocks of bounded size (rows of the largest component against the
-   others, and those against each other; lengths too far apart are skipped). A block compares bitmaps of the sets (a bit is
-   the parity of the n-grams hashed to it, so bitmaps never differ in more bits than sets do in n-grams) and lets only pairs
-   through that may be close enough; those are compared like the ones of step 2.
-4. Components of all links.
-
-This loses no link between different components: two linked documents share a prefix n-gram, hence a head, and either are in one
-component after step 2 or meet in a block of step 3. The table of bucket counts has a fixed size; everything else that grows
-with the documents stays in DataFrames and is written to the shared folder.
+2. Of two sets that are similar enough, one n-gram at least is among the first few of both (prefix filter). Classes that share
+   none of these with another class are alone. The order decides how many pass here, and nothing else depends on it.
+3. The sets of those that are left are dealt to cells by the n-grams' hash: more cells than two linked sets can have different
+   n-grams, so one cell at least has the same content in both. Classes that share a cell's whole content form a group. That is
+   rare between texts that are not alike, however frequent their n-grams are: a shared passage fills no cell of its own.
+4. Each class meets, in blocks, the others that share most cells with the same head (the class with most copies). That joins up
+   groups of near copies in time linear in their size.
+5. Groups that still fall into several components: their rows meet across components, in blocks, first as bitmaps (a bit is the
+   parity of the n-grams hashed to it, so bitmaps never differ in more bits than sets do in n-grams), then, where some pair of
+   the block may link, in fragments.
+6. Components of all links; then, if wanted, links are counted: both ends of a link are in one component, so the classes of each
+   component meet in blocks of all their pairs, each pair once.
+
+No link is lost: linked classes share a prefix n-gram (2) and a cell (3), and either are in one component after (4) or meet
+in (5). The table of bucket counts has a fixed size; everything else that grows with the documents stays in DataFrames and is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -36,17 +33,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
 from seqloom.llm.store import discard, materialize
-from seqloom.llm.textkernels import document_words, mix64, signed, slices, text_buffer, unsigned, window_hashes
+from seqloom.llm.textkernels import document_words, mix64, signed, slices, text_buffer, window_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-FRAGMENTS, BUCKET_BITS, PIECE, BLOCK = 16, 21, 1 << 16, 256
-#: How many n-grams of a block are held before overlaps are added up, and how many different ones are counted at once.
-HELD, COLUMNS = 1 << 18, 1 << 13
+FRAGMENTS, BUCKET_BITS, PIECE = 8, 21, 1 << 16
+#: Sets and n-grams on one side of a block, and sets of small groups that share a block.
+BLOCK, GRAMS, PACK = 512, 1 << 20, 128
+#: N-grams of at most FEW sets of a block are counted pair by pair, others as columns of a matrix, so many at once.
+FEW, COLUMNS = 16, 1 << 13
+#: How often sets with too many empty cells are dealt anew.
+DEALS = 4
 #: Keys of sets that a task remembers, to let only the first of equal ones through.
 REMEMBER = 500_000
 
@@ -204,119 +205,262 @@ def may_link(left: list[bytes], right: list[bytes], na: np.ndarray, nb: np.ndarr
     return denominator * both >= numerator * (na[:, None] + nb[None, :] - both)
 
 
-def _blocks(numerator: int, denominator: int):
+def size_limits(most: int, numerator: int, denominator: int) -> np.ndarray:
+    """First sizes of intervals such that sets that are similar enough lie in the same one or in neighbours."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * denominator // numerator + 1)
+    return np.array(out, np.int64)
+
+
+def cells(shingles: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Hashes of the contents of a set's cells: two sets that are similar enough and not equal have one in common.
+
+    Two linked sets with sizes of up to `most` differ in at most `apart` n-grams, so with apart + 1 + spare cells at least
+    spare + 1 have the same content in both. A set with no more than `spare` empty cells has one of them filled; sets with more
+    are dealt once more, with another hash, and after DEALS times show their empty cells too. A set is dealt for the interval
+    of its size and for the next one, so a pair meets in the interval of the larger set.
+    """
+    limits = size_limits(len(shingles), numerator, denominator)
+    out = []
+    with np.errstate(over="ignore"):
+        for k in (len(limits) - 2, len(limits) - 1):
+            most = int(limits[k]) * denominator // numerator
+            apart = 2 * most * (denominator - numerator) // (denominator + numerator)
+            if not apart:
+                continue  # only equal sets are that similar
+            spare = 1 + 3 * apart // 10
+            n = apart + 1 + spare
+            for deal in range(DEALS):
+                salt = np.uint64((k * DEALS + deal + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                h = mix64(shingles ^ salt)
+                cell = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+                full = cell[order[first]]
+                out.append(mix64(np.add.reduceat(h[order], first) ^ mix64(full.astype(np.uint64) + salt)))
+                if n - len(full) <= spare:
+                    break
+            else:
+                empty = np.setdiff1d(np.arange(n), full).astype(np.uint64)
+                out.append(mix64(mix64(empty + salt)))
+    return np.unique(np.concatenate(out)) if out else shingles[:0]
+
+
+def _may(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that may link out of rows (block, side, key, component, n, bits) in the order of blocks."""
+        """Out of rows (of, side, set_key, n, copies, component, bits) in the order of `of`, those of sets that may link with
+        one of another component in their block."""
         block, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            left = [r for r in rows if r[0] == 0]
-            right = [r for r in rows if r[0] == 1] or left
-            if not left:
+            left = [r for r in rows if r[0] != 1]
+            right = [r for r in rows if r[0] != 0]
+            if not left or not right:
                 return
-            good = may_link([r[4] for r in left], [r[4] for r in right], np.array([r[3] for r in left], np.float64), np.array([r[3] for r in right], np.float64), numerator, denominator)
-            good &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :]
-            if right is left:
-                good = np.triu(good)
-            i, j = np.nonzero(good)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in left])[i]), pa.array(np.array([r[1] for r in right])[j]), pa.array(np.full(len(i), block))], ["a", "b", "of"])
+            sizes = [np.array([r[2] for r in x], np.float64) for x in (left, right)]
+            good = may_link([r[5] for r in left], [r[5] for r in right], *sizes, numerator, denominator)
+            good &= np.array([r[4] for r in left])[:, None] != np.array([r[4] for r in right])[None, :]
+            kept = [left[i] for i in np.flatnonzero(good.any(axis=1))]
+            kept += [right[i] for i in np.flatnonzero(good.any(axis=0))]
+            kept = sorted({r[:4] for r in kept})
+            if kept:
+                columns = [pa.array([r[i] for r in kept], pa.int32() if i == 0 else pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(kept), pa.int64()), *columns], ["of", "side", "set_key", "n", "copies"])
 
         for batch in batches:
-            for of, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for of, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if of != block:
                     yield from done()
                     block, rows = of, []
-                rows.append(row)
+                rows.append(tuple(row))
         yield from done()
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar enough: a row for each pair and fragment holds the partial
-    overlap, and the sum per pair decides. All fragments of a set come equally often, so the rows that repeat them divide out."""
-    one = sets.select(F.col("set_key").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    two = sets.select(F.col("set_key").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    partial = each.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-    both = partial.groupBy("a", "b", "na", "nb").agg(F.expr(f"sum(part) div (count(*) div {FRAGMENTS})").alias("both"))
-    return both.where(denominator * F.col("both") >= numerator * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def _overlaps(keys: list[int], grams: list[np.ndarray], place: dict[int, int], total: np.ndarray) -> None:
-    """Add the overlaps of some fragments of the sets to the sums."""
-    row = np.repeat(np.array([place[k] for k in keys]), [len(x) for x in grams])
-    _, gram, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    shared = often[gram] > 1
-    row, gram = row[shared], gram[shared]
-    _, gram = np.unique(gram, return_inverse=True)
-    order = np.argsort(gram, kind="stable")
-    row, gram = row[order], gram[order]
-    for at in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
-        a, b = np.searchsorted(gram, [at, at + COLUMNS])
-        holds = np.zeros((len(total), int(gram[b - 1]) + 1 - at), np.float32)
-        holds[row[a:b], gram[a:b] - at] = 1
-        total += (holds @ holds.T).astype(np.int64)
-
-
-def _counted(numerator: int, denominator: int):
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many members each two sets share: those of `left` with those of `right`, or with each other."""
+    rows, n = left + (right or []), len(left)
+    out = np.zeros((n, n if right is None else len(right)), np.int64)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    if not len(flat):
+        return out
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    order = np.argsort(flat, kind="stable")
+    row, flat = row[order], flat[order]
+    gram = np.cumsum(np.append(0, flat[1:] != flat[:-1]))
+    often = np.bincount(gram)[gram]
+    few = (often > 1) & (often <= FEW)
+    a, g, places = row[few], gram[few], []
+    for d in range(1, min(FEW, len(a))):
+        same = g[d:] == g[:-d]
+        if not same.any():
+            break
+        i, j = a[:-d][same], a[d:][same]
+        if right is None:
+            places += [i * n + j, j * n + i]
+        else:
+            across = (i < n) & (j >= n)
+            places.append(i[across] * len(right) + j[across] - n)
+    if places:
+        out += np.bincount(np.concatenate(places), minlength=out.size).reshape(out.shape)
+    many = often > FEW
+    a, g = row[many], gram[many]
+    g = np.cumsum(np.append(0, g[1:] != g[:-1])) if len(g) else g
+    for at in range(0, int(g[-1]) + 1 if len(g) else 0, COLUMNS):
+        lo, hi = np.searchsorted(g, [at, at + COLUMNS])
+        holds = np.zeros((len(rows), int(g[hi - 1]) + 1 - at), np.float32)
+        holds[a[lo:hi], g[lo:hi] - at] = 1
+        out += (holds[:n] @ (holds if right is None else holds[n:]).T).astype(np.int64)
+    if right is None:
+        np.fill_diagonal(out, 0)
+    return out
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrices of partial overlaps out of rows (of, fragment, side, set_key, n, copies, grams) in the order of the first four.
+    `who` has side, key, size and copies of the block's sets, the same in each of its fragments."""
+    at, who, grams = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if who:
+            left, right = ([g for w, g in zip(who, grams, strict=True) if w[0] != side] for side in (1, 0))
+            found = overlaps(left) if who[0][0] == 2 else overlaps(left, right)
+            columns = [pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([np.array(who, "<i8").tobytes()]), pa.array([zlib.compress(found.astype("<u4").tobytes(), 1)])]
+            yield pa.RecordBatch.from_arrays(columns, ["of", "fragment", "who", "part"])
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        values, offsets = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+        for i, (of, fragment, *own) in enumerate(zip(*columns, strict=True)):
+            if (of, fragment) != at:
+                yield from done()
+                at, who, grams = (of, fragment), [], []
+            if not who or who[-1] != tuple(own):  # a set may come twice
+                who.append(tuple(own))
+                grams.append(values[offsets[i] : offsets[i + 1]].copy())
+    yield from done()
+
+
+def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect all that the links in `good` do."""
+    seen_left, seen_right = ~good.any(axis=1), ~good.any(axis=0)
+    rows, columns = [], []
+    for start in np.flatnonzero(~seen_left):
+        if seen_left[start]:
+            continue
+        seen_left[start], front = True, np.array([start])
+        while len(front):
+            sub = good[front] & ~seen_right
+            new = np.flatnonzero(sub.any(axis=0))
+            rows.append(front[sub[:, new].argmax(axis=0)] if len(new) else new)
+            columns.append(new)
+            seen_right[new] = True
+            sub = good[:, new] & ~seen_left[:, None]
+            front = np.flatnonzero(sub.any(axis=1))
+            rows.append(front)
+            columns.append(new[sub[front].argmax(axis=1)] if len(front) else front)
+            seen_left[front] = True
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _summed(numerator: int, denominator: int, number: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links out of rows (block, fragment, a, b, n, grams) in the order of blocks and fragments: first the pairs (a, b) of
-        a block (fragment -1), then the sets (a) in fragments, which are counted some at a time."""
-        block, pairs, size, keys, grams, held = None, [], {}, [], [], 0
-        place: dict[int, int] = {}
-        total = np.zeros((0, 0), np.int64)
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if keys:
-                _overlaps(keys, grams, place, total)
-            if pairs:
-                a, b = np.array(pairs, np.int64).T
-                both = total[[place[x] for x in a.tolist()], [place[x] for x in b.tolist()]]
-                whole = np.array([size[x] for x in a.tolist()]) + np.array([size[x] for x in b.tolist()])
-                good = denominator * both >= numerator * (whole - both)
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(both[good])], ["a", "b", "both"])
+        """Adds up the parts of each block, out of rows (of, who, part) in the order of `of`: a spanning forest of the links as
+        (a, b, null), or, with `number`, (a, null, rows that the set links with in this block)."""
+        block, who, total = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if who is None:
+                return
+            left, right = who[who[:, 0] != 1], who[who[:, 0] != 0]
+            whole = left[:, 2][:, None] + right[:, 2][None, :]
+            good = denominator * total >= numerator * (whole - total)
+            if number:
+                a, b, m = left[:, 1], None, good @ right[:, 3]
+                if who[0, 0] != 2:
+                    a, m = np.append(a, right[:, 1]), np.append(m, left[:, 3] @ good)
+                a, m = a[m > 0], m[m > 0]
+            else:
+                i, j = forest(good)
+                a, b, m = left[i, 1], right[j, 1], None
+            if len(a):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if m is None else pa.array(m)], ["a", "b", "m"])
 
         for batch in batches:
-            of, part, a, b, n = (batch.column(i).to_pylist() for i in range(5))
-            values, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
-            for i in range(batch.num_rows):
-                if of[i] != block:
-                    yield from links()
-                    block, pairs, size, keys, grams, held, place = of[i], [], {}, [], [], 0, {}
-                if part[i] < 0:
-                    pairs.append((a[i], b[i]))
-                    continue
-                if not place:
-                    place = {k: j for j, k in enumerate(sorted({k for pair in pairs for k in pair}))}
-                    total, before = np.zeros((len(place), len(place)), np.int64), part[i]
-                if part[i] != before and held > HELD:
-                    _overlaps(keys, grams, place, total)
-                    keys, grams, held = [], [], 0
-                before = part[i]
-                own = values[offsets[i] : offsets[i + 1]]
-                size[a[i]] = n[i]
-                keys.append(a[i])
-                grams.append(own.copy())
-                held += len(own)
-        yield from links()
+            for of, raw, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = np.frombuffer(zlib.decompress(part.as_py()), "<u4")
+                if of != block:
+                    yield from done()
+                    block, who = of, np.frombuffer(raw.as_py(), "<i8").reshape(-1, 4).astype(np.int64)
+                    total = np.zeros(((who[:, 0] != 1).sum(), (who[:, 0] != 0).sum()), np.int64)
+                total += own.reshape(total.shape)
+        yield from done()
 
     return run
 
 
-def _all_links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(a, b, both) of the pairs (a, b, of) whose sets are similar enough. Each pair belongs to one of its blocks, and each set
-    is sent once to each block that it has a pair in."""
-    own = materialize(pairs.groupBy("a", "b").agg(F.min("of").alias("of")), "near-may")
-    need = own.select("of", F.col("a").alias("set_key")).unionByName(own.select("of", F.col("b").alias("set_key"))).distinct()
-    none = F.lit(None)
-    parts = need.join(sets, "set_key").select("of", "fragment", F.col("set_key").alias("a"), none.cast("long").alias("b"), "n", "grams")
-    rows = own.select("of", F.lit(-1).alias("fragment"), "a", "b", none.cast("long").alias("n"), none.cast("array<bigint>").alias("grams")).unionByName(parts)
-    found = rows.repartition("of").sortWithinPartitions("of", "fragment").mapInArrow(_counted(numerator, denominator), "a long, b long, both long")
-    found = materialize(found, "near-links")
-    discard(own)
-    return found
+def _counted(work: DataFrame, sets: DataFrame, numerator: int, denominator: int, number: bool = False) -> DataFrame:
+    """(a, b, m) of the blocks in `work` (of, side, set_key, n, copies). Side 0 meets side 1; sets of side 2 meet each other."""
+    rows = work.join(sets.select("set_key", "fragment", "grams"), "set_key").select("of", "fragment", "side", "set_key", "n", "copies", "grams")
+    parts = rows.repartition("of", "fragment").sortWithinPartitions("of", "fragment", "side", "set_key").mapInArrow(_partial, "of long, fragment int, who binary, part binary")
+    return parts.select("of", "who", "part").repartition("of").sortWithinPartitions("of").mapInArrow(_summed(numerator, denominator, number), "a long, b long, m long")
+
+
+def _n_cells(count: Column, grams: Column) -> Column:
+    return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(grams / F.lit(GRAMS)), F.lit(1)).cast("int")
+
+
+def _all_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """Blocks (of, side, set_key, n, copies) in which all rows (set_key, n, copies) of each group meet, each two once. A group
+    that fits in a block shares one with others; of a larger one, each part meets itself and each other part."""
+    size = rows.groupBy(group).agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
+    size = materialize(size.withColumn("_cells", _n_cells(F.col("_m"), F.col("_w"))).where("_m > 1"), "near-sizes")
+    rows = rows.join(size.select(group, "_cells", "_m"), group)
+    shared = max(1, -(-(size.where("_cells = 1").agg(F.sum("_m")).first()[0] or 0) // PACK))
+    own = F.pmod(F.xxhash64("set_key"), F.col("_cells")).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    pack = F.xxhash64(F.lit("pack"), F.pmod(F.xxhash64(group), F.lit(shared)))
+    of = F.when(F.col("_cells") == 1, pack).otherwise(F.xxhash64(group, F.least("_own", "_with"), F.greatest("_own", "_with")))
+    side = F.when(F.col("_own") == F.col("_with"), 2).when(F.col("_own") < F.col("_with"), 0).otherwise(1)
+    return rows.select(of.alias("of"), side.alias("side"), "set_key", "n", "copies")
+
+
+def _around_heads(rows: DataFrame) -> DataFrame:
+    """Blocks (of, side, set_key, n, copies) of the rows (head, set_key, n, copies); a head is in all blocks of its group."""
+    size = rows.groupBy("head").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
+    size = materialize(size.where("_m > 1").select("head", "_m", _n_cells(F.col("_m"), F.col("_w")).alias("_cells")), "near-around")
+    shared = max(1, -(-(size.where("_cells = 1").agg(F.sum("_m")).first()[0] or 0) // PACK))
+    rows = rows.join(size, "head")
+    last = F.col("_cells") - 1
+    own = F.pmod(F.xxhash64("set_key"), F.col("_cells")).cast("int")
+    rows = rows.withColumn("_at", F.explode(F.when(F.col("head") == F.col("set_key"), F.sequence(F.lit(0), last)).otherwise(F.array(own))))
+    of = F.when(F.col("_cells") == 1, F.xxhash64(F.lit("pack"), F.pmod(F.xxhash64("head"), F.lit(shared)))).otherwise(F.xxhash64("head", "_at"))
+    return rows.select(of.alias("of"), F.lit(2).alias("side"), "set_key", "n", "copies").distinct()
+
+
+def _across(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """Blocks, with `component`, in which the rows (head, set_key, n, copies) of each head's group meet those of other components:
+    the parts of the largest component meet all other parts, and those meet each other."""
+    here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", "copies", F.coalesce("label", "set_key").alias("component"))
+    here = materialize(here, "near-open")
+    per = here.groupBy("head", "component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    open_ = per.groupBy("head").agg(F.max(F.struct("m", "w", "component")).alias("_top"), F.count("*").alias("_parts"), F.sum("m").alias("_m"), F.sum("w").alias("_w"))
+    one = _n_cells(F.col("_top.m"), F.col("_top.w")).alias("_one")
+    rest = _n_cells(F.col("_m") - F.col("_top.m"), F.col("_w") - F.col("_top.w")).alias("_rest")
+    alone = (_n_cells(F.col("_m"), F.col("_w")) == 1).alias("_alone")
+    open_ = materialize(open_.where("_parts > 1").select("head", F.col("_top.component").alias("_largest"), one, rest, alone), "near-open-heads")
+    rows = here.join(open_, "head").withColumn("_is", F.col("component") == F.col("_largest"))
+    place = F.xxhash64("set_key")
+    own = F.when(F.col("_alone"), 0).when(F.col("_is"), F.pmod(place, F.col("_one"))).otherwise(F.col("_one") + F.pmod(place, F.col("_rest"))).cast("int")
+    first = F.when(F.col("_is") & ~F.col("_alone"), F.col("_one")).otherwise(0)
+    last = F.when(F.col("_alone"), 0).otherwise(F.col("_one") + F.col("_rest") - 1)
+    rows = rows.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(first, last)))
+    side = F.when(F.col("_own") == F.col("_with"), 2).when(F.col("_own") < F.col("_with"), 0).otherwise(1)
+    of = F.xxhash64("head", F.least("_own", "_with"), F.greatest("_own", "_with"))
+    return rows.select(of.alias("of"), side.alias("side"), "set_key", "n", "copies", "component")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR, links: bool = False) -> DataFrame:
@@ -324,8 +468,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns one row for each row (repeated rows stay repeated): doc_id, n_shingles (size of the set), component_id (the smallest
     doc_id that links reach, itself included), text_key (a hash of the text), group_key (the same for all rows of a component;
-    null for an empty set); with `links`, which compares all pairs, also n_links (how many other rows a row links with, those of
-    an equal set included). A-Z are lowered; words are runs of anything but ASCII white space; a text of
+    null for an empty set); with `links`, which looks at all pairs inside a component, also n_links (how many other rows a row
+    links with, those of an equal set included). A-Z are lowered; words are runs of anything but ASCII white space; a text of
     fewer than WORDS words has one shingle of all of them. A null or wordless text has an empty set and links with nothing:
     its component is its own id. Rows with a null id take part; their component is the least id of those they reach, or null.
     Links of repeated ids are links of that id's rows, each judged by its own text. An empty table gives none. Other columns
@@ -353,111 +497,74 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if gram:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(gram))), pa.array(np.concatenate(key))], ["gram", "set_key"])
 
+    # Whatever is joined back to its rows is written first, so that both sides have an exchange and hot keys can be split.
     grams = materialize(rows.select("text").mapInArrow(prefixes, "gram long, set_key long"), "near-prefixes")
     several = grams.groupBy("gram").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where(F.col("a") != F.col("b")).select("gram")
-    meeting = materialize(grams.join(several, "gram", "left_semi"), "near-meeting")
+    several = materialize(several, "near-several")
+    met = grams.join(several, "gram", "left_semi").select("set_key").distinct()
+    met = materialize(classes.join(met, "set_key").select("set_key", "key", "n", "copies"), "near-met")
     discard(grams)
-
-    # Heads, and who met whom below one. The head is a member of its own group.
-    size = classes.select("set_key", "n", "copies")
-    by_gram = meeting.join(size, "set_key").select("gram", "set_key", "n", F.struct(-F.col("copies"), F.col("set_key"), F.col("n")).alias("_rank"))
-    heads = by_gram.groupBy("gram").agg(F.min("_rank").alias("_rank")).select("gram", F.col("_rank.set_key").alias("head"), F.col("_rank.n").alias("head_n"))
-    # Lengths whose ratio may be close enough lie in the same or neighbouring classes of size.
-    step = float(np.log(denominator / numerator))
-    groups = by_gram.select("gram", "set_key", "n").join(heads, "gram").select("head", "head_n", "set_key", "n").distinct()
-    every_group = materialize(groups.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")), "near-all-groups")
-    discard(meeting)
-    # A class without another one of a fitting length below the same head has no pair there.
-    cells = every_group.groupBy("head", "size").agg(F.count("*").alias("m"))
-    reach = cells.select("head", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "m")
-    reach = reach.groupBy("head", "size").agg(F.sum("m").alias("m")).where(F.col("m") > 1).select("head", "size")
-    groups = materialize(every_group.join(reach, ["head", "size"], "left_semi"), "near-groups")
-
-    # The sets of all that met, in fragments.
-    need = groups.select("set_key").distinct().join(classes.select("set_key", "key"), "set_key")
-    texts = rows.select("key", "text").join(need, "key").select("set_key", "text")
+    discard(several)
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _First()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            key, size, bits, flat = [], [], [], []
-            for j, x in _sets_of(batch, 1):
+            keys, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            who, bits, own, flat = [], [], [], []
+            for j, x in _sets_of(batch, 2):
                 if first(keys[j]):
-                    key.append(keys[j])
-                    size.append(len(x))
-                    bits.append(bitmap(x))
+                    who.append((keys[j], len(x), copies[j]))
+                    bits += [bitmap(x), *[None] * (FRAGMENTS - 1)]
+                    own += [signed(cells(x, numerator, denominator)), *[None] * (FRAGMENTS - 1)]
                     flat += order.value.fragments(x)
-            lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
-            if key:
-                grams = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
-                number = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(key))
-                first_bits = [x for own in bits for x in (own, *[None] * (FRAGMENTS - 1))]
-                columns = [pa.array(np.repeat(key, FRAGMENTS), pa.int64()), pa.array(np.repeat(size, FRAGMENTS), pa.int64()), pa.array(first_bits, pa.binary()), pa.array(number), grams]
-                yield pa.RecordBatch.from_arrays(columns, ["set_key", "n", "bits", "fragment", "grams"])
-
-    # A row for each set and fragment; the first one has the bitmap. A set can come twice (equal texts that tasks do not see
-    # together), with all its rows.
-    sets = materialize(texts.mapInArrow(fragments, "set_key long, n long, bits binary, fragment int, grams array<bigint>"), "near-fragments")
-
-    if links:
-        # All pairs: every class is a component of its own.
-        here = groups.select("head", "set_key", "n", "size", F.col("set_key").alias("component"))
-    else:
-        # Step 2: everyone against the heads.
-        close = (F.col("n") * denominator >= F.col("head_n") * numerator) & (F.col("head_n") * denominator >= F.col("n") * numerator)
-        pairs = groups.where((F.col("head") != F.col("set_key")) & close).select(F.col("head").alias("a"), F.col("set_key").alias("b"))
-        star = materialize(_links(pairs, sets, numerator, denominator), "near-star")
-        joined = components(star)
-        here = groups.join(joined, F.col("set_key") == F.col("node"), "left").select("head", "set_key", "n", "size", F.coalesce("label", "set_key").alias("component"))
-
-    # Step 3: pairs across components below one head.
-    here = materialize(here, "near-open")
-    per = here.groupBy("head", "component").agg(F.count("*").alias("m"))
-    most = per.groupBy("head").agg(F.max(F.struct("m", "component")).alias("_top"), F.count("*").alias("_parts")).where(F.col("_parts") > 1)
-    here = here.join(most.select("head", F.col("_top.component").alias("_largest")), "head")
-    here = here.withColumn("other", (F.col("component") != F.col("_largest")).cast("int")).drop("_largest")
-    fill = here.groupBy("head", "size", "other").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    here = here.join(fill, ["head", "size", "other"]).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    here = materialize(here.select("head", "set_key", "n", "component", F.struct("size", "other", "block").alias("place")), "near-placed")
-    each = here.groupBy("head", "place.size", "place.other").agg(F.max("place.block").alias("_last"))
-    each = each.select("head", "size", "other", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("block")).select("head", F.struct("size", "other", "block").alias("place"))
-    left, right = each.select("head", F.col("place").alias("x")), each.select(F.col("head").alias("_h"), F.col("place").alias("y"))
-    plan = left.join(right, (F.col("head") == F.col("_h")) & (F.col("x") <= F.col("y")) & (F.col("y.size") - F.col("x.size") <= 1) & (F.col("x.other") + F.col("y.other") > 0))
-    plan = plan.select("head", "x", "y", F.xxhash64("head", "x", "y").alias("of"))
-    a = here.join(plan, (here["head"] == plan["head"]) & (F.col("place") == F.col("x"))).select("of", F.lit(0).alias("side"), "set_key", "component", "n")
-    b = here.join(plan.where(F.col("x") != F.col("y")), (here["head"] == plan["head"]) & (F.col("place") == F.col("y"))).select("of", F.lit(1).alias("side"), "set_key", "component", "n")
-    # Blocks in which some pair may link: two components and, of two sides, both filled.
-    work = a.unionByName(b)
-    open_ = work.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("of")
-    chosen = materialize(work.join(open_, "of", "left_semi"), "near-work")
-    work = chosen.join(sets.where("fragment = 0").select("set_key", "bits"), "set_key")
-    work = work.select("of", "side", "set_key", "component", "n", "bits").repartition("of").sortWithinPartitions("of", "side")
-    may = work.mapInArrow(_blocks(numerator, denominator), "a long, b long, of long")
-    may = may.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "of")
-    if links:
-        cross = _all_links(may, sets, numerator, denominator)
-    else:
-        cross = materialize(_links(may.select("a", "b").distinct(), sets, numerator, denominator), "near-cross")
-    for used in (sets, groups, every_group, chosen, here):
-        discard(used)
-
-    # Step 4.
-    if links:
-        final = components(cross.select("a", "b"))
-    else:
-        final = components(star.unionByName(cross)) if not cross.isEmpty() else joined
-    named = classes.select("set_key", "doc").join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "doc", F.coalesce("label", "set_key").alias("label"))
+            if who:
+                lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
+                columns = [pa.array(np.repeat([w[i] for w in who], FRAGMENTS), pa.int64()) for i in range(3)]
+                columns += [pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(who))), pa.array(bits, pa.binary()), pa.array(own, pa.list_(pa.int64())), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["set_key", "n", "copies", "fragment", "bits", "cells", "grams"])
+
+    # A row for each set and fragment; the first one has the bitmap and the cells. A set can come twice (equal texts that tasks
+    # do not see together), with all its rows.
+    texts = rows.select("key", "text").join(met, "key").select("set_key", "copies", "text")
+    schema = "set_key long, n long, copies long, fragment int, bits binary, cells array<bigint>, grams array<bigint>"
+    sets = materialize(texts.mapInArrow(fragments, schema), "near-fragments")
+    each = sets.where("fragment = 0")
+
+    content = each.select("set_key", "n", "copies", F.explode("cells").alias("cell"))
+    heads = content.groupBy("cell").agg(F.min(F.struct(-F.col("copies"), "set_key")).alias("_first"), F.min("set_key").alias("a"), F.max("set_key").alias("b"))
+    heads = materialize(heads.where(F.col("a") != F.col("b")).select("cell", F.col("_first.set_key").alias("head")), "near-heads")
+    groups = content.join(heads, "cell").groupBy("head", "set_key", "n", "copies").agg(F.count("*").alias("shared"))
+    groups = materialize(groups, "near-groups")
+    discard(heads)
+
+    # Step 4: each class in the group of the head that it shares most with, and each head in its own.
+    nearest = groups.groupBy("set_key", "n", "copies").agg(F.max(F.struct("shared", "head")).alias("_best")).select(F.col("_best.head").alias("head"), "set_key", "n", "copies")
+    nearest = nearest.where(F.col("head") != F.col("set_key")).unionByName(groups.where(F.col("head") == F.col("set_key")).select("head", "set_key", "n", "copies"))
+    star = materialize(_counted(_around_heads(materialize(nearest, "near-nearest")), sets, numerator, denominator), "near-star").select("a", "b")
+    joined = components(star)
+
+    # Step 5.
+    may = _across(groups.select("head", "set_key", "n", "copies"), joined)
+    may = may.join(each.select("set_key", "bits"), "set_key").select("of", "side", "set_key", "n", "copies", "component", "bits")
+    may = may.repartition("of").sortWithinPartitions("of").mapInArrow(_may(numerator, denominator), "of long, side int, set_key long, n long, copies long")
+    cross = materialize(_counted(materialize(may, "near-may"), sets, numerator, denominator), "near-cross").select("a", "b")
+
+    # Step 6.
+    final = joined if cross.isEmpty() else components(star.unionByName(cross))
+    named = classes.join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "n", "copies", "doc", F.coalesce("label", "set_key").alias("label"))
     named = materialize(named, "near-named")
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    ids = named.join(least, "label").select("set_key", "component_id", "label")
-    more = []
+    least = materialize(named.groupBy("label").agg(F.min("doc").alias("component_id")), "near-least")
+    ids = named.join(least, "label").select("set_key", "component_id", "label", (F.col("copies") - 1).alias("n_links"))
     if links:
-        met = cross.select(F.col("a").alias("set_key"), F.col("b").alias("other")).unionByName(cross.select(F.col("b").alias("set_key"), F.col("a").alias("other")))
-        met = met.join(classes.select(F.col("set_key").alias("other"), "copies"), "other").groupBy("set_key").agg(F.sum("copies").alias("others"))
-        met = classes.select("set_key", "copies").join(met, "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        ids = ids.join(met, "set_key")
-        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+        met = named.where(F.col("label") != F.col("set_key")).select("label").distinct()
+        inside = named.join(materialize(met, "near-several-sets"), "label", "left_semi").select("label", "set_key", "n", "copies")
+        others = _counted(_all_pairs(inside, "label"), sets, numerator, denominator, number=True)
+        others = materialize(others.groupBy("a").agg(F.sum("m").alias("m")), "near-numbers")
+        ids = ids.join(others, F.col("set_key") == F.col("a"), "left").withColumn("n_links", F.col("n_links") + F.coalesce("m", F.lit(0))).drop("a", "m")
+    ids = materialize(ids, "near-ids")
+    for used in (sets, groups, named, least):
+        discard(used)
     out = members.join(ids, "set_key", "left")
     own = F.col("n") == 0
     return out.select(
@@ -466,7 +573,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("key").alias("text_key"),
         F.when(~own, F.col("label")).alias("group_key"),
-        *more,
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []),
     )
 
 
@@ -484,8 +591,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components, over all links, of all whole texts of `documents`."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True).select("doc_id", "n_shingles", "component_id")
+    """Near-duplicate components of all whole texts of `documents`, and how many others each document links with."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE_SQL = {
@@ -502,8 +609,9 @@ ORACLE_SQL = {
             SELECT a, b FROM both_have JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
             WHERE {DENOMINATOR} * i >= {NUMERATOR} * (p.n + q.n - i)),
         reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.to_id)
-        SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(to_id) AS component_id
-        FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+        SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(to_id) AS component_id, coalesce(max(m.m), 0) AS n_links
+        FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS m FROM link GROUP BY 1) m USING (doc_id)
+        GROUP BY d.doc_id
     """
 }
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
