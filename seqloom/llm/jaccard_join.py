@@ -8,21 +8,22 @@ n-grams, so pairs are never rows: what leaves a block is a spanning forest of it
 
 1. Documents with equal sets form a class; one of each takes part.
 2. Of two sets that are similar enough, one n-gram at least is among the first few of both (prefix filter). Classes that share
-   none of these with another class are alone. The order decides how many pass here, and nothing else depends on it.
-3. The sets of those that are left are dealt to cells by the n-grams' hash: more cells than two linked sets can have different
-   n-grams, so one cell at least has the same content in both. Classes that share a cell's whole content form a group. That is
-   rare between texts that are not alike, however frequent their n-grams are: a shared passage fills no cell of its own.
-4. Each class meets, in blocks, the others that share most cells with the same head (the class with most copies). That joins up
-   groups of near copies in time linear in their size.
+   none of these with another class are alone; those that share one of at most BLOCK classes form its group.
+3. The sets of classes with a more frequent one are dealt to cells by the n-grams' hash: more cells than two linked sets can
+   have different n-grams, so one cell at least has the same content in both, and classes that share a cell's whole content
+   form a group. That is much rarer between texts that are not alike than a shared n-gram is. So, at any size, how well the
+   order tells rare n-grams from frequent ones decides how many classes are dealt to cells, in proportion, and nothing else.
+4. Each class meets, in blocks, the others that share most with the same head (the class of a group with the least key). That
+   joins up groups of near copies in time linear in their size.
 5. Groups that still fall into several components: their rows meet across components, in blocks, first as bitmaps (a bit is the
    parity of the n-grams hashed to it, so bitmaps never differ in more bits than sets do in n-grams), then, where some pair of
    the block may link, in fragments.
 6. Components of all links; then, if wanted, links are counted: both ends of a link are in one component, so the classes of each
    component meet in blocks of all their pairs, each pair once.
 
-No link is lost: linked classes share a prefix n-gram (2) and a cell (3), and either are in one component after (4) or meet
-in (5). The table of bucket counts has a fixed size; everything else that grows with the documents stays in DataFrames and is
-written to the shared folder.
+No link is lost: linked classes share a prefix n-gram of a small group (2) or are both dealt to cells and share one (3), and
+either are in one component after (4) or meet in (5). The table of bucket counts has a fixed size; everything else that grows
+with the documents stays in DataFrames and is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -499,23 +500,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Whatever is joined back to its rows is written first, so that both sides have an exchange and hot keys can be split.
     grams = materialize(rows.select("text").mapInArrow(prefixes, "gram long, set_key long"), "near-prefixes")
-    several = grams.groupBy("gram").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where(F.col("a") != F.col("b")).select("gram")
-    several = materialize(several, "near-several")
-    met = grams.join(several, "gram", "left_semi").select("set_key").distinct()
-    met = materialize(classes.join(met, "set_key").select("set_key", "key", "n", "copies"), "near-met")
+    several = grams.groupBy("gram").agg(F.count("*").alias("m"), F.min("set_key").alias("a"), F.max("set_key").alias("b")).where(F.col("a") != F.col("b"))
+    several = materialize(several.select("gram", (F.col("m") > BLOCK).alias("hot")), "near-several")
+    meeting = materialize(grams.join(several, "gram").select("gram", "set_key", "hot"), "near-meeting")
     discard(grams)
     discard(several)
+    met = meeting.groupBy("set_key").agg(F.max("hot").alias("hot"))
+    met = materialize(classes.join(met, "set_key").select("set_key", "key", "n", "copies", "hot"), "near-met")
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _First()
         for batch in batches:
-            keys, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, copies, hot = (batch.column(i).to_pylist() for i in range(3))
             who, bits, own, flat = [], [], [], []
-            for j, x in _sets_of(batch, 2):
+            for j, x in _sets_of(batch, 3):
                 if first(keys[j]):
                     who.append((keys[j], len(x), copies[j]))
                     bits += [bitmap(x), *[None] * (FRAGMENTS - 1)]
-                    own += [signed(cells(x, numerator, denominator)), *[None] * (FRAGMENTS - 1)]
+                    own += [signed(cells(x, numerator, denominator)) if hot[j] else None, *[None] * (FRAGMENTS - 1)]
                     flat += order.value.fragments(x)
             if who:
                 lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
@@ -526,17 +528,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # A row for each set and fragment; the first one has the bitmap and the cells. A set can come twice (equal texts that tasks
     # do not see together), with all its rows.
-    texts = rows.select("key", "text").join(met, "key").select("set_key", "copies", "text")
+    texts = rows.select("key", "text").join(met, "key").select("set_key", "copies", "hot", "text")
     schema = "set_key long, n long, copies long, fragment int, bits binary, cells array<bigint>, grams array<bigint>"
     sets = materialize(texts.mapInArrow(fragments, schema), "near-fragments")
     each = sets.where("fragment = 0")
 
-    content = each.select("set_key", "n", "copies", F.explode("cells").alias("cell"))
-    heads = content.groupBy("cell").agg(F.min(F.struct(-F.col("copies"), "set_key")).alias("_first"), F.min("set_key").alias("a"), F.max("set_key").alias("b"))
-    heads = materialize(heads.where(F.col("a") != F.col("b")).select("cell", F.col("_first.set_key").alias("head")), "near-heads")
-    groups = content.join(heads, "cell").groupBy("head", "set_key", "n", "copies").agg(F.count("*").alias("shared"))
+    small = meeting.where(~F.col("hot")).select("gram", "set_key").join(met.select("set_key", "n", "copies"), "set_key").select(F.col("gram").alias("point"), "set_key", "n", "copies")
+    shared = small.unionByName(each.select(F.explode("cells").alias("point"), "set_key", "n", "copies"))
+    heads = shared.groupBy("point").agg(F.min("set_key").alias("head"), F.max("set_key").alias("b")).where(F.col("head") != F.col("b"))
+    heads = materialize(heads.select("point", "head"), "near-heads")
+    groups = shared.join(heads, "point").groupBy("head", "set_key", "n", "copies").agg(F.count("*").alias("shared"))
     groups = materialize(groups, "near-groups")
     discard(heads)
+    discard(meeting)
 
     # Step 4: each class in the group of the head that it shares most with, and each head in its own.
     nearest = groups.groupBy("set_key", "n", "copies").agg(F.max(F.struct("shared", "head")).alias("_best")).select(F.col("_best.head").alias("head"), "set_key", "n", "copies")
