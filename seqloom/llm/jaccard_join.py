@@ -13,17 +13,18 @@ n-grams, so pairs are never rows: what leaves a block is a spanning forest of it
    have different n-grams, so one cell at least has the same content in both, and classes that share a cell's whole content
    form a group. That is much rarer between texts that are not alike than a shared n-gram is. So, at any size, how well the
    order tells rare n-grams from frequent ones decides how many classes are dealt to cells, in proportion, and nothing else.
-4. Each class meets, in blocks, the others that share most with the same head (the class of a group with the least key). That
-   joins up groups of near copies in time linear in their size.
-5. Groups that still fall into several components: their rows meet across components, in blocks, first as bitmaps (a bit is the
-   parity of the n-grams hashed to it, so bitmaps never differ in more bits than sets do in n-grams), then, where some pair of
-   the block may link, in fragments.
-6. Components of all links; then, if wanted, links are counted: both ends of a link are in one component, so the classes of each
-   component meet in blocks of all their pairs, each pair once.
-
-No link is lost: linked classes share a prefix n-gram of a small group (2) or are both dealt to cells and share one (3), and
-either are in one component after (4) or meet in (5). The table of bucket counts has a fixed size; everything else that grows
-with the documents stays in DataFrames and is written to the shared folder.
+4. Bitmaps stand for sets at first (a bit is the parity of the n-grams hashed to it, so bitmaps never differ in more bits than
+   sets do in n-grams), and pairs whose bitmaps are close enough may link. Each class meets, in blocks, the others that share
+   most with the same head (the class of a group with the least key), which joins up groups of near copies in time linear in
+   their size; where a group still falls into several components, its rows meet across these.
+5. Only classes that may link with another one are cut into fragments. Those of a component of (4) meet in blocks, all pairs once,
+   and overlaps are counted. Where the number of links is not asked for, they meet around a head first, and after that only
+   across what is not yet one component.
+6. Components of all links.
+
+No link is lost: linked classes share a prefix n-gram of a small group (2) or are both dealt to cells and share one (3), so they
+are in one component of (4), and all pairs of that which are not known to be connected are counted in (5). The table of bucket
+counts has a fixed size; everything else that grows with the documents stays in DataFrames and is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -194,16 +195,26 @@ def may_link(left: list[bytes], right: list[bytes], na: np.ndarray, nb: np.ndarr
     """Which pairs of sets, given as bitmaps and sizes, may be similar enough. False is certain.
 
     The intersection is half of what both sizes exceed the number of differing n-grams by, and that is at least the number of
-    differing bits. The bits are taken in parts, whose distances are added up.
+    differing bits. Bitmaps of one length meet those of another one folded to the shorter of the two, unless the sizes say
+    enough. The bits are taken in parts, whose distances are added up.
     """
-    size = 8 * min(map(len, (*left, *right)))
-    a, b = _folded(left, size), _folded(right, size)
-    same = np.zeros((len(left), len(right)), np.float64)
-    for at in range(0, size // 8, 512):
-        x, y = (1.0 - 2.0 * np.unpackbits(m[:, at : at + 512], axis=1).astype(np.float32) for m in (a, b))
-        same += x @ y.T
-    both = (na[:, None] + nb[None, :] - (size - same) / 2) / 2
-    return denominator * both >= numerator * (na[:, None] + nb[None, :] - both)
+    out = np.zeros((len(left), len(right)), bool)
+    la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for p in np.unique(la):
+        for q in np.unique(lb):
+            i, j = np.flatnonzero(la == p), np.flatnonzero(lb == q)
+            if denominator * na[i].max() < numerator * nb[j].min() or denominator * nb[j].max() < numerator * na[i].min():
+                continue
+            size = 8 * int(min(p, q))
+            a, b = _folded([left[x] for x in i], size), _folded([right[x] for x in j], size)
+            same = np.zeros((len(i), len(j)), np.float64)
+            for at in range(0, size // 8, 512):
+                x, y = (1.0 - 2.0 * np.unpackbits(m[:, at : at + 512], axis=1).astype(np.float32) for m in (a, b))
+                same += x @ y.T
+            m, n = na[i][:, None], nb[j][None, :]
+            both = np.minimum((m + n - (size - same) / 2) / 2, np.minimum(m, n))
+            out[np.ix_(i, j)] = denominator * both >= numerator * (m + n - both)
+    return out
 
 
 def size_limits(most: int, numerator: int, denominator: int) -> np.ndarray:
@@ -250,31 +261,27 @@ def cells(shingles: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
 
 def _may(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Out of rows (of, side, set_key, n, copies, component, bits) in the order of `of`, those of sets that may link with
-        one of another component in their block."""
+        """A spanning forest (a, b) of what may link in each block, between different components, out of rows (of, side, set_key,
+        n, component, bits) in the order of `of`."""
         block, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            left = [r for r in rows if r[0] != 1]
-            right = [r for r in rows if r[0] != 0]
+            left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
             if not left or not right:
                 return
             sizes = [np.array([r[2] for r in x], np.float64) for x in (left, right)]
-            good = may_link([r[5] for r in left], [r[5] for r in right], *sizes, numerator, denominator)
-            good &= np.array([r[4] for r in left])[:, None] != np.array([r[4] for r in right])[None, :]
-            kept = [left[i] for i in np.flatnonzero(good.any(axis=1))]
-            kept += [right[i] for i in np.flatnonzero(good.any(axis=0))]
-            kept = sorted({r[:4] for r in kept})
-            if kept:
-                columns = [pa.array([r[i] for r in kept], pa.int32() if i == 0 else pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(kept), pa.int64()), *columns], ["of", "side", "set_key", "n", "copies"])
+            good = may_link([r[4] for r in left], [r[4] for r in right], *sizes, numerator, denominator)
+            good &= np.array([r[3] for r in left])[:, None] != np.array([r[3] for r in right])[None, :]
+            i, j = forest(good)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[1] for r in left])[i]), pa.array(np.array([r[1] for r in right])[j])], ["a", "b"])
 
         for batch in batches:
-            for of, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for of, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if of != block:
                     yield from done()
                     block, rows = of, []
-                rows.append(tuple(row))
+                rows.append(row)
         yield from done()
 
     return run
@@ -369,7 +376,7 @@ def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _summed(numerator: int, denominator: int, number: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up the parts of each block, out of rows (of, who, part) in the order of `of`: a spanning forest of the links as
-        (a, b, null), or, with `number`, (a, null, rows that the set links with in this block)."""
+        (a, b, null) and, with `number`, (a, null, how many rows the set links with in this block)."""
         block, who, total = None, None, None
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -378,17 +385,15 @@ def _summed(numerator: int, denominator: int, number: bool):
             left, right = who[who[:, 0] != 1], who[who[:, 0] != 0]
             whole = left[:, 2][:, None] + right[:, 2][None, :]
             good = denominator * total >= numerator * (whole - total)
-            if number:
-                a, b, m = left[:, 1], None, good @ right[:, 3]
+            i, j = forest(good)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(left[i, 1]), pa.array(right[j, 1]), pa.nulls(len(i), pa.int64())], ["a", "b", "m"])
+            if number and len(i):
+                a, m = left[:, 1], good @ right[:, 3]
                 if who[0, 0] != 2:
                     a, m = np.append(a, right[:, 1]), np.append(m, left[:, 3] @ good)
                 a, m = a[m > 0], m[m > 0]
-            else:
-                i, j = forest(good)
-                a, b, m = left[i, 1], right[j, 1], None
-            if len(a):
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if m is None else pa.array(m)], ["a", "b", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(m)], ["a", "b", "m"])
 
         for batch in batches:
             for of, raw, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -403,11 +408,37 @@ def _summed(numerator: int, denominator: int, number: bool):
     return run
 
 
-def _counted(work: DataFrame, sets: DataFrame, numerator: int, denominator: int, number: bool = False) -> DataFrame:
-    """(a, b, m) of the blocks in `work` (of, side, set_key, n, copies). Side 0 meets side 1; sets of side 2 meet each other."""
-    rows = work.join(sets.select("set_key", "fragment", "grams"), "set_key").select("of", "fragment", "side", "set_key", "n", "copies", "grams")
-    parts = rows.repartition("of", "fragment").sortWithinPartitions("of", "fragment", "side", "set_key").mapInArrow(_partial, "of long, fragment int, who binary, part binary")
-    return parts.select("of", "who", "part").repartition("of").sortWithinPartitions("of").mapInArrow(_summed(numerator, denominator, number), "a long, b long, m long")
+def _fragments(order, fragments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (of, fragment, side, set_key, n, copies, grams) of the sets of texts, for each block that a set is in, out of rows
+        (set_key, copies, blocks, text)."""
+        first, names = _First(), ["of", "fragment", "side", "set_key", "n", "copies", "grams"]
+        where, sizes, flat, held = [], [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            own = np.array(where, np.int64).reshape(-1, 6)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(signed(np.concatenate(flat))))
+            return pa.RecordBatch.from_arrays([*(pa.array(own[:, i], kind) for i, kind in enumerate(kinds)), lists], names)
+
+        for batch in batches:
+            keys, copies, blocks = (batch.column(i).to_pylist() for i in range(3))
+            for j, x in _sets_of(batch, 3):
+                if not first(keys[j]):
+                    continue
+                parts = order.value.fragments(x)
+                for block in blocks[j]:
+                    where += [(block["of"], f, block["side"], keys[j], len(x), copies[j]) for f in range(fragments)]
+                    sizes += [len(p) for p in parts]
+                    flat += parts
+                    held += len(x)
+                    if held > GRAMS:
+                        yield rows()
+                        where, sizes, flat, held = [], [], [], 0
+        if where:
+            yield rows()
+
+    return run
 
 
 def _n_cells(count: Column, grams: Column) -> Column:
@@ -508,66 +539,73 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = meeting.groupBy("set_key").agg(F.max("hot").alias("hot"))
     met = materialize(classes.join(met, "set_key").select("set_key", "key", "n", "copies", "hot"), "near-met")
 
-    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _First()
         for batch in batches:
-            keys, copies, hot = (batch.column(i).to_pylist() for i in range(3))
-            who, bits, own, flat = [], [], [], []
-            for j, x in _sets_of(batch, 3):
+            keys, hot = (batch.column(i).to_pylist() for i in range(2))
+            who, bits, own = [], [], []
+            for j, x in _sets_of(batch, 2):
                 if first(keys[j]):
-                    who.append((keys[j], len(x), copies[j]))
-                    bits += [bitmap(x), *[None] * (FRAGMENTS - 1)]
-                    own += [signed(cells(x, numerator, denominator)) if hot[j] else None, *[None] * (FRAGMENTS - 1)]
-                    flat += order.value.fragments(x)
+                    who.append((keys[j], len(x)))
+                    bits.append(bitmap(x))
+                    own.append(signed(cells(x, numerator, denominator)) if hot[j] else None)
             if who:
-                lengths = np.cumsum([0, *(len(p) for p in flat)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(signed(np.concatenate(flat))))
-                columns = [pa.array(np.repeat([w[i] for w in who], FRAGMENTS), pa.int64()) for i in range(3)]
-                columns += [pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(who))), pa.array(bits, pa.binary()), pa.array(own, pa.list_(pa.int64())), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["set_key", "n", "copies", "fragment", "bits", "cells", "grams"])
-
-    # A row for each set and fragment; the first one has the bitmap and the cells. A set can come twice (equal texts that tasks
-    # do not see together), with all its rows.
-    texts = rows.select("key", "text").join(met, "key").select("set_key", "copies", "hot", "text")
-    schema = "set_key long, n long, copies long, fragment int, bits binary, cells array<bigint>, grams array<bigint>"
-    sets = materialize(texts.mapInArrow(fragments, schema), "near-fragments")
-    each = sets.where("fragment = 0")
-
-    small = meeting.where(~F.col("hot")).select("gram", "set_key").join(met.select("set_key", "n", "copies"), "set_key").select(F.col("gram").alias("point"), "set_key", "n", "copies")
-    shared = small.unionByName(each.select(F.explode("cells").alias("point"), "set_key", "n", "copies"))
+                yield pa.RecordBatch.from_arrays([*(pa.array([w[i] for w in who], pa.int64()) for i in range(2)), pa.array(bits, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["set_key", "n", "bits", "cells"])
+
+    # A set can come twice here (equal texts that tasks do not see together).
+    texts = rows.select("key", "text").join(met, "key").select("set_key", "hot", "text")
+    each = materialize(texts.mapInArrow(signs, "set_key long, n long, bits binary, cells array<bigint>"), "near-signs")
+
+    shared = meeting.where(~F.col("hot")).select(F.col("gram").alias("point"), "set_key").unionByName(each.select(F.explode("cells").alias("point"), "set_key"))
     heads = shared.groupBy("point").agg(F.min("set_key").alias("head"), F.max("set_key").alias("b")).where(F.col("head") != F.col("b"))
     heads = materialize(heads.select("point", "head"), "near-heads")
-    groups = shared.join(heads, "point").groupBy("head", "set_key", "n", "copies").agg(F.count("*").alias("shared"))
-    groups = materialize(groups, "near-groups")
+    groups = shared.join(heads, "point").groupBy("head", "set_key").agg(F.count("*").alias("shared"))
+    groups = materialize(groups.join(met.select("set_key", "n", "copies"), "set_key"), "near-groups")
     discard(heads)
     discard(meeting)
 
+    def may(work: DataFrame) -> DataFrame:
+        both = work.join(each.select("set_key", "bits"), "set_key").select("of", "side", "set_key", "n", "component", "bits")
+        return materialize(both.repartition("of").sortWithinPartitions("of").mapInArrow(_may(numerator, denominator), "a long, b long"), "near-may")
+
     # Step 4: each class in the group of the head that it shares most with, and each head in its own.
     nearest = groups.groupBy("set_key", "n", "copies").agg(F.max(F.struct("shared", "head")).alias("_best")).select(F.col("_best.head").alias("head"), "set_key", "n", "copies")
-    nearest = nearest.where(F.col("head") != F.col("set_key")).unionByName(groups.where(F.col("head") == F.col("set_key")).select("head", "set_key", "n", "copies"))
-    star = materialize(_counted(_around_heads(materialize(nearest, "near-nearest")), sets, numerator, denominator), "near-star").select("a", "b")
+    groups = groups.select("head", "set_key", "n", "copies")
+    nearest = nearest.where(F.col("head") != F.col("set_key")).unionByName(groups.where(F.col("head") == F.col("set_key")))
+    star = may(_around_heads(materialize(nearest, "near-nearest")).withColumn("component", F.col("set_key")))
     joined = components(star)
+    cross = may(_across(groups, joined))
+    maybe = joined if cross.isEmpty() else components(star.unionByName(cross))
+    inside = materialize(met.join(maybe, F.col("set_key") == F.col("node")).select("label", "set_key", "n", "copies", "key"), "near-inside")
+    discard(each)
+
+    # Steps 5 and 6.
+    def counted(work: DataFrame) -> DataFrame:
+        """Overlaps in the blocks `work` (of, side, set_key, n, copies). Side 0 meets side 1; sets of side 2 meet each other."""
+        at = work.groupBy("set_key").agg(F.collect_list(F.struct("of", "side")).alias("blocks"))  # as many as its component has parts
+        at = materialize(inside.select("set_key", "key", "copies").join(at, "set_key"), "near-blocks")
+        own = rows.select("key", "text").join(at, "key").select("set_key", "copies", "blocks", "text")
+        own = own.mapInArrow(_fragments(order, FRAGMENTS), "of long, fragment int, side int, set_key long, n long, copies long, grams array<bigint>")
+        parts = own.repartition("of", "fragment").sortWithinPartitions("of", "fragment", "side", "set_key").mapInArrow(_partial, "of long, fragment int, who binary, part binary")
+        parts = parts.select("of", "who", "part").repartition("of").sortWithinPartitions("of")
+        return materialize(parts.mapInArrow(_summed(numerator, denominator, links), "a long, b long, m long"), "near-links")
 
-    # Step 5.
-    may = _across(groups.select("head", "set_key", "n", "copies"), joined)
-    may = may.join(each.select("set_key", "bits"), "set_key").select("of", "side", "set_key", "n", "copies", "component", "bits")
-    may = may.repartition("of").sortWithinPartitions("of").mapInArrow(_may(numerator, denominator), "of long, side int, set_key long, n long, copies long")
-    cross = materialize(_counted(materialize(may, "near-may"), sets, numerator, denominator), "near-cross").select("a", "b")
-
-    # Step 6.
-    final = joined if cross.isEmpty() else components(star.unionByName(cross))
-    named = classes.join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "n", "copies", "doc", F.coalesce("label", "set_key").alias("label"))
+    if links:
+        found = counted(_all_pairs(inside, "label"))
+    else:
+        around = inside.select(F.col("label").alias("head"), "set_key", "n", "copies")
+        found = counted(_around_heads(around))
+        found = found.unionByName(counted(_across(around, components(found.select("a", "b")))))
+    final = components(found.select("a", "b"))
+    named = classes.join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "copies", "doc", F.coalesce("label", "set_key").alias("label"))
     named = materialize(named, "near-named")
     least = materialize(named.groupBy("label").agg(F.min("doc").alias("component_id")), "near-least")
     ids = named.join(least, "label").select("set_key", "component_id", "label", (F.col("copies") - 1).alias("n_links"))
     if links:
-        met = named.where(F.col("label") != F.col("set_key")).select("label").distinct()
-        inside = named.join(materialize(met, "near-several-sets"), "label", "left_semi").select("label", "set_key", "n", "copies")
-        others = _counted(_all_pairs(inside, "label"), sets, numerator, denominator, number=True)
-        others = materialize(others.groupBy("a").agg(F.sum("m").alias("m")), "near-numbers")
+        others = materialize(found.groupBy("a").agg(F.sum("m").alias("m")), "near-numbers")
         ids = ids.join(others, F.col("set_key") == F.col("a"), "left").withColumn("n_links", F.col("n_links") + F.coalesce("m", F.lit(0))).drop("a", "m")
     ids = materialize(ids, "near-ids")
-    for used in (sets, groups, named, least):
+    for used in (named, least, inside):
         discard(used)
     out = members.join(ids, "set_key", "left")
     own = F.col("n") == 0
