@@ -4,8 +4,10 @@ Method: a text is brought to a canonical form (case, punctuation, copyright line
 form is hashed, and the hash is joined with the digests of known licence texts. Entire texts are matched, and, by the same
 lookup, each entire line, which finds one-line notices inside longer documents. There is no search for parts of a text.
 
-Everything runs in Spark's own expressions. The table of known digests is a constant of this module (a fixed number of rows),
-so its broadcast has a proven bound; the document side is never shuffled.
+Everything runs in Spark's own expressions, in one scan: each line is brought to its form once, the text's form is made of its
+lines' forms, and the digests of both go through one hash join. The known digests of this module are a constant (a fixed number
+of rows), so their broadcast has a proven bound; a larger table of the caller's is joined as Spark sees fit. What is shuffled,
+to bring a row's digests together again, is a row of digests for each document, and never a text.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     ),
 ]
-#: The first two paragraphs of the Unlicense; the SQL has them, the operator does not take them for the licence.
+#: The first two paragraphs of the Unlicense, which are not the licence.
 _CUT = [n for n in NOTICES if n[0] == "Unlicense"]
 _BODY = {i: t for i, t in NOTICES if "\n" in t and i != "Unlicense"}
 _UNLICENSE = (
@@ -121,19 +123,42 @@ WORDS = {
 }
 PHRASES = {"copyright owner": "copyright holder", "non infringement": "noninfringement"}
 #: A line that says no more than whose copyright it is, or that all rights are reserved.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright |\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright |\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[ \t#*/;-]*all rights reserved\.?[ \t]*$"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same without the end of a line.
+NOT_WORD_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The known digests of a caller's table that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: lower case, no copyright lines, one space for each run of other than letters and digits, one
-    spelling for equivalent ones. Null stays null; a text without letters and digits has the empty form."""
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), NOT_WORD, " "))
+def line_forms(text: Column) -> Column:
+    """The form of each line that has letters or digits, before equivalent phrases are levelled: lower case, no copyright lines,
+    one space for each run of other than letters and digits, one spelling for equivalent words. Null has no lines."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), NOT_WORD_IN_LINE, " "), "\n")
     same = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
-    out = F.array_join(F.transform(F.split(spaced, " "), lambda w: F.coalesce(same[w], w)), " ")
+
+    def form(line: Column) -> Column:
+        framed = F.concat(F.lit(" "), line, F.lit(" "))
+        some = F.lit(False)
+        for word in WORDS:  # most lines have none of these words, and are not taken apart
+            some = some | framed.contains(f" {word} ")
+        mapped = F.array_join(F.transform(F.split(F.trim(line), " "), lambda w: F.coalesce(same[w], w)), " ")
+        return F.when(some, mapped).otherwise(F.trim(line))
+
+    return F.filter(F.transform(lines, form), lambda x: x != "")
+
+
+def level_phrases(form: Column) -> Column:
+    """One spelling for equivalent phrases."""
     for old, new in PHRASES.items():
-        out = F.regexp_replace(out, f"(^| ){old}( |$)", f"$1{new}$2")
-    return out
+        form = F.when(form.contains(old), F.regexp_replace(form, f"(^| ){old}( |$)", f"$1{new}$2")).otherwise(form)
+    return form
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text, made of its lines' forms. Null stays null; a text without letters and digits has the empty
+    form."""
+    return level_phrases(F.array_join(line_forms(text), " "))
 
 
 def digest(text: Column) -> Column:
@@ -141,14 +166,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the known notices, and of whole texts with and without their titles."""
+    return [n for n in NOTICES if n not in _CUT] + [(i, t) for i, body, titles in TEXTS for t in (body, *(f"{x}\n\n{body}" for x in titles))]
+
+
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_digest, license_id) of the known texts, one row for each digest (the first id by name where two are equal)."""
-    if notices is None:
-        notices = [n for n in NOTICES if n not in _CUT] + [(i, t) for i, body, titles in TEXTS for t in (body, *(f"{x}\n\n{body}" for x in titles))]
-        ready = spark.createDataFrame(DIGESTS, "license_id string, license_digest string")
-    else:
-        ready = spark.createDataFrame([], "license_id string, license_digest string")
-    rows = spark.createDataFrame(notices, "license_id string, known_text string").select("license_id", digest(F.col("known_text")).alias("license_digest"))
+    ready = spark.createDataFrame(DIGESTS if notices is None else [], "license_id string, license_digest string")
+    rows = spark.createDataFrame(known_texts() if notices is None else notices, "license_id string, known_text string").select("license_id", digest(F.col("known_text")).alias("license_digest"))
     return rows.unionByName(ready).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -157,32 +183,30 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
     Returns one row for each row of `docs` (repeated rows stay repeated): the id, `license_digest` of the whole text,
     `license_id` (null: not a known licence), `n_license_lines`, how many lines are entirely a known notice, and
-    `line_licenses`, their distinct ids sorted and joined by commas (empty for none). Rows that share an id share what their
-    lines hold; a null id counts as an id. A null text has a null digest, no licence and no lines; an empty text has the
-    digest of the empty form, and no licence. An empty table gives an empty table. Other columns of `docs` are ignored,
-    whatever their names.
+    `line_licenses`, their distinct ids sorted and joined by commas (empty for none). Ids may be null or repeated; nothing is
+    joined on them. A null text has a null digest, no licence and no lines; an empty text has the digest of the empty form, and
+    no licence. An empty table gives an empty table. Other columns of `docs` are ignored, whatever their names.
 
-    `known` (license_digest, license_id) is broadcast and refused over 100,000 rows; the default is a constant.
+    `known` (license_digest, license_id) may have any size; of rows that share a digest the first id by name counts, and rows
+    with a null are left out. It is broadcast only up to BROADCAST_ROWS rows. The default is a constant.
     """
-    spark = docs.sparkSession
-    if known is None:
-        known = known_digests(spark)
-    elif known.limit(100_001).count() > 100_000:
-        raise ValueError("more than 100,000 known digests: too many to broadcast")
-    table = F.broadcast(known.select(F.col("license_digest").alias("_d"), F.col("license_id").alias("_l")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    whole = rows.select("_id", digest(F.col("_text")).alias("_digest"))
-    whole = whole.join(table, F.col("_digest") == F.col("_d"), "left").select("_id", "_digest", F.col("_l").alias("_whole"))
-    lines = rows.select("_id", F.explode(F.split("_text", "\n")).alias("_line"))
-    lines = lines.where(F.trim("_line") != "").select("_id", digest(F.col("_line")).alias("_digest"))
-    found = lines.join(table, F.col("_digest") == F.col("_d")).groupBy(F.col("_id").alias("_of"))
-    found = found.agg(F.count("*").alias("_n"), F.array_join(F.array_sort(F.collect_set("_l")), ",").alias("_ids"))
-    return whole.join(found, F.col("_id").eqNullSafe(F.col("_of")), "left").select(
+    few = known is None or known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = known_digests(docs.sparkSession) if known is None else known.dropna().groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+    table = known.select(F.col("license_digest").alias("_d"), F.col("license_id").alias("_l"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), line_forms(F.col(f"`{text_col}`").cast("string")).alias("_lines"))
+    kinds = lambda whole, form: F.struct(F.lit(whole).alias("whole"), F.sha2(level_phrases(form), 256).alias("digest"))
+    every = F.concat(F.array(kinds(True, F.array_join("_lines", " "))), F.coalesce(F.transform("_lines", lambda x: kinds(False, x)), F.array().cast("array<struct<whole:boolean,digest:string>>")))
+    each = rows.select("_id", "_row", F.explode(every).alias("_x")).select("_id", "_row", "_x.*")
+    found = each.join(F.broadcast(table) if few else table, F.col("digest") == F.col("_d"), "left").where(F.col("whole") | F.col("_l").isNotNull())
+    line = F.when(~F.col("whole"), F.col("_l"))
+    whole = lambda c: F.max(F.when(F.col("whole"), F.col(c)))
+    out = found.groupBy("_row", "_id").agg(whole("digest").alias("_digest"), whole("_l").alias("_whole"), F.count(line).alias("_n"), F.collect_set(line).alias("_ids"))
+    return out.select(
         F.col("_id").alias(id_col),
         F.col("_digest").alias("license_digest"),
         F.col("_whole").alias("license_id"),
-        F.coalesce("_n", F.lit(0).cast("long")).alias("n_license_lines"),
-        F.coalesce("_ids", F.lit("")).alias("line_licenses"),
+        F.col("_n").alias("n_license_lines"),
+        F.array_join(F.array_sort("_ids"), ",").alias("line_licenses"),
     )
 
 
@@ -196,10 +220,13 @@ def _sql_canonical(x: str) -> str:
 
 
 def _sql() -> str:
-    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICES)
+    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known_texts())
+    ready = ", ".join(f"('{d}', '{i}')" for i, d in DIGESTS)
     return f"""
         WITH known AS (
-            SELECT sha256({_sql_canonical("t")}) AS d, min(i) AS l FROM (VALUES {values}) AS k(i, t) GROUP BY 1),
+            SELECT d, min(i) AS l
+            FROM (SELECT sha256({_sql_canonical("t")}) AS d, i FROM (VALUES {values}) AS k(i, t) UNION ALL FROM (VALUES {ready}) AS r(d, i))
+            GROUP BY 1),
         line AS (
             SELECT doc_id, sha256({_sql_canonical("x")}) AS d
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''),
