@@ -21,8 +21,8 @@ from seqloom.llm.store import discard, materialize
 DAMPING, WRITE_EVERY, THRESHOLD = 0.85, 4, 0.5
 #: Scores have settled when none changes by more than this share of itself; what is below LEAST counts as nothing.
 CLOSE_ENOUGH, LEAST = 1e-6, 1e-300
-#: The most rules that are tried as expressions on each url.
-MAX_RULES = 2000
+#: Up to so many rules are tried as expressions on each url; more are joined with the urls' hosts.
+AS_EXPRESSIONS = 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = [
@@ -48,8 +48,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(size, rule, verdict) of the longest rule that fits, or null. A rule fits its host and all subdomains, for paths
     that start with the rule's path; of two equally long ones the later by name counts."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     none = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
     fits = []
     for verdict, rule in rules:
@@ -59,6 +57,24 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
     return F.array_max(F.array_compact(F.array(*fits))) if fits else none
 
 
+def with_best_rule(parts: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """The rows (with host and path) and `_best`, as of `best_rule`. `rules` is a list of (verdict, rule), or a table with these
+    columns of any size. The table is joined, on each host and all that it is a subdomain of, with the distinct pairs of host
+    and path, which are joined back then; nothing is broadcast but what Spark finds small enough."""
+    if isinstance(rules, list) and len(rules) <= AS_EXPRESSIONS:
+        return parts.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
+    table = parts.sparkSession.createDataFrame(rules, "verdict string, rule string") if isinstance(rules, list) else rules
+    table = table.select("verdict", "rule").dropna().withColumns({"_at": F.instr("rule", "/")})
+    under = F.when(F.col("_at") > 0, F.expr("substring(rule, _at)")).otherwise("")
+    table = table.select(F.when(F.col("_at") > 0, F.expr("substring(rule, 1, _at - 1)")).otherwise(F.col("rule")).alias("_suffix"), under.alias("_under"), F.struct(F.length("rule").alias("size"), "rule", "verdict").alias("_fits"))
+    pairs = parts.select("host", "path").distinct()
+    labels = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = pairs.withColumn("_suffix", F.explode(suffixes)).join(table, "_suffix").where(F.col("path").startswith(F.col("_under")))
+    best = own.groupBy(F.col("host").alias("_bh"), F.col("path").alias("_bp")).agg(F.max("_fits").alias("_best"))
+    return parts.join(best, (F.col("host") == F.col("_bh")) & (F.col("path") == F.col("_bp")), "left").drop("_bh", "_bp")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): how many pages of one host link to another one. `pages` has (host, html). Links without a host
     of their own stay on the host and make no edge."""
@@ -74,8 +90,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damp
     """Trust along the edges and distrust against them.
 
     `edges` (src, dst, weight) has each pair of hosts once; `seeds` (host, trust, distrust) has non-negative weights, each
-    host once. Returns (host, trust, distrust) of every host that anything reached; each kind starts with a sum of one (zero
-    if it has no seeds), and what arrives at a host without a way on is lost. Rows with nulls are left out.
+    host once. Returns (host, trust, distrust) of every host that anything reached; each kind has a sum of one (zero if it has no
+    seeds). What arrives at a host without a way on goes back to the seeds: since the scores are linear in what the seeds get,
+    that is the same as letting it go and bringing the sum to one at the end. Rows with nulls are left out.
 
     Ends when, between two written steps, no host was reached anew and no score changed by more than CLOSE_ENOUGH of itself, so
     the end does not depend on how small the scores are or how long the ways. That comes by itself: all that can be reached is
@@ -114,28 +131,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damp
                     scores = after
                     break
             scores = kept = after
+    whole = scores.groupBy("kind").agg(F.sum("score").alias("whole"))  # two rows at most
+    parts = scores.join(F.broadcast(whole), "kind").withColumn("score", F.col("score") / F.col("whole"))
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    return scores.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
+    out = materialize(parts.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust")), "url-hosts")
+    for used in (start, ways, *([kept] if kept is not None else [])):
+        discard(used)
+    return out
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A verdict for every url.
 
     Returns one row for each row (repeated rows stay repeated): page_id, host, path, rule (the longest that fits, or null),
     verdict (`allow` or `block`), trust and distrust of the host (0 if nothing reached it). Without a rule a host is blocked
     if distrust / (trust + distrust) exceeds `threshold`, and allowed otherwise; so is the empty host of a null url or one
-    without ``://``. Seeds are hosts weighted by how many of their pages a rule allows or blocks. Null html has no links. An
-    empty table gives none. Other columns are ignored, whatever their names.
+    without ``://``. `rules` is a list of (verdict, rule) or a table with these columns, of any size. Seeds are hosts weighted by
+    how many of their pages a rule allows or blocks. Null html has no links. An empty table gives none. Other columns are
+    ignored, whatever their names.
     """
     raw = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("html"))
     host, path = host_and_path(F.col("_url"))
     parts = raw.withColumns({"host": host, "path": path})
-    judged = parts.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
+    judged = with_best_rule(parts, rules)
     verdict = F.col("_best.verdict")
     seeds = judged.where((F.col("host") != "") & verdict.isNotNull()).groupBy("host")
     seeds = seeds.agg(F.sum((verdict == "allow").cast("double")).alias("trust"), F.sum((verdict == "block").cast("double")).alias("distrust"))
     scores = propagate(host_edges(parts.select("host", "html")), seeds)
-    scores = materialize(scores, "url-hosts").withColumnRenamed("host", "_host")
+    scores = scores.withColumnRenamed("host", "_host")
     both = judged.join(scores, F.col("host") == F.col("_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
