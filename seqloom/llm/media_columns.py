@@ -1,8 +1,8 @@
 """Media columns: ISO base media containers as tables of codecs, durations and keyframe byte ranges.
 
 `parse` walks the nested boxes of one container (32-bit, 64-bit and to-the-end sizes), decodes the sample tables of each track
-(time-to-sample, sample-to-chunk, sample sizes, chunk offsets, sync samples) and turns them into byte ranges. The payload in
-`mdat` is never decoded. `wrap` writes a container of fixed-size 8-bit samples, so that bytes of any kind can be stored
+(time-to-sample, sample-to-chunk, sample sizes, chunk offsets, sync samples), and the runs of fragmented files (`moof`), and turns
+them into byte ranges. The payload in `mdat` is never decoded. `wrap` writes a container of fixed-size 8-bit samples, so that bytes of any kind can be stored
 losslessly and read back through the sample tables alone.
 
 The operator is one pass over the rows in Arrow batches: no shuffle and no state between rows.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SAMPLE, PER_CHUNK, GROUP = 64, 256, 32
 TIMESCALE, SAMPLE_TICKS = 8000, 64
 #: Boxes that hold other boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"udta"}
 #: Box headers nested deeper than this are not followed.
 DEEPEST = 16
 
@@ -40,6 +40,7 @@ class Track:
 
     codec: str = ""
     kind: str = ""
+    number: int = 0
     timescale: int = 0
     duration: int = 0
     starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -57,7 +58,7 @@ class Track:
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, start, end) of the body of each box in [start, end)."""
+    """(type, start of the box, start of its body, end) of each box in [start, end)."""
     at = start
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -70,7 +71,7 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
             size = end - at
         if size < body - at or at + size > end:
             raise MediaError(f"box {kind!r} does not fit in what holds it")
-        yield kind, body, at + size
+        yield kind, at, body, at + size
         at += size
 
 
@@ -152,39 +153,131 @@ def _samples(data: memoryview, found: dict[bytes, tuple[int, int]], track: Track
         track.sync = np.arange(n)
 
 
-def parse(data: bytes) -> list[Track]:
-    """The tracks of a container. MediaError if it has no `moov`, or a box or table does not fit."""
+@dataclass
+class _Run:
+    """Samples of one `trun`."""
+
+    start: int
+    sizes: np.ndarray
+    ticks: int
+    sync: np.ndarray
+
+
+def _fields(data: memoryview, at: int, end: int, flags: int, names: dict[int, str]) -> tuple[dict[int, int], int]:
+    """Optional 32-bit (q: 64-bit) fields that the flags announce, by their flag, and where they end."""
+    out = {}
+    for flag, kind in names.items():
+        if flags & flag:
+            size = struct.calcsize(kind)
+            if at + size > end:
+                raise MediaError("a fragment header is cut short")
+            out[flag] = struct.unpack_from(kind, data, at)[0]
+            at += size
+    return out, at
+
+
+def _fragment(data: memoryview, start: int, parts: list[tuple[bytes, int, int]], base: int, defaults: dict[int, tuple[int, int, int]]) -> tuple[int, list[_Run], int]:
+    """(track, runs, end of the data) of one `traf` of the `moof` that begins at `start`; `base` is where its data begins unless
+    it says otherwise. Defaults of a track: ticks, size and flags of a sample."""
+    header = next(((a, b) for kind, a, b in parts if kind == b"tfhd"), None)
+    if header is None:
+        raise MediaError("no tfhd box")
+    a, b = header
+    flags, number = _u32(data, a, b) & 0xFFFFFF, _u32(data, a + 4, b)
+    own, _ = _fields(data, a + 8, b, flags, {0x1: ">Q", 0x2: ">I", 0x8: ">I", 0x10: ">I", 0x20: ">I"})
+    ticks, size, mark = defaults.get(number, (0, 0, 0))
+    ticks, size, mark = own.get(0x8, ticks), own.get(0x10, size), own.get(0x20, mark)
+    base = own.get(0x1, start if flags & 0x20000 else base)
+    at, runs = base, []
+    for kind, a, b in parts:
+        if kind != b"trun":
+            continue
+        flags, n = _u32(data, a, b) & 0xFFFFFF, _u32(data, a + 4, b)
+        head, body = _fields(data, a + 8, b, flags, {0x1: ">i", 0x4: ">I"})
+        has = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+        if not has and n > len(data):
+            raise MediaError("more samples than bytes")
+        table = dict(zip(has, _table(data, body, b, n * len(has), ">u4").reshape(n, len(has)).T, strict=True))
+        sizes = table.get(0x200, np.full(n, size, np.int64))
+        marks = table.get(0x400, np.full(n, mark, np.int64))
+        if 0x4 in head and n:
+            marks = np.append(head[0x4], marks[1:])
+        at = base + head[0x1] if 0x1 in head else at
+        runs.append(_Run(at, sizes, int(table[0x100].sum()) if 0x100 in table else n * ticks, (marks & 0x10000) == 0))
+        at += int(sizes.sum())
+        if runs[-1].start < 0 or at > len(data):
+            raise MediaError("a sample lies outside the container")
+    return number, runs, at
+
+
+def _add_runs(track: Track, runs: list[_Run]) -> None:
+    for run in runs:
+        before, n = np.cumsum(run.sizes) - run.sizes, len(track.sizes)
+        track.starts = np.append(track.starts, run.start + before)
+        track.sizes = np.append(track.sizes, run.sizes)
+        track.sync = np.append(track.sync, n + np.flatnonzero(run.sync))
+        track.duration += run.ticks
+
+
+def read(data: bytes) -> tuple[list[Track], list[str]]:
+    """The tracks of a container, and what is wrong with those that cannot be read and are left out. MediaError if it has no
+    `moov`, or its boxes do not fit in each other."""
     view = memoryview(data)
     tracks: list[Track] = []
+    wrong: list[str] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: dict[int, list[_Run]] = {}
     seen = False
 
     def walk(start: int, end: int, depth: int, track: Track | None, found: dict[bytes, tuple[int, int]]) -> None:
         nonlocal seen
         if depth > DEEPEST:
             raise MediaError("boxes are nested too deeply")
-        for kind, a, b in boxes(view, start, end):
+        for kind, box, a, b in boxes(view, start, end):
             seen |= kind == b"moov"
             if kind == b"trak":
                 own, tables = Track(), {}
                 walk(a, b, depth + 1, own, tables)
-                _samples(view, tables, own)
-                tracks.append(own)
+                try:
+                    _samples(view, tables, own)
+                    tracks.append(own)
+                except MediaError as e:
+                    wrong.append(f"track {own.number}: {e}")
+            elif kind == b"moof":
+                at = box
+                for of, _, x, y in boxes(view, a, b):
+                    if of == b"traf":
+                        number, runs, at = _fragment(view, box, [(k, p, q) for k, _, p, q in boxes(view, x, y)], at, defaults)
+                        fragments.setdefault(number, []).extend(runs)
             elif kind in NESTED:
                 walk(a, b, depth + 1, track, found)
+            elif kind == b"trex":
+                defaults[_u32(view, a + 4, b)] = (_u32(view, a + 12, b), _u32(view, a + 16, b), _u32(view, a + 20, b))
             elif track is not None:
-                if kind == b"mdhd":
-                    at = a + (20 if view[a : a + 1] == b"\x01" else 12)
-                    track.timescale = _u32(view, at, b)
+                if kind == b"tkhd":
+                    track.number = _u32(view, a + (20 if view[a : a + 1] == b"\x01" else 12), b)
+                elif kind == b"mdhd":
+                    track.timescale = _u32(view, a + (20 if view[a : a + 1] == b"\x01" else 12), b)
                 elif kind == b"hdlr":
                     track.kind = bytes(view[a + 8 : min(a + 12, b)]).decode("latin-1")
                 elif kind == b"stsd":
-                    for codec, _, _ in boxes(view, a + 8, b):
+                    for codec, _, _, _ in boxes(view, a + 8, b):
                         track.codec = track.codec or codec.decode("latin-1")
                 found[kind] = (a, b)
 
     walk(0, len(view), 0, None, {})
     if not seen:
         raise MediaError("no moov box")
+    for track in tracks:
+        _add_runs(track, fragments.get(track.number, []))
+    return tracks, wrong
+
+
+def parse(data: bytes) -> list[Track]:
+    """The tracks of a container; MediaError also if one of them cannot be read."""
+    tracks, wrong = read(data)
+    if wrong:
+        raise MediaError("; ".join(wrong))
     return tracks
 
 
@@ -258,8 +351,8 @@ def media_columns(rows: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     Returns one row for each row (repeated rows stay repeated): the id as it is, `tracks` (codec, handler kind, timescale,
     duration in ticks, number of samples, keyframes as [start, end) byte ranges) and `error`. Null bytes have null tracks and
-    no error; empty bytes, and bytes that cannot be read, have null tracks and say so in `error`; a table without rows gives
-    none. The table may have other columns of any name; they are ignored.
+    no error; empty bytes, and bytes that cannot be read, have null tracks and say so in `error`; tracks that cannot be read are
+    left out of the others and named in `error`; samples of fragments follow those of the tables; a table without rows gives none. The table may have other columns of any name; they are ignored.
     """
     kept = rows.select(F.col(id_col).alias("_id"), F.col(bytes_col).alias("_data"))
     id_type = kept.schema["_id"].dataType.simpleString()
@@ -270,8 +363,8 @@ def media_columns(rows: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             for value in batch.column(1):
                 data = value.as_py()
                 try:
-                    got = None if data is None else parse(data)
-                    why = None
+                    got, wrong = (None, []) if data is None else read(data)
+                    why = "; ".join(wrong) or None
                 except (MediaError, struct.error) as e:
                     got, why = None, str(e)
                 errors.append(why)
@@ -290,7 +383,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     For each row (repeated rows stay repeated): the UTF-8 bytes of the text (null: none), padded with zero bytes to a positive
     multiple of SAMPLE, are wrapped by `wrap`; the container is parsed again and the payload fetched through its sample
     tables. Columns: id, n_bytes (without padding), payload_bytes, payload_sha256 and tail_crc32 (of the last 64 bytes) of
-    what was read back, media_bytes and media_sha256 of the container, feature (codec, duration and keyframes as text).
+    what was read back, media_bytes and media_sha256 of the container, feature (codec, duration and keyframes as text). An empty
+    table gives none; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
