@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.ngram_features import ngram_buckets, plain
+from seqloom.llm.ngram_features import ngram_buckets, pieces, plain
 from seqloom.llm.samples import bounded, fold
-from seqloom.llm.store import with_carried
+from seqloom.llm.store import columns, with_carried
 from seqloom.llm.textkernels import slices, text_buffer
 
 BITS, ORDERS, DIM = 15, (1, 2, 3, 4), 16
 #: At most about so many rows of each language are learned from.
 TRAIN_ROWS = 500
+#: Bytes whose n-grams are held at once.
+SLICE = 1 << 18
 #: At least this share of rightly predicted calibration rows is kept by the rejection.
 KEEP = 0.999
 
@@ -41,19 +43,31 @@ class LanguageModel:
     bias: np.ndarray
     threshold: float
 
-    def predict(self, buckets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language, confidence) of each document from its buckets of all orders."""
-        docs = len(buckets[0][1]) - 1
+    def sums(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(summed logits, number of n-grams) of the documents between `offsets` of plain() bytes."""
+        docs = len(offsets) - 1
         total, count = np.zeros((docs, len(self.languages))), np.zeros(docs)
-        for bucket, bounds in buckets:
-            if len(bucket):
-                rows = self.logits[bucket].astype(np.float64)
-                sums = np.zeros((len(bucket) + 1, rows.shape[1]))
-                np.cumsum(rows, axis=0, out=sums[1:])
-                total += sums[bounds[1:]] - sums[bounds[:-1]]
+        for n in ORDERS:
+            bucket, bounds = ngram_buckets(text, offsets, n, BITS)
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                total[some] += np.add.reduceat(self.logits[bucket], bounds[:-1][some], axis=0, dtype=np.float64)
                 count += np.diff(bounds)
-        z = total / np.maximum(count, 1)[:, None] + self.bias
-        p = _softmax(z)
+        return total, count
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the language, confidence) of the documents between `offsets`. A text longer than a slice comes in parts."""
+        total, count = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
+        for a, b in slices(offsets, SLICE):
+            text, own = plain(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+            if b - a > 1:
+                total[a:b], count[a:b] = self.sums(text, own)
+                continue
+            for lo, hi in pieces(text, SLICE):
+                t, c = self.sums(text[lo:hi], np.array([0, hi - lo]))
+                total[a] += t[0]
+                count[a] += c[0]
+        p = _softmax(total / np.maximum(count, 1)[:, None] + self.bias)
         return p.argmax(axis=1), p.max(axis=1)
 
 
@@ -62,25 +76,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _all_buckets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    text, own = plain(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
-    return [ngram_buckets(text, own, n, BITS) for n in ORDERS]
+def _counts(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of one text's plain() bytes, and how often each occurs."""
+    total = np.zeros(1 << BITS, np.int64)
+    for lo, hi in pieces(text, SLICE):
+        for n in ORDERS:
+            total += np.bincount(ngram_buckets(text[lo:hi], np.array([0, hi - lo]), n, BITS)[0], minlength=1 << BITS)
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 def training_features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of (doc_id, text, label) rows, in the order of their ids; computed on the executors."""
+    """(label, buckets, counts) of (doc_id, text, label) rows, in the order of their ids; computed on the executors. A row has
+    at most 2**BITS buckets, however long its text is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            out = []
-            for a, b in slices(off):
-                found = _all_buckets(data, off[a : b + 1])
-                for j in range(b - a):
-                    own = np.concatenate([bucket[bounds[j] : bounds[j + 1]] for bucket, bounds in found])
-                    u, c = np.unique(own, return_counts=True)
-                    out.append((u.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "label", "bucket", "n"])
+            out = [_counts(plain(data[a:b])) for a, b in zip(off, off[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0].astype("<i4").tobytes() for x in out], pa.binary()), pa.array([x[1].astype("<i4").tobytes() for x in out], pa.binary())], ["doc_id", "label", "bucket", "n"])
 
     got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label string, bucket binary, n binary").collect()
     got.sort(key=lambda r: (r[0] is not None, r[0], bytes(r[2])))
@@ -131,40 +145,34 @@ def fit_model(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Learn from the documents (doc_id, text, lang) with a language outside the fold that is held out, at most about
     `train_rows` of each language."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
-    labelled = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    return train(training_features(bounded(labelled, "doc_id", "label", train_rows)))
+    return train(training_features(bounded(labelled.where(fold("doc_id", 4) != 2), "doc_id", "label", train_rows).where(F.col("text").isNotNull())))
 
 
-def has_letter(text: str | None) -> bool:
-    return text is not None and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
-
-
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), results: tuple[str, ...] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Predict the language of whole texts.
 
     Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, lang_pred, score (the
     confidence, 0 to 1), rejected. A null text, or one without a letter, is `und` with score 0 and is rejected; so is every
-    row if the model knows no language. Other columns are ignored, whatever their names; a carried column must not be
-    called lang_pred, score or rejected.
+    row if the model knows no language. An empty table gives none. Other columns are ignored, whatever their names; of carried
+    columns with the names above the results win, unless `results` gives other names to lang_pred, score and rejected.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            texts = batch.column(len(carry))
-            data, off = text_buffer(texts)
+            at = len(carry)
+            data, off = text_buffer(batch.column(at))
             n = batch.num_rows
-            lang, score = np.zeros(n, np.int64), np.zeros(n)
-            known = np.fromiter((has_letter(x.as_py()) for x in texts), bool, n) if own.languages else np.zeros(n, bool)
-            if own.languages:
-                for a, b in slices(off):
-                    lang[a:b], score[a:b] = own.predict(_all_buckets(data, off[a : b + 1]))
+            known = np.array(batch.column(at + 1).to_pylist(), bool) & bool(own.languages)
+            lang, score = own.predict(data, off) if own.languages else (np.zeros(n, np.int64), np.zeros(n))
             names = [own.languages[i] if k else "und" for i, k in zip(lang.tolist(), known.tolist(), strict=True)]
             score = np.where(known, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.threshold))], [*batch.schema.names[: len(carry)], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.threshold))], [*batch.schema.names[:at], "_lang", "_score", "_rejected"])
 
-    return with_carried(docs, carry, F.col(text_col).cast("string"), run, "lang_pred string, score double, rejected boolean")
+    text = F.col(text_col).cast("string")
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return with_carried(docs, columns(carry), [text, letter], run, "_lang string, _score double, _rejected boolean", results)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,19 @@ def ngram_buckets(text: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> t
         h *= np.uint32(0x297A2D39)
     bucket = (h >> np.uint32(32 - bits)).astype(np.int64)
     return bucket, np.searchsorted(at, offsets + np.arange(docs + 1), "left")
+
+
+def pieces(text: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """plain() bytes of one text cut at blanks into parts of about `most` bytes. No n-gram has a blank inside, so the n-grams of
+    the parts are those of the text. A part without a blank stays whole."""
+    out, a = [], 0
+    while len(text) - a > most:
+        blank = np.flatnonzero(text[a + 1 : a + most] == 0x20)
+        if not len(blank):
+            blank = np.flatnonzero(text[a + most :] == 0x20)[:1] + most - 1
+        if not len(blank):
+            break
+        b = a + 1 + int(blank[-1])
+        out.append((a, b))
+        a = b
+    return [*out, (a, len(text))]

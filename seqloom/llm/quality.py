@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.samples import bounded, fold
+from seqloom.llm.samples import fold, labelled_texts
 from seqloom.llm.textkernels import SLICE_BYTES, byte_class, mix64, slices, span_hashes, text_buffer
 
 DIM, NONZERO, WINDOW, HIDDEN = 24, 4, 2, 16
@@ -131,22 +131,22 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.logit(pooled) / self.temperature, -40, 40)))
 
 
-def training_words(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, word hashes, shape hashes) of (doc_id, text, label) rows, in the order of their ids; found on the executors."""
+def training_features(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, pooled vectors) of (doc_id, text, label) rows, in the order of their ids. Texts are pooled on the executors, so
+    the driver gets 2 * DIM numbers a row."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            own, shapes = [], []
-            for a, b in slices(off):
-                w, s, bounds = words_of(data, off[a : b + 1])
-                own += [w[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-                shapes += [s[x:y].astype("<u2").tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary()), pa.array(shapes, pa.binary())], ["doc_id", "label", "word", "shape"])
+            out = [x.astype("<f8").tobytes() for a, b in slices(off) for x in own.pool(*words_of(data, off[a : b + 1]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "pooled"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, word binary, shape binary").collect()
-    got.sort(key=lambda r: (r[0] is not None, r[0], bytes(r[2])))
-    return [(r[1], np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], "<u2").astype(np.uint64)) for r in got]
+    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, pooled binary").collect()
+    got.sort(key=lambda r: r[0])
+    shipped.destroy()
+    return np.array([r[1] for r in got], np.float64), np.array([np.frombuffer(r[2], "<f8") for r in got]).reshape(-1, 2 * DIM)
 
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +204,17 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[:BUCKETS, DIM] >= LEAST, (sums / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], known: np.ndarray, vectors: np.ndarray, rounds: int = 600, rate: float = 0.01, seed: int = 11) -> QualityModel:
-    """The network by Adam on whole batches, then the temperature. With one class only, or no rows, the score
-    is that class's (or one half) for all documents."""
-    y = np.array([r[0] for r in rows], np.float64)
-    zero = [np.zeros(2 * DIM), np.ones(2 * DIM), np.zeros((2 * DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)]
-    model = QualityModel(known, vectors, zero, 1.0)
+def untrained(known: np.ndarray, vectors: np.ndarray) -> QualityModel:
+    """Word vectors with a network that says one half to all."""
+    return QualityModel(known, vectors, [np.zeros(2 * DIM), np.ones(2 * DIM), np.zeros((2 * DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], 1.0)
+
+
+def train(model: QualityModel, y: np.ndarray, x: np.ndarray, rounds: int = 600, rate: float = 0.01, seed: int = 11) -> QualityModel:
+    """The network by Adam on whole batches over pooled vectors x, then the temperature. With one class only, or no rows, the
+    score is that class's (or one half) for all documents."""
     if not len(y) or y.min() == y.max():
-        zero[5][0] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        model.layers[5][0] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
-    x = np.concatenate([model.pool(own, shape, np.array([0, len(own)])) for _, own, shape in rows])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, fit = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 20 else (order, order)
@@ -244,20 +245,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str = "quality", train_
     `train_rows` of each class.
 
     The sampled labels (bounded) are broadcast, so the documents are read twice and not shuffled. A document with several
-    labels counts with the highest one.
+    labels counts with the highest one; of rows that share an id, the least text counts.
     """
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    own = own.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = bounded(own, "doc_id", "label", train_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train(training_words(texts.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())), *word_vectors(texts))
+    model = untrained(*word_vectors(docs.select(F.col("text").cast("string").alias("text"))))
+    return train(model, *training_features(labelled_texts(docs, labels, label, train_rows), model))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score whole texts.
 
     Returns one row for each row (repeated rows stay repeated): doc_id, score (0 to 1), predicted (1 from THRESHOLD on). A null
-    text scores as an empty one, whose pooled vector is zero. Other columns are ignored, whatever their names.
+    text scores as an empty one, whose pooled vector is zero. An empty table gives none. Other columns are ignored, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

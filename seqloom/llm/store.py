@@ -1,13 +1,14 @@
 """Intermediate tables in the folder that all machines of the cluster share, and the bounds for broadcasts.
 
 A written table cuts the lineage: when an executor is lost, later stages read the files again and nothing before them is
-computed anew. The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset (as in tests)
-a folder of this process is made and removed at exit.
+computed anew. The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset in a local session
+(as in tests) a folder of this process is made and removed at exit.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +23,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder."""
+    """The cluster's shared folder. A local session without one gets a folder of this process; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="seqloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -59,8 +62,28 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def with_carried(df: DataFrame, carry: tuple[str, ...], text: Column, run: Callable, schema: str) -> DataFrame:
-    """`run` over Arrow batches of the carried columns (named _c0, _c1, ...) and the text, under its own names again after."""
-    kept = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], text.alias("_text"))
+def with_carried(df: DataFrame, carry: dict[str, Column], more: list[Column], run: Callable, schema: str, results: tuple[str, ...]) -> DataFrame:
+    """`run` over Arrow batches of the carried columns and of `more`; it gives the carried ones first and then `schema`. Inside
+    all have names of their own, so none can clash; after, the carried ones have theirs again and what `run` added is called
+    `results`. A carried column with the name of a result (case does not count) makes way for it."""
+    kept = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(carry.values())], *[c.alias(f"_x{i}") for i, c in enumerate(more)])
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema.fields[: len(carry)])
-    return kept.mapInArrow(run, types + schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    out, taken = kept.mapInArrow(run, types + schema), {x.lower() for x in results}
+    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c.lower() not in taken]
+    return out.select(*own, *[F.col(c).alias(name) for c, name in zip(out.columns[len(carry) :], results, strict=True)])
+
+
+def columns(names: tuple[str, ...]) -> dict[str, Column]:
+    """Columns by their names, whatever characters these have."""
+    return {c: F.col(f"`{c}`") for c in names}
+
+
+def fresh(taken: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each with underscores before it until no column is called so (case does not count, as in Spark)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)

@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.store import discard, materialize
+from seqloom.llm.store import discard, materialize, with_carried
 from seqloom.llm.textkernels import document_words, mix64, signed, slices, sliding_min, text_buffer, unsigned, window_hashes
 
 LENGTH, SEED = 35, 8
+RESULTS = ("n_words", "n_removed", "kept_text", "repeats")
 #: Keys of texts that a task remembers, to let only the first of equal ones through.
 REMEMBER = 500_000
 
@@ -120,10 +121,10 @@ def _covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
 
 def _removal(length: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            names = batch.schema.names
-            text, starts, copies = (batch.column(names.index(x)) for x in ("_text", "_starts", "_copies"))
-            n_words, n_removed, kept = [], [], []
+            text, starts, copies = batch.columns[carried:]
+            n_words, n_removed, kept, repeats = [], [], [], []
             for j in range(batch.num_rows):
                 words = (text[j].as_py() or "").encode("utf-8", "surrogatepass").split()
                 n = len(words)
@@ -136,23 +137,26 @@ def _removal(length: int, carried: int):
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(compress(words, (~gone).tolist()) if n_removed[-1] else words).decode("utf-8", "surrogatepass"))
-            out = [batch.column(i) for i in range(carried)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names[:carried], "n_words", "n_removed", "kept_text"])
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                repeats.append([{"first": a, "last": b} for a, b in edge.reshape(-1, 2).tolist()])
+            out = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(repeats, span)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *out], [*batch.schema.names[:carried], "_words", "_removed", "_kept", "_repeats"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), length: int = LENGTH, seed: int = SEED, results: tuple[str, ...] = RESULTS) -> DataFrame:
     """Remove all words of windows that occur more than once.
 
-    Returns one row for each row of `docs`: the columns in `carry` as they are, n_words, n_removed, and kept_text (the words that
-    stay, joined by one blank). Words are runs of anything but ASCII white space. A null text has no words and an empty
-    kept_text; a text of fewer than `length` words keeps them all. Rows with equal texts, repeated rows included, are
-    repeats of each other. An empty table gives none. Ids may be null or repeated: nothing is joined on them. Other columns
-    are ignored, whatever their names; a carried column must not be called n_words, n_removed or kept_text.
+    Returns one row for each row of `docs`: the columns in `carry` as they are, n_words, n_removed, kept_text (the words that
+    stay, joined by one blank), and repeats (the maximal repeats that are removed, as [first, last) word numbers). Words are
+    runs of anything but ASCII white space. A null text has no words and an empty kept_text; a text of fewer than `length`
+    words keeps them all. Rows with equal texts, repeated rows included, are repeats of each other. An empty table gives none.
+    Ids may be null or repeated: nothing is joined on them. Other columns are ignored, whatever their names; of carried columns
+    with the names above the results win, unless `results` gives others to these four.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.xxhash64(text).alias("_key"), text.alias("_text"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.xxhash64(text).alias("_key"), text.alias("_text"))
     texts = keyed.select("_key", "_text")
 
     seeds = materialize(texts.mapInArrow(_seeds(length, seed), "seed long, key long, twice boolean"), "repeat-seeds")
@@ -177,11 +181,10 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, .
     discard(windows)
     discard(again)
 
-    carried = [f"_c{i}" for i in range(len(carry))]
-    both = keyed.join(found, F.col("_key") == F.col("key"), "left").select(*carried, "_text", "_starts", "_copies")
-    types = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in carried)
-    out = both.mapInArrow(_removal(length, len(carried)), f"{types}, n_words long, n_removed long, kept_text string")
-    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
+    both = keyed.join(found, F.col("_key") == F.col("key"), "left")
+    types = "_words long, _removed long, _kept string, _repeats array<struct<first:long,last:long>>"
+    own = {c: F.col(f"_c{i}") for i, c in enumerate(carry)}
+    return with_carried(both, own, [F.col(c) for c in ("_text", "_starts", "_copies")], _removal(length, len(carry)), types, results)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
