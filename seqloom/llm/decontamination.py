@@ -6,9 +6,10 @@ searched for as byte strings: a shift table over blocks of bytes says how far th
 selects, by the hash of the pattern's ending block, a bucket of patterns, and a direct comparison confirms each occurrence.
 Because a pattern begins and ends with a blank, a match is a match of whole words.
 
-The benchmark is the side that is broadcast. Its size is checked first: items are dealt to blocks of at most BLOCK_BYTES of
-patterns, by a running sum over their sizes, and each block is searched in a pass of its own. With one block, the usual case,
-documents are read once and never shuffled.
+The benchmark is the side that is broadcast. Its size is checked first: items are dealt to blocks whose search tables take
+about TABLES bytes. With one block, the usual case, documents are read once and never shuffled. With more, the texts are
+written once under a number for each row, every block is searched in a job of its own, which writes the rows with hits only, and
+the hits are put together by those numbers; driver and workers hold the tables of one block at a time.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.store import columns, materialize, with_carried
+
 #: Words of a window.
 WORDS = 10
-#: Bytes of all patterns of a block (of a single larger item: as many as it has).
-BLOCK_BYTES = 32 << 20
+#: Bytes of the search tables of a block (of a single larger item: as many as it needs), and how many a byte of patterns takes.
+TABLES, TABLES_PER_BYTE = 256 << 20, 14
+RESULTS = ("n_words", "n_hit", "n_items", "item_ids", "runs")
 
 
 def _form_table() -> bytes:
@@ -135,55 +139,90 @@ class Benchmark:
         return len(words), runs, items
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES, unnamed: bool = False) -> list[DataFrame]:
-    """The benchmark in parts whose patterns have about `most` bytes (or one item): a sum over sizes decides, not the driver."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows if unnamed else rows.where(F.col("item_id").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text") * WORDS)).first()[0] or 0
-    n = max(1, -(-2 * int(total) // most)) if total > most else 1
+def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", tables: int = TABLES) -> list[DataFrame]:
+    """The benchmark (item_id, text) in parts whose search tables have about `tables` bytes (or one item): a sum over sizes
+    decides, not the driver. Items are dealt by their texts, so items without an id are dealt too."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * WORDS * TABLES_PER_BYTE
+    n = max(1, -(-2 * int(total) // tables)) if total > tables else 1
     if n == 1:
         return [rows]
-    return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_TYPES = "_words long, _runs array<struct<first:long,last:long>>, _items array<string>"
+
+
+def _search(shipped, carried: int, hits_only: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for batch in batches:
+            words, runs, items = [], [], []
+            for value in batch.column(carried):
+                n, r, i = own.judge(value.as_py())
+                words.append(n)
+                runs.append([{"first": a, "last": b} for a, b in r])
+                items.append(sorted(map(str, i)))
+            columns = [*batch.columns[:carried], pa.array(words, pa.int64()), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:carried], "_words", "_runs", "_items"])
+            yield out.filter(pa.array([bool(r) for r in runs])) if hits_only else out
+
+    return run
+
+
+def _merge_hits(carried: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, runs, items = [], [], []
+            for text, r, i in zip(batch.column(carried), batch.column(carried + 1).to_pylist(), batch.column(carried + 2).to_pylist(), strict=True):
+                words.append(len(words_of(text.as_py())))
+                runs.append([{"first": a, "last": b} for a, b in _merged([(x["first"], x["last"]) for part in r or () for x in part])])
+                items.append(sorted({x for part in i or () for x in part}))
+            columns = [*batch.columns[:carried], pa.array(words, pa.int64()), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:carried], "_words", "_runs", "_items"])
+
+    return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), most: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), tables: int = TABLES, results: tuple[str, ...] = RESULTS) -> DataFrame:
     """Search whole texts for windows of benchmark items.
 
     Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, n_words, n_hit (words
     inside an occurrence), n_items and item_ids (items with an occurring window, sorted as strings), runs ([first, last) word
     numbers of what is hit). A null or wordless text has no words and no hits; null items and items without words have no
-    windows. Items with a null id are left out, or, with `unnamed`, searched too but not listed; items that share an id count as one. An empty benchmark hits nothing, an
-    empty table gives none. Other columns are ignored, whatever their names; a carried column must not have a name from above.
+    windows. Items with a null id are searched like the others, but not listed; items that share an id count as one. An empty
+    benchmark hits nothing, an empty table gives none. Other columns are ignored, whatever their names; of carried columns with
+    the names above the results win, unless `results` gives others to these five.
     """
-    spark, keep = docs.sparkSession, len(carry)
-    run_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    parts = blocks_of(benchmark, most=most, unnamed=unnamed)
-    out = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text"))
-    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in out.schema.fields[:keep])
-    for k, part in enumerate(parts):
-        shipped = spark.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in part.collect()]))  # bounded by `most`
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, k=k, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
-            own = shipped.value
-            for batch in batches:
-                texts = batch.column(keep)
-                words, runs, items = [], [], []
-                earlier = zip(batch.column(keep + 2).to_pylist(), batch.column(keep + 3).to_pylist(), strict=True) if k else [((), ())] * batch.num_rows
-                for value, (old_runs, old_items) in zip(texts, earlier, strict=True):
-                    n, r, i = own.judge(value.as_py())
-                    if k:
-                        r = _merged(r + [(x["first"], x["last"]) for x in old_runs])
-                        i |= {int(x) for x in old_items}
-                    words.append(n)
-                    runs.append([{"first": a, "last": b} for a, b in r])
-                    items.append(sorted(map(str, i)))
-                texts = pa.nulls(batch.num_rows, pa.string()) if last else texts
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], texts, pa.array(words, pa.int64()), pa.array(runs, run_type), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[: keep + 1], "n_words", "runs", "item_ids"])
-
-        out = out.mapInArrow(run, types + "_text string, n_words long, runs array<struct<first:long,last:long>>, item_ids array<string>")
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"])
-    own = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
-    return out.select(*own, "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "runs")
+    spark, own = docs.sparkSession, columns(carry)
+    parts = blocks_of(benchmark, tables=tables)
+
+    def ship(part: DataFrame):
+        return spark.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in part.collect()]))  # bounded by `tables`
+
+    found = ("_words", "_runs", "_items")
+    inner = {f"_c{i}": c for i, c in enumerate(own.values())}
+    if len(parts) == 1:
+        out = with_carried(docs, inner, [F.col(f"`{text_col}`").cast("string")], _search(ship(parts[0]), len(own)), _TYPES, found)
+    else:
+        texts = docs.select(*[c.alias(name) for name, c in inner.items()], F.col(f"`{text_col}`").cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+        texts = materialize(texts, "leak-texts")
+        hits = None
+        for part in parts:
+            shipped = ship(part)
+            of = materialize(texts.select("_row", "_text").mapInArrow(_search(shipped, 1, hits_only=True), f"_row long, {_TYPES}"), "leak-hits")
+            shipped.destroy()
+            hits = of if hits is None else hits.unionByName(of)
+        hits = hits.groupBy(F.col("_row").alias("_of")).agg(F.collect_list("_runs").alias("_some_runs"), F.collect_list("_items").alias("_some_items"))  # one of each block at most
+        both = texts.join(hits, F.col("_row") == F.col("_of"), "left")
+        more = [F.col(c) for c in ("_text", "_some_runs", "_some_items")]
+        out = with_carried(both, {c: F.col(c) for c in inner}, more, _merge_hits(len(own)), _TYPES, found)
+    hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"])
+    taken = {x.lower() for x in results}
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(own) if c.lower() not in taken]
+    values = [F.col("_words"), hit, F.size("_items").cast("long"), F.col("_items"), F.col("_runs")]
+    return out.select(*kept, *[c.alias(name) for c, name in zip(values, results, strict=True)])
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -198,7 +237,7 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` against all of `benchmark`."""
-    out = decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")), unnamed=True)
+    out = decontaminate(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
     ids = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
