@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,6 +138,14 @@ BY_FREQUENCY = {
 }
 
 
+def add_time_feature(name: str, function: Callable[[Column], Column], least: float, span: float, frequencies: tuple[str, ...] = ()) -> None:
+    """A calendar feature of the user's own, with the least value and the range that scale it, for some frequencies."""
+    CALENDAR[name] = (function, least, span)
+    for f in frequencies:
+        if name not in BY_FREQUENCY[f]:
+            BY_FREQUENCY[f].append(name)
+
+
 def time_feature(ts: Column, name: str) -> Column:
     """A calendar feature scaled to -0.5..0.5."""
     f, least, span = CALENDAR[name]

@@ -90,6 +90,14 @@ def attention(x: np.ndarray, w: dict[str, np.ndarray], heads: int) -> np.ndarray
     return layer_norm(h + gelu(h @ w["f"]) @ w["g"])
 
 
+def parameter_count(net: object) -> int:
+    """Numbers in all arrays that a network holds, however nested."""
+    if isinstance(net, np.ndarray):
+        return net.size
+    inside = net.values() if isinstance(net, dict) else net if isinstance(net, list | tuple) else vars(net).values() if hasattr(net, "__dict__") else ()
+    return sum(parameter_count(x) for x in inside)
+
+
 def random_weights(shapes: dict[str, tuple[int, ...]], seed: int = 0) -> dict[str, np.ndarray]:
     """Weights of given shapes, scaled by their inputs."""
     rng = np.random.default_rng(seed)

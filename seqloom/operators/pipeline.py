@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import records
-from seqloom.operators.series import draw
+from seqloom.operators.sequences import row_numbers
+from seqloom.operators.series import LCG_M, draw
 
 
 @dataclass
@@ -30,8 +31,10 @@ class RecordPipeline:
         clean = counted.where(F.col(self.size) >= self.least_size)
         coded = clean.withColumn("ids", F.transform("kept", lambda x: F.array_position("itos", x) - 1))
         groups = rows.select(F.col(self.group).alias("_g"), group_number.alias("_n")).distinct()
-        order = Window.partitionBy(F.lit(0)).orderBy(draw("_n", seed=self.seed), "_n")  # groups are few against records
-        groups = groups.withColumn("fold", ((F.row_number().over(order) - 1) % self.folds).cast("long"))
-        w = Window.partitionBy("fold")
-        z = (F.col(self.size) - F.avg(self.size).over(w)) / (F.stddev_pop(self.size).over(w) + 1e-8)
-        return coded.join(groups, F.col(self.group) == F.col("_g")).withColumn("z", z).drop("_g", "_n")
+        drawn = draw("_n", seed=self.seed)
+        groups = row_numbers(groups, [drawn, "_n"], F.floor(drawn / (LCG_M // 4096)), "_number")
+        groups = groups.select("_g", ((F.col("_number") - 1) % self.folds).cast("long").alias("fold"))
+        out = coded.join(groups, F.col(self.group) == F.col("_g")).drop("_g")
+        stats = out.groupBy(F.col("fold").alias("_f")).agg(F.avg(self.size).alias("_mean"), F.stddev_pop(self.size).alias("_std"))
+        out = out.join(F.broadcast(stats), F.col("fold") == F.col("_f"))  # a row for each of `folds` folds
+        return out.withColumn("z", (F.col(self.size) - F.col("_mean")) / (F.col("_std") + 1e-8)).drop("_f", "_mean", "_std")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.series import draw
+from seqloom.operators.sequences import row_numbers
+from seqloom.operators.series import LCG_M, draw
 
 
 def label_support(rows: DataFrame, key: str, labels: str, least: int) -> DataFrame:
@@ -58,9 +59,11 @@ def edge_trim(rows: DataFrame, key: str, at: str, label: str, background: str) -
 
 
 def kfold(rows: DataFrame, key: str, label: str, folds: int, seed: int = 1) -> DataFrame:
-    """`fold`: within each label, keys in a drawn order are dealt round robin."""
-    order = Window.partitionBy(label).orderBy(draw(key, seed=seed), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("long"))
+    """`fold`: within each label, unique keys in a drawn order are dealt round robin. A label's rows are numbered in 4,096
+    ranges of the draw, so no label comes to one task."""
+    drawn = draw(key, seed=seed)
+    numbered = row_numbers(rows, [drawn, key], F.floor(drawn / (LCG_M // 4096)), "_number", by=[label])
+    return numbered.withColumn("fold", ((F.col("_number") - 1) % folds).cast("long")).drop("_number")
 
 
 def sampling_weights(rows: DataFrame, label: str, length: str, weights: Column) -> DataFrame:

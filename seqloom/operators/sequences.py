@@ -62,10 +62,11 @@ def stride_chunks(records: DataFrame, size: str, chunk: int, stride: int | None
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
 
 
-def batches(rows: DataFrame, order: list[str | Column], size: int) -> DataFrame:
-    """`batch`: number (from 0) of the contiguous batch of `size` rows; the last one may be smaller."""
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(number / size))
+def batches(rows: DataFrame, order: list[str], coarse: Column, size: int) -> DataFrame:
+    """`batch`: number (from 0) of the contiguous batch of `size` rows in the order of unique keys; the last one may be smaller.
+    `coarse` is as for `row_numbers`."""
+    numbered = row_numbers(rows, order, coarse, "_number")
+    return numbered.withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
 def encode(traces: DataFrame, vocabulary_: DataFrame, event: str) -> DataFrame:
@@ -81,16 +82,38 @@ def islands(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.withColumn("_g", group).groupBy(key, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("_g")
 
 
-def row_numbers(rows: DataFrame, order: list[str], coarse: Column, name: str = "rn") -> DataFrame:
-    """Numbers (from 1) of all rows in the order of unique keys, without bringing all rows to one task.
+def row_numbers(rows: DataFrame, order: list[str | Column], coarse: Column, name: str = "rn", by: list[str] | None = None) -> DataFrame:
+    """Numbers (from 1) of all rows, or of those that share `by`, in the order of unique keys, without bringing them to one task.
 
     `coarse` is an expression that does not fall along the order (a day, a range of ids). Rows are numbered within each of its
     values, and the counts of the values before it are added; only the table of counts is sorted in one place.
     """
+    by = by or []
+    own, before = _before(rows, coarse, by, F.count("*"))
+    number = F.row_number().over(Window.partitionBy(*by, "_coarse").orderBy(*order))
+    out = _with_before(own.withColumn("_rn", number), before, by)
+    return out.withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_coarse", "_rn", "_before")
+
+
+def running_sums(rows: DataFrame, order: list[str | Column], coarse: Column, value: str, name: str) -> DataFrame:
+    """The sum of `value` (whole numbers) over all rows before each one in the order of unique keys; `coarse` is as for
+    `row_numbers`."""
+    own, before = _before(rows, coarse, [], F.sum(value))
+    inside = F.sum(value).over(Window.partitionBy("_coarse").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = _with_before(own.withColumn("_sum", F.coalesce(inside, F.lit(0))), before, [])
+    return out.withColumn(name, (F.col("_sum") + F.col("_before")).cast("long")).drop("_coarse", "_sum", "_before")
+
+
+def _before(rows: DataFrame, coarse: Column, by: list[str], what: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows with `_coarse`, and the aggregate of all rows with lower values of it."""
     own = rows.withColumn("_coarse", coarse)
-    counts = own.groupBy("_coarse").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_coarse").alias("_c"), before.alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_coarse").orderBy(*order))
-    out = own.withColumn("_rn", number).join(offsets, F.col("_coarse").eqNullSafe(F.col("_c")))
-    return out.withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_coarse", "_c", "_rn", "_before")
+    table = own.groupBy(*by, "_coarse").agg(what.alias("_n"))
+    sum_before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1))
+    return own, table.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_coarse").alias("_c"), F.coalesce(sum_before, F.lit(0)).alias("_before"))
+
+
+def _with_before(own: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
+    on = F.col("_coarse").eqNullSafe(F.col("_c"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return own.join(before, on).drop("_c", *[f"_by_{c}" for c in by])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,18 +99,26 @@ def reverse_mean(x: Column, alpha: Column, bar: Column, noise: Column) -> Column
 
 
 def pack(sizes: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
-    """Offsets of arrays packed one behind the other into files: (file, start) for each, a new file once the running end of
-    the current one is over `most` (0: a single file). The fold is sequential by definition, so the table of sizes (one
-    narrow row for each array) is folded as one ordered array."""
-    packed = sizes.agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_n")))).alias("_all"))
-    zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("file"), zero.alias("end"), F.array().cast(f"array<struct<{', '.join(f'{c}:{sizes.schema[c].dataType.simpleString()}' for c in order)}, file:bigint, start:bigint, length:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        roll = (acc["end"] > most) if most else F.lit(False)
-        file = F.when(roll, acc["file"] + 1).otherwise(acc["file"])
-        start = F.when(roll, zero).otherwise(acc["end"])
-        row = F.struct(*[x[c].alias(c) for c in order], file.alias("file"), start.alias("start"), x["_n"].alias("length"))
-        return F.struct(file.alias("file"), (start + x["_n"]).alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return packed.select(F.explode(F.aggregate("_all", begin, step)["out"]).alias("_r")).select("_r.*")
+    """Offsets of arrays packed one behind the other into files: (file, start, length) for each, a new file once the running end
+    of the current one is over `most` (0: a single file).
+
+    Where a file ends depends on where the one before it ended, so the narrow table of sizes (a row for each array) goes through
+    one task in order, batch by batch, with two numbers of state; the sort before it spills. Where files do not roll,
+    `sequences.running_sums` gives the offsets without that.
+    """
+    narrow = sizes.select(*order, F.col(size).cast("long").alias("length"))
+    types = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = end = 0
+        for batch in batches:
+            files, starts = [], []
+            for n in batch.column(len(order)).to_pylist():
+                if most and end > most:
+                    file, end = file + 1, 0
+                files.append(file)
+                starts.append(end)
+                end += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(order)], pa.array(files, pa.int64()), pa.array(starts, pa.int64()), batch.column(len(order))], [*order, "file", "start", "length"])
+
+    return narrow.repartition(1).sortWithinPartitions(*order).mapInArrow(run, f"{types}, file long, start long, length long")

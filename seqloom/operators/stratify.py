@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 
 
 def assign(labels: list[list[int]], sizes: list[int], ratios: list[float], seed: int = 0) -> list[int]:
-    """A fold for each group of `sizes` rows, whose rows have the listed label ids (with repetition).
+    """`assign_counts` where the label ids of each group are listed with repetition."""
+    return assign_counts([np.unique(np.array(x, np.int64), return_counts=True) for x in labels], sizes, ratios, seed)
+
+
+def assign_counts(labels: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], ratios: list[float], seed: int = 0) -> list[int]:
+    """A fold for each group of `sizes` rows, whose rows have labels: (ids, how often each) for every group.
 
     While labels are left: take the rarest one; its groups, those with most of it first, go one by one to the fold that wants
     most of the label, then most rows, then by a draw. Groups without labels go where most rows are wanted.
     """
     rng = np.random.default_rng(seed)
-    n_labels = 1 + max((x for own in labels for x in own), default=-1)
-    own = [np.unique(np.array(x, np.int64), return_counts=True) for x in labels]
+    own = labels
+    n_labels = 1 + max((int(ids.max()) for ids, _ in own if len(ids)), default=-1)
     left = np.zeros(n_labels, np.int64)
     members: list[list[tuple[int, int]]] = [[] for _ in range(n_labels)]
     for g, (ids, times) in enumerate(own):
@@ -62,18 +67,25 @@ def stratified_folds(rows: DataFrame, group: str, labels: str, ratios: list[floa
     All groups are assigned together: one task holds a row of label counts for each of them. With `batch`, groups are dealt
     by a hash to independent batches of about so many.
     """
-    flat = rows.where(F.col(group).isNotNull())
-    per = flat.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.col(labels).cast("array<string>"))).alias("own"))
+    flat = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("group_"), F.col(labels).cast("array<string>").alias("_labels"))
+    # A group is a row of counts, one for each of its labels, however many rows it has.
+    each = flat.select("group_", F.explode("_labels").alias("_label")).where(F.col("_label").isNotNull()).groupBy("group_", "_label").agg(F.count("*").alias("_times"))
+    own = each.groupBy(F.col("group_").alias("_g")).agg(F.collect_list("_label").alias("names"), F.collect_list("_times").alias("times"))
+    per = flat.groupBy("group_").agg(F.count("*").alias("n")).join(own, F.col("group_") == F.col("_g"), "left").drop("_g")
     parts = 1 if batch is None else max(1, -(-per.count() // batch))
     per = per.withColumn("batch", F.pmod(F.xxhash64("group_"), F.lit(parts)))
     kind = per.schema["group_"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_").reset_index(drop=True)
-        names = sorted({x for own in pdf["own"] for x in own if x is not None})
-        number = {x: i for i, x in enumerate(names)}
-        ids = [[number[x] for x in own if x is not None] for own in pdf["own"]]
-        return pd.DataFrame({"group_": pdf["group_"], "fold": np.array(assign(ids, pdf["n"].tolist(), ratios, seed), np.int64)})
+        some = [([], []) if a is None else (list(a), list(b)) for a, b in zip(pdf["names"], pdf["times"], strict=True)]
+        number = {x: i for i, x in enumerate(sorted({x for names, _ in some for x in names}))}
+        ids = []
+        for names, times in some:
+            at = np.array([number[x] for x in names], np.int64)
+            order = np.argsort(at)
+            ids.append((at[order], np.array(times, np.int64)[order]))
+        return pd.DataFrame({"group_": pdf["group_"], "fold": np.array(assign_counts(ids, pdf["n"].tolist(), ratios, seed), np.int64)})
 
     return per.groupBy("batch").applyInPandas(run, f"group_ {kind}, fold long").withColumnRenamed("group_", group)
 

@@ -31,12 +31,12 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
 def ev(spark: SparkSession, sf: str) -> DataFrame:
     """Events with their id and position (from 1) in the user's trace."""
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return table(spark, sf, "events").join(F.broadcast(vocab(spark, sf)), "event_type").withColumn("pos", pos)
+    return table(spark, sf, "events").join(vocab(spark, sf), "event_type").withColumn("pos", pos)
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
     """(user_id, seq): ids of a user's events in order."""
-    events = table(spark, sf, "events").join(F.broadcast(vocab(spark, sf)), "event_type")
+    events = table(spark, sf, "events").join(vocab(spark, sf), "event_type")
     return sequences.collect_traces(events, "user_id", "id", ["ts", "event_id"])
 
 

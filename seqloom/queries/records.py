@@ -156,9 +156,9 @@ def asof_label(spark, sf):
 def label_rollup(spark, sf):
     """Codes to the class above them, in order; codes without a class drop out."""
     o, c, n, r = (fx.table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
-    up = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("code"), "r_name")
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("code"), "r_name")
     codes = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.array(F.col("c_nationkey").cast("long"), F.col("o_orderkey") % 40).alias("codes"))
-    each = codes.select("o_orderkey", F.posexplode("codes").alias("i", "code")).join(F.broadcast(up), "code")  # a dimension of codes
+    each = codes.select("o_orderkey", F.posexplode("codes").alias("i", "code")).join(up, "code")
     return each.groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r_name"))), lambda x: x["r_name"]), ",").alias("regions"))
 
 
@@ -433,3 +433,87 @@ def record_pipeline(spark, sf):
     prepare = RecordPipeline(key="doc_id", group="group_id", labels="tags", size="n_chars", least_support=45, least_size=21, folds=4)
     out = prepare(fx.rec(spark, sf), group_number=F.substr("group_id", F.lit(4)).cast("long"))
     return out.select("doc_id", ids_text("ids").alias("ids"), F.coalesce("quality", F.lit(-1)).alias("quality"), "fold", six(F.col("z")).alias("z"))
+
+
+@query("log_label", f"SELECT doc_id, {r6('ln(n_chars)')} AS label FROM documents WHERE n_chars > 0")
+def log_label(spark, sf):
+    """The logarithm of a label to regress on."""
+    return fx.table(spark, sf, "documents").where("n_chars > 0").select("doc_id", six(F.log("n_chars")).alias("label"))
+
+
+@query("dummy_label", "SELECT doc_id, 0 AS label FROM documents")
+def dummy_label(spark, sf):
+    """Records without a label column get label 0."""
+    return fx.table(spark, sf, "documents").select("doc_id", F.lit(0).alias("label"))
+
+
+@query("drop_columns", "SELECT doc_id, lang, source FROM documents")
+def drop_columns(spark, sf):
+    return fx.table(spark, sf, "documents").drop("text", "n_chars")
+
+
+# Preparations as chains of steps
+
+
+_FOLD = draw_sql("o_orderkey")
+
+
+@query(
+    "prepare_exams",
+    f"""SELECT o_orderkey, array_to_string(list_filter([o_orderstatus, CASE WHEN o_totalprice > 100000 THEN 'high' END, c_mktsegment], lambda x: x IS NOT NULL), ',') AS labels, fold
+       FROM (SELECT *, {draw_sql("o_custkey", seed=3)} % 5 AS fold, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) JOIN customer ON c_custkey = o_custkey WHERE rn <= 3 AND fold IN (0, 2)""",
+)
+def prepare_exams(spark, sf):
+    """At most three records of a group, matched with the group's table, with a composite label, in two of five folds."""
+    from seqloom.operators import prepare
+    from seqloom.operators.signal import chained
+
+    high = F.when(F.col("o_totalprice") > 100000, "high")
+    steps = prepare.recipe(
+        "exams with many records",
+        at_most_of_each=("o_custkey", 3, "o_orderdate", "o_orderkey"),
+        matched_only=(fx.table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"),
+        composite_labels=("labels", F.col("o_orderstatus"), high, F.col("c_mktsegment")),
+        folds_of_groups=("o_custkey", 5, 3),
+        only_folds=(0, 2),
+    )
+    return chained(fx.table(spark, sf, "orders"), steps).select("o_orderkey", F.array_join("labels", ",").alias("labels"), "fold")
+
+
+@query(
+    "prepare_first_records",
+    f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey = 202 THEN 201 ELSE o_custkey END AS c, o_orderdate, o_orderstatus, o_orderpriority FROM orders WHERE NOT isnan(o_totalprice)),
+       f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY o_orderdate, o_orderkey) AS rn FROM r) WHERE rn = 1)
+       SELECT o_orderkey, c AS o_custkey, o_orderstatus || ',' || o_orderpriority AS labels, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_FOLD}, o_orderkey) - 1) % 10 AS fold FROM f""",
+)
+def prepare_first_records(spark, sf):
+    """The first complete record of each group, ids that mean the same one levelled, and folds within each status."""
+    from seqloom.operators import prepare
+    from seqloom.operators.signal import chained
+
+    steps = prepare.recipe(
+        "diagnoses with first records",
+        aliased=("o_custkey", {202: 201}),
+        complete=("o_totalprice",),
+        composite_labels=("labels", F.col("o_orderstatus"), F.col("o_orderpriority")),
+        first_of_each=("o_custkey", "o_orderdate", "o_orderkey"),
+        folds_within=("o_orderstatus", "o_orderkey", 10),
+    )
+    return chained(fx.table(spark, sf, "orders"), steps).select("o_orderkey", "o_custkey", F.array_join("labels", ",").alias("labels"), "fold")
+
+
+@query(
+    "prepare_annotated",
+    """WITH e AS (SELECT DISTINCT user_id, CASE WHEN symbol IN ('click', 'view') THEN 'click|view' ELSE symbol END AS x FROM ann),
+       k AS (SELECT x FROM e GROUP BY 1 HAVING count(*) >= 10)
+       SELECT u.user_id, coalesce(string_agg(e.x, ',' ORDER BY e.x), '') AS labels
+       FROM (SELECT DISTINCT user_id FROM ann) u LEFT JOIN (SELECT * FROM e WHERE x IN (SELECT x FROM k)) e USING (user_id) GROUP BY 1""",
+)
+def prepare_annotated(spark, sf):
+    """Labels of annotated records, two of them taken together, as far as they have support."""
+    from seqloom.operators import prepare
+    from seqloom.operators.signal import chained
+
+    rows = fx.ann(spark, sf).groupBy("user_id").agg(F.collect_set("symbol").alias("symbols"))
+    steps = [prepare.merged_names("symbols", prepare.merged(["click", "view"])), prepare.supported("user_id", "symbols", 10)]
+    return chained(rows, steps).select("user_id", F.array_join(F.array_sort("kept"), ",").alias("labels"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import activation, ids_text, interleaved_embedding, six, step_embedding
 from seqloom.operators import series as ops
+from seqloom.operators import signal
 from seqloom.plans import fixtures as fx
 
 query = fx.Registry()
@@ -160,11 +161,17 @@ def cut_mask(spark, sf):
 @query("hist_mask", "SELECT vec_id, t, ch, keep * coalesce(lag(keep) OVER w, last_value(keep) OVER (PARTITION BY t, ch ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS cond FROM masked WINDOW w AS (PARTITION BY t, ch ORDER BY vec_id)")
 def hist_mask(spark, sf):
     """Observed cells that the series before observed too; before the first comes the last."""
+    from seqloom.operators.sequences import row_numbers
+
     rows = fx.masked(spark, sf)
-    w = Window.partitionBy("t", "ch").orderBy("vec_id")
-    last = rows.groupBy("t", "ch").agg(F.max_by("keep", "vec_id").alias("_last"))
-    before = F.coalesce(F.lag("keep").over(w), F.col("_last"))
-    return rows.join(F.broadcast(last), ["t", "ch"]).select(*KEYS, (F.col("keep") * before).alias("cond"))
+    order = row_numbers(rows.select("vec_id").distinct(), ["vec_id"], F.floor(F.col("vec_id") / 10_000), "_number")
+    n = order.agg(F.max("_number").alias("_all"))
+    want = F.when(F.col("_number") == 1, F.col("_all")).otherwise(F.col("_number") - 1)
+    own = rows.join(order, "vec_id")
+    before = own.select(F.col("_number").alias("_n"), F.col("t").alias("_t"), F.col("ch").alias("_ch"), F.col("keep").alias("_keep"))
+    own = own.crossJoin(F.broadcast(n)).withColumn("_want", want)  # one row with the count
+    both = own.join(before, (F.col("_want") == F.col("_n")) & (F.col("t") == F.col("_t")) & (F.col("ch") == F.col("_ch")))
+    return both.select(*KEYS, (F.col("keep") * F.col("_keep")).alias("cond"))
 
 
 @query("rand_mask")
@@ -430,9 +437,10 @@ def positional_split(spark, sf):
 
 @query("pack_offsets", "SELECT user_id, len(seq)::BIGINT AS length, CAST(coalesce(sum(len(seq)) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM trace")
 def pack_offsets(spark, sf):
+    from seqloom.operators.sequences import running_sums
+
     sizes = fx.trace(spark, sf).select("user_id", F.size("seq").cast("long").alias("length"))
-    before = F.sum("length").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("user_id", "length", F.coalesce(before, F.lit(0).cast("long")).alias("start"))
+    return running_sums(sizes, ["user_id"], F.floor(F.col("user_id") / 10_000), "length", "start").select("user_id", "length", "start")
 
 
 @query("pack_offsets_batched")
@@ -444,14 +452,25 @@ def pack_offsets_batched(spark, sf):
 # Kernels and signals
 
 
-@query("ssm_scan", f"WITH RECURSIVE s AS (SELECT vec_id, 0 AS t, 0.5::DOUBLE * value AS h, value FROM series WHERE ch = 0 AND t = 0 UNION ALL SELECT s.vec_id, s.t + 1, 0.9::DOUBLE * s.h + 0.5::DOUBLE * x.value, x.value FROM s JOIN series x ON x.vec_id = s.vec_id AND x.t = s.t + 1 AND x.ch = 0) SELECT vec_id, CAST(t AS BIGINT) AS t, {r6('2.0::DOUBLE * h + 0.1::DOUBLE * value')} AS y FROM s")
-def ssm_scan(spark, sf):
-    """Scalar state space model: s = 0.9 s + 0.5 u, y = 2 s + 0.1 u, folded over each series' first channel."""
+def _scan_sql(a: float, b: float, y: str) -> str:
+    """SQL of h = a h + b value, and y of h and the value, along each channel of each series."""
+    steps = f"SELECT vec_id, ch, 0 AS t, {b}::DOUBLE * value AS h, value FROM series WHERE t = 0 UNION ALL SELECT s.vec_id, s.ch, s.t + 1, {a}::DOUBLE * s.h + {b}::DOUBLE * x.value, x.value"
+    return f"WITH RECURSIVE s AS ({steps} FROM s JOIN series x ON x.vec_id = s.vec_id AND x.ch = s.ch AND x.t = s.t + 1) SELECT vec_id, CAST(t AS BIGINT) AS t, ch, {r6(y)} AS y FROM s"
+
+
+def _scan(spark, sf, a: float, b: float, c: float, d: float):
     from seqloom.operators.kernels import linear_scan
 
-    rows = fx.series(spark, sf).where("ch = 0").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
-    rows = rows.select("vec_id", linear_scan(F.transform("_p", lambda x: x["value"]), 0.9, 0.5, 2.0, 0.1).alias("y"))
-    return rows.select("vec_id", F.posexplode("y").alias("t", "y")).select("vec_id", F.col("t").cast("long").alias("t"), six(F.col("y")).alias("y"))
+    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
+    rows = rows.select("vec_id", "ch", F.posexplode(linear_scan(F.transform("_p", lambda x: x["value"]), a, b, c, d)).alias("t", "y"))
+    return rows.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
+
+
+@query("ssm_scan_channels", _scan_sql(0.9, 0.5, "2.0::DOUBLE * h + 0.1::DOUBLE * value"))
+@query("ssm_scan", _scan_sql(0.9, 0.5, "2.0::DOUBLE * h + 0.1::DOUBLE * value"))
+def ssm_scan(spark, sf):
+    """Scalar state space model: s = 0.9 s + 0.5 u, y = 2 s + 0.1 u, folded over every channel of each series."""
+    return _scan(spark, sf, 0.9, 0.5, 2.0, 0.1)
 
 
 @query("causal_conv", f"SELECT vec_id, t, ch, {r6('0.5::DOUBLE * value + 0.3::DOUBLE * coalesce(lag(value, 1) OVER w, 0) + 0.2::DOUBLE * coalesce(lag(value, 2) OVER w, 0)')} AS y FROM series WINDOW w AS (PARTITION BY vec_id, ch ORDER BY t)")
@@ -478,59 +497,147 @@ def up_pool(spark, sf):
     return fx.series(spark, sf).select("vec_id", (F.col("t") * 2 + F.col("ch") % 2).alias("t"), F.floor(F.col("ch") / 2).alias("ch"), six(F.col("value")).alias("v"))
 
 
-@query("cauchy_sum", f"SELECT vec_id, k, {r6('sum((value * (zr - wr) + vi * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS re, {r6('sum((vi * (zr - wr) - value * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS im FROM (SELECT vec_id, value, 0.1::DOUBLE * value AS vi, -0.5::DOUBLE - t AS wr, t::DOUBLE AS wi FROM series WHERE ch = 0), (SELECT k, cos(2 * pi() * k / 8) AS zr, sin(2 * pi() * k / 8) AS zi FROM range(0, 8) AS r(k)) GROUP BY 1, 2")
+_CAUCHY = f"SELECT vec_id, ch, k, {r6('sum((value * (zr - wr) + vi * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS re, {r6('sum((vi * (zr - wr) - value * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS im FROM (SELECT vec_id, ch, value, 0.1::DOUBLE * value AS vi, -0.5::DOUBLE - t AS wr, t::DOUBLE AS wi FROM series), (SELECT k, cos(2 * pi() * k / 8) AS zr, sin(2 * pi() * k / 8) AS zi FROM range(0, 8) AS r(k)) GROUP BY 1, 2, 3"
+
+
+@query("cauchy_sum_channels", _CAUCHY)
+@query("cauchy_sum", _CAUCHY)
 def cauchy_sum(spark, sf):
-    """Sum of v / (z - w) over the poles, at eight points of the unit circle, in real and imaginary parts."""
+    """Sum of v / (z - w) over the poles of every channel, at eight points of the unit circle, in real and imaginary parts."""
     from seqloom.operators.kernels import cauchy_parts
 
     nodes = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(math.cos(2 * math.pi * k / 8)).alias("zr"), F.lit(math.sin(2 * math.pi * k / 8)).alias("zi")) for k in range(8)])
-    rows = fx.series(spark, sf).where("ch = 0").withColumn("z", F.explode(nodes))
+    rows = fx.series(spark, sf).withColumn("z", F.explode(nodes))
     re, im = cauchy_parts(F.col("value"), 0.1 * F.col("value"), -0.5 - F.col("t"), F.col("t").cast("double"), F.col("z.zr"), F.col("z.zi"))
-    return rows.groupBy("vec_id", F.col("z.k").alias("k")).agg(six(F.sum(re)).alias("re"), six(F.sum(im)).alias("im"))
+    return rows.groupBy("vec_id", "ch", F.col("z.k").alias("k")).agg(six(F.sum(re)).alias("re"), six(F.sum(im)).alias("im"))
 
 
-@query("iir_filter", f"WITH RECURSIVE s AS (SELECT vec_id, 0 AS t, 0.2::DOUBLE * value AS y FROM series WHERE ch = 0 AND t = 0 UNION ALL SELECT s.vec_id, s.t + 1, 0.2::DOUBLE * x.value + 0.8::DOUBLE * s.y FROM s JOIN series x ON x.vec_id = s.vec_id AND x.t = s.t + 1 AND x.ch = 0) SELECT vec_id, CAST(t AS BIGINT) AS t, {r6('y')} AS y FROM s")
+@query("iir_filter_channels", _scan_sql(0.8, 0.2, "h"))
+@query("iir_filter", _scan_sql(0.8, 0.2, "h"))
 def iir_filter(spark, sf):
-    """First-order low pass: y = 0.2 x + 0.8 y."""
-    from seqloom.operators.kernels import linear_scan
+    """First-order low pass of every channel: y = 0.2 x + 0.8 y."""
+    return _scan(spark, sf, 0.8, 0.2, 1.0, 0.0)
 
-    rows = fx.series(spark, sf).where("ch = 0").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
-    rows = rows.select("vec_id", F.posexplode(linear_scan(F.transform("_p", lambda x: x["value"]), 0.8, 0.2, 1.0, 0.0)).alias("t", "y"))
-    return rows.select("vec_id", F.col("t").cast("long").alias("t"), six(F.col("y")).alias("y"))
 
+# Signals: the embeddings as 64 samples
 
-# The same three over all channels; their SQL above covers the first one.
 
+_SIGNAL = "(SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+_SAMPLES = f"(SELECT vec_id, i - 1 AS t, x[i] AS v FROM (SELECT vec_id, x, unnest(range(1, 65)) AS i FROM {_SIGNAL}))"
 
-def _scan_channels(spark, sf, a: float, b: float, c: float, d: float):
-    from seqloom.operators.kernels import linear_scan
 
-    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
-    rows = rows.select("vec_id", "ch", F.posexplode(linear_scan(F.transform("_p", lambda x: x["value"]), a, b, c, d)).alias("t", "y"))
-    return rows.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
+def _signal(spark, sf):
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
-@query("ssm_scan_channels")
-def ssm_scan_channels(spark, sf):
-    """`ssm_scan` of every channel of each series."""
-    return _scan_channels(spark, sf, 0.9, 0.5, 2.0, 0.1)
+def _samples_of(rows, x: Column):
+    return rows.select("vec_id", F.posexplode(x).alias("t", "y")).select("vec_id", F.col("t").cast("long").alias("t"), six(F.col("y")).alias("y"))
 
 
-@query("iir_filter_channels")
-def iir_filter_channels(spark, sf):
-    """`iir_filter` of every channel of each series."""
-    return _scan_channels(spark, sf, 0.8, 0.2, 1.0, 0.0)
+def _section_sql(sections) -> str:
+    """Each section as a recurrence over the output of the one before it."""
+    parts, source = [f"x0 AS {_SAMPLES}"], "x0"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate([float(v) for v in s] for s in sections):
+        c = {n: f"({v!r}::DOUBLE)" for n, v in zip(("b0", "b1", "b2", "a1", "a2"), (b0, b1, b2, a1, a2), strict=True)}
+        step = lambda y, v, s2: f"{y} AS y, {c['b1']} * {v} - {c['a1']} * ({y}) + {s2} AS s1, {c['b2']} * {v} - {c['a2']} * ({y}) AS s2"  # noqa: E731, B023
+        first, then = step(f"{c['b0']} * v", "v", "0.0::DOUBLE"), step(f"{c['b0']} * x.v + s.s1", "x.v", "s.s2")
+        parts.append(f"r{k} AS (SELECT vec_id, 0::BIGINT AS t, {first} FROM {source} WHERE t = 0 UNION ALL SELECT s.vec_id, s.t + 1, {then} FROM r{k} s JOIN {source} x ON x.vec_id = s.vec_id AND x.t = s.t + 1)")
+        parts.append(f"x{k + 1} AS (SELECT vec_id, t, y AS v FROM r{k})")
+        source = f"x{k + 1}"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT vec_id, t, {r6('v')} AS y FROM {source}"
 
 
-@query("cauchy_sum_channels")
-def cauchy_sum_channels(spark, sf):
-    """`cauchy_sum` of every channel of each series."""
-    from seqloom.operators.kernels import cauchy_parts
+_LOW, _BAND = signal.butterworth(3, 2.0, 16.0), signal.butterworth(2, (1.0, 4.0), 16.0, "bandpass")
 
-    nodes = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(math.cos(2 * math.pi * k / 8)).alias("zr"), F.lit(math.sin(2 * math.pi * k / 8)).alias("zi")) for k in range(8)])
-    rows = fx.series(spark, sf).withColumn("z", F.explode(nodes))
-    re, im = cauchy_parts(F.col("value"), 0.1 * F.col("value"), -0.5 - F.col("t"), F.col("t").cast("double"), F.col("z.zr"), F.col("z.zi"))
-    return rows.groupBy("vec_id", "ch", F.col("z.k").alias("k")).agg(six(F.sum(re)).alias("re"), six(F.sum(im)).alias("im"))
+
+@query("butter_filter", _section_sql(_LOW))
+def butter_filter(spark, sf):
+    """A Butterworth low pass of order 3."""
+    return _samples_of(_signal(spark, sf), signal.filtered("x", _LOW))
+
+
+@query("butter_bandpass", _section_sql(_BAND))
+def butter_bandpass(spark, sf):
+    """A Butterworth band pass of order 2."""
+    return _samples_of(_signal(spark, sf), signal.filtered("x", _BAND))
+
+
+@query("butter_both_ways")
+def butter_both_ways(spark, sf):
+    """The low pass forwards and backwards, which delays nothing."""
+    return _samples_of(_signal(spark, sf), signal.filtered("x", _LOW, both_ways=True))
+
+
+@query("butter_response")
+def butter_response(spark, sf):
+    """Gain of the low pass at 33 frequencies up to half the rate."""
+    at = [8.0 * i / 32 for i in range(33)]
+    gain = signal.frequency_response(_LOW, at, 16.0)
+    return spark.createDataFrame([(f, round(float(abs(g)), 6)) for f, g in zip(at, gain, strict=True)], "hz double, gain double")
+
+
+def _resample_sql(rate: float, to: float, zeros: int = 16) -> str:
+    scale = min(1.0, to / rate)
+    half, at = zeros / scale, f"(j * {rate}::DOUBLE / {to}::DOUBLE)"
+    w = f"{scale}::DOUBLE * (CASE WHEN {at} - i = 0 THEN 1 ELSE sin(({at} - i) * {math.pi * scale!r}::DOUBLE) / (({at} - i) * {math.pi * scale!r}::DOUBLE) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(({at} - i) * {math.pi / half!r}::DOUBLE))"
+    total = f"list_sum(list_transform(range(greatest(CAST(ceil({at} - {half}) AS BIGINT), 0), least(CAST(floor({at} + {half}) AS BIGINT), 63) + 1), lambda i: x[i + 1] * {w}))"
+    return f"SELECT vec_id, j AS t, {r6(total)} AS y FROM (SELECT vec_id, x, unnest(range(0, CAST(floor(64 * {to}::DOUBLE / {rate}::DOUBLE) AS BIGINT))) AS j FROM {_SIGNAL})"
+
+
+@query("resample_down", _resample_sql(360.0, 100.0))
+def resample_down(spark, sf):
+    """Samples at 360 a second brought to 100, band-limited by a windowed sinc."""
+    return _samples_of(_signal(spark, sf), signal.resampled(F.col("x"), 360.0, 100.0))
+
+
+@query("resample_up", _resample_sql(100.0, 250.0))
+def resample_up(spark, sf):
+    """Samples at 100 a second brought to 250."""
+    return _samples_of(_signal(spark, sf), signal.resampled(F.col("x"), 100.0, 250.0))
+
+
+@query("rescale_cubic")
+def rescale_cubic(spark, sf):
+    """64 samples rescaled to 96 by a cubic spline."""
+    return _samples_of(_signal(spark, sf), signal.rescaled("x", 1.5))
+
+
+_START = ops.draw_sql("vec_id", seed=21)
+
+
+@query("random_crop", f"SELECT vec_id, s AS start, {r6('x[s + 1]')} AS first, {r6('x[s + 40]')} AS last FROM (SELECT vec_id, x, {_START} % 24 AS s FROM {_SIGNAL})")
+def random_crop(spark, sf):
+    """40 of 64 samples from a drawn start."""
+    rows = _signal(spark, sf).withColumn("start", signal.random_start(F.size("x"), 40, "vec_id", seed=21))
+    own = signal.crop(F.col("x"), 40, F.col("start"))
+    return rows.select("vec_id", "start", six(own[0]).alias("first"), six(own[39]).alias("last"))
+
+
+@query("record_items", f"SELECT vec_id, item, {r6('x[s + 1]')} AS first, 16::BIGINT AS n FROM (SELECT vec_id, item, x, {ops.draw_sql('vec_id', 'item', seed=22)} % 48 AS s FROM {_SIGNAL}, range(0, 3) AS r(item))")
+def record_items(spark, sf):
+    """Three random crops of 16 samples of each record."""
+    rows = signal.items_of(_signal(spark, sf), "x", 16, 3, "vec_id", seed=22)
+    return rows.select("vec_id", "item", six(F.col("x")[0]).alias("first"), F.size("x").cast("long").alias("n"))
+
+
+_ONE, _TWO = (ops.draw_sql(*KEYS, seed=i) for i in (23, 24))
+
+
+@query("gaussian_noise", f"SELECT vec_id, t, ch, {r6(f'value + 0.1::DOUBLE * (sqrt(-2 * ln((({_ONE}) + 1) / {float(ops.LCG_M + 1)!r}::DOUBLE)) * cos(({_TWO}) / {float(ops.LCG_M)!r}::DOUBLE * {2 * math.pi!r}::DOUBLE))')} AS x FROM series")
+def gaussian_noise(spark, sf):
+    return fx.series(spark, sf).select(*KEYS, six(signal.with_noise(F.col("value"), 0.1, *KEYS, seed=23)).alias("x"))
+
+
+_PLACES = [10000.0 ** (i / 4) for i in (0, 2)]
+
+
+@query("side_info", f"SELECT vec_id, t, ch, {', '.join(f'{r6(f"{f}(t / {p!r}::DOUBLE)")} AS {f}{k}' for k, p in enumerate(_PLACES) for f in ('sin', 'cos'))}, {r6('cos(ch * 1.0::DOUBLE)')} AS feature0, {r6('cos(ch * 2.0::DOUBLE)')} AS feature1, keep AS mask FROM masked")
+def side_info(spark, sf):
+    """What conditions an imputer besides the values: time embedding, feature embedding (given: here a cosine), and mask."""
+    e = interleaved_embedding(F.col("t"), 4)
+    names = [f"{f}{k}" for k in range(2) for f in ("sin", "cos")]
+    feature = [six(F.cos(F.col("ch") * float(i + 1))).alias(f"feature{i}") for i in range(2)]
+    return fx.masked(spark, sf).select(*KEYS, *[six(e[i]).alias(n) for i, n in enumerate(names)], *feature, F.col("keep").alias("mask"))
 
 
 @query("center_crop", f"SELECT vec_id, {r6('x[1]')} AS first, {r6('x[40]')} AS last, len(x)::BIGINT AS n FROM (SELECT vec_id, list_transform(embedding[13:52], lambda v: v::DOUBLE) AS x FROM embeddings)")

@@ -296,8 +296,9 @@ def constrain_generated(spark, sf):
 @query("stable_desc", "SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id DESC) AS rank FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)")
 def stable_desc(spark, sf):
     counts = fx.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), F.desc("user_id"))).cast("long")
-    return counts.select("event_type", "user_id", rank.alias("rank"))
+    # Ranges of counts: a value of `n` comes in ranges of users, so that neither a type nor a frequent count is one task.
+    coarse = F.struct(-F.col("n"), -F.floor(F.col("user_id") / 10_000))
+    return sequences.row_numbers(counts, [F.desc("n"), F.desc("user_id")], coarse, "rank", by=["event_type"]).select("event_type", "user_id", "rank")
 
 
 @query("longest_length", "SELECT user_id, coalesce(max(n) FILTER (WHERE n = 60), max(n)) AS n FROM (SELECT user_id, len(seq)::BIGINT // k AS n FROM trace, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY 1")

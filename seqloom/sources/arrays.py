@@ -98,6 +98,26 @@ def write_json_report(one_row: DataFrame, path: str) -> None:
     one_row.select(F.to_json(F.struct(*one_row.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_results(samples: DataFrame, targets: DataFrame, masks: DataFrame, path: str) -> DataFrame:
+    """What an evaluation leaves: samples, targets and masks side by side, and how many rows each has."""
+    for name, rows in (("samples", samples), ("targets", targets), ("masks", masks)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = samples.sparkSession
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name in ("samples", "targets", "masks")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def log_metrics(spark: SparkSession, path: str, step: int, **metrics: float) -> None:
+    """One more line of JSON in a log of metrics; `read_log` gives them back. Names are free, steps may repeat."""
+    row = spark.createDataFrame([(step, {k: float(v) for k, v in metrics.items()})], "step long, metrics map<string,double>")
+    row.coalesce(1).write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(step, name, value) of all that `log_metrics` wrote."""
+    return spark.read.schema("step long, metrics map<string,double>").json(path).select("step", F.explode("metrics").alias("name", "value"))
+
+
 def latest_checkpoint(names: DataFrame, name: Column) -> DataFrame:
     """The largest number among files called <number>.pkl, -1 if there is none."""
     return names.agg(F.coalesce(F.max(F.regexp_extract(name, r"^(.+)\.pkl$", 1).try_cast("int")), F.lit(-1)).alias("n"))

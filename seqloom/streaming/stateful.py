@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
@@ -64,3 +65,31 @@ def up_pool(rows: DataFrame) -> DataFrame:
     """(key, t, u) values out of (key, t, values) rows: the inverse of `down_pool`, without state."""
     each = rows.select("key", F.col("t").alias("_t"), F.size("values").alias("_n"), F.posexplode("values").alias("_i", "u"))
     return each.select("key", (F.col("_t") * F.col("_n") + F.col("_i")).alias("t"), "u")
+
+
+def running_best(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, best, n): the least value so far and how many there were, for a batch or a stream in complete or update mode."""
+    return rows.groupBy(key).agg(F.min(value).alias("best"), F.count(value).alias("n"))
+
+
+class Progress(StreamingQueryListener):
+    """Keeps (batch, rows, rows a second) of each batch of the queries of a session, and hands each to a function if given one."""
+
+    def __init__(self, tell: Callable[[tuple[int, int, float]], None] | None = None) -> None:
+        self.seen: list[tuple[int, int, float]] = []
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.seen.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+        if self.tell:
+            self.tell(self.seen[-1])

@@ -156,3 +156,28 @@ def test_stream_of_scans_and_pools(spark, tmp_path):
     pooled = _drain(spark, stateful.down_pool(stream, 4), "pool", str(tmp_path / "b"))
     back = {(r.key, r.t): r.u for r in stateful.up_pool(pooled).collect()}
     assert back == {(r.key, r.t): r.u for r in rows.collect()}
+
+
+def test_stream_of_bests(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, float((i * 7) % 11), i) for i in range(60)], "k long, loss double, i long")
+    progress = stateful.Progress()
+    spark.streams.addListener(progress)
+    try:
+        got = _drain(spark, stateful.running_best(_stream(spark, rows, str(tmp_path / "in"), "i"), "k", "loss"), "bests", str(tmp_path), "complete").collect()
+    finally:
+        spark.streams.removeListener(progress)
+    assert {(r.k, r.best, r.n) for r in got} == {(r.k, r.best, r.n) for r in stateful.running_best(rows, "k", "loss").collect()}
+
+
+def test_results_and_logs(spark, tmp_path):
+    from seqloom.operators import networks
+    from seqloom.sources import arrays
+
+    one = spark.range(3)
+    counts = {r.part: r.n for r in arrays.save_results(one, one.limit(2), one.limit(0), str(tmp_path / "r")).collect()}
+    assert counts == {"samples": 3, "targets": 2, "masks": 0}
+    arrays.log_metrics(spark, str(tmp_path / "log"), 1, loss=0.5, rate=2)
+    arrays.log_metrics(spark, str(tmp_path / "log"), 2, loss=0.25)
+    assert sorted(map(tuple, arrays.read_log(spark, str(tmp_path / "log")).collect())) == [(1, "loss", 0.5), (1, "rate", 2.0), (2, "loss", 0.25)]
+    net = networks.GatedImputer(2, hidden=4, layers=1)
+    assert networks.parameter_count(net) == 2 * 4 + 4 * 4 + 4 * 2 + 4 * 4 + 3 * 4 * 8 + 4 * 8 + 4 * 4 + 4 * 4
