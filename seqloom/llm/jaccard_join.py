@@ -45,7 +45,7 @@ from seqloom.llm.textkernels import document_words, mix64, signed, slices, text_
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 FRAGMENTS, BUCKET_BITS, PIECE = 8, 21, 1 << 16
 #: Sets and n-grams on one side of a block, and sets of small groups that share a block.
-BLOCK, GRAMS, PACK = 512, 1 << 20, 128
+BLOCK, GRAMS, PACK = 256, 1 << 20, 128
 #: N-grams of at most FEW sets of a block are counted pair by pair, others as columns of a matrix, so many at once.
 FEW, COLUMNS = 16, 1 << 13
 #: How often sets with too many empty cells are dealt anew.
@@ -552,8 +552,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if who:
                 yield pa.RecordBatch.from_arrays([*(pa.array([w[i] for w in who], pa.int64()) for i in range(2)), pa.array(bits, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["set_key", "n", "bits", "cells"])
 
-    # A set can come twice here (equal texts that tasks do not see together).
-    texts = rows.select("key", "text").join(met, "key").select("set_key", "hot", "text")
+    # A set can come twice here (equal texts that tasks do not see together). Texts are joined by a merge at any size, since what
+    # they are joined with grows with them.
+    texts = rows.select("key", "text").join(met.hint("merge"), "key").select("set_key", "hot", "text")
     each = materialize(texts.mapInArrow(signs, "set_key long, n long, bits binary, cells array<bigint>"), "near-signs")
 
     shared = meeting.where(~F.col("hot")).select(F.col("gram").alias("point"), "set_key").unionByName(each.select(F.explode("cells").alias("point"), "set_key"))
@@ -584,7 +585,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Overlaps in the blocks `work` (of, side, set_key, n, copies). Side 0 meets side 1; sets of side 2 meet each other."""
         at = work.groupBy("set_key").agg(F.collect_list(F.struct("of", "side")).alias("blocks"))  # as many as its component has parts
         at = materialize(inside.select("set_key", "key", "copies").join(at, "set_key"), "near-blocks")
-        own = rows.select("key", "text").join(at, "key").select("set_key", "copies", "blocks", "text")
+        own = rows.select("key", "text").join(at.hint("merge"), "key").select("set_key", "copies", "blocks", "text")
         own = own.mapInArrow(_fragments(order, FRAGMENTS), "of long, fragment int, side int, set_key long, n long, copies long, grams array<bigint>")
         parts = own.repartition("of", "fragment").sortWithinPartitions("of", "fragment", "side", "set_key").mapInArrow(_partial, "of long, fragment int, who binary, part binary")
         parts = parts.select("of", "who", "part").repartition("of").sortWithinPartitions("of")
