@@ -372,7 +372,23 @@ def edge_trim(spark, sf):
     return ops.edge_trim(fx.ann(spark, sf), "user_id", "sample", "symbol", "view").select("user_id", "sample", "symbol")
 
 
-@query("delineate")
+_MARK = "CASE symbol WHEN 'click' THEN '(' WHEN 'purchase' THEN ')' ELSE symbol END"
+_OPEN = "s[i] = '(' AND s[i + 1] NOT IN ('(', ')')"
+_PEAK = "s[i] NOT IN ('(', ')')"
+
+
+@query(
+    "delineate",
+    f"""WITH RECURSIVE m AS (SELECT user_id, list(sample ORDER BY sample) AS p, list({_MARK} ORDER BY sample) AS s FROM ann GROUP BY 1),
+       w AS (SELECT user_id, p, s, 1 AS i, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS "end", CAST(NULL AS VARCHAR) AS kind FROM m
+             UNION ALL
+             SELECT user_id, p, s, i + CASE WHEN {_OPEN} AND s[i + 2] = ')' THEN 3 WHEN {_OPEN} THEN 2 WHEN {_PEAK} AND s[i + 1] = ')' THEN 2 ELSE 1 END,
+                    CASE WHEN {_OPEN} OR {_PEAK} THEN p[i] END,
+                    CASE WHEN {_OPEN} AND s[i + 2] = ')' THEN p[i + 2] WHEN {_OPEN} THEN p[i + 1] WHEN {_PEAK} AND s[i + 1] = ')' THEN p[i + 1] WHEN {_PEAK} THEN p[i] END,
+                    CASE WHEN {_OPEN} THEN s[i + 1] WHEN {_PEAK} THEN s[i] END
+             FROM w WHERE i <= len(p))
+       SELECT user_id, start, "end", kind FROM w WHERE kind IS NOT NULL""",
+)
 def delineate(spark, sf):
     """Waves from marks: click opens, purchase closes, the rest are peaks."""
     s = F.when(F.col("symbol") == "click", "(").when(F.col("symbol") == "purchase", ")").otherwise(F.col("symbol"))

@@ -174,7 +174,14 @@ def hist_mask(spark, sf):
     return both.select(*KEYS, (F.col("keep") * F.col("_keep")).alias("cond"))
 
 
-@query("rand_mask")
+_RATIO = f"({ops.draw_sql('vec_id', seed=5)} / {float(ops.LCG_M)!r}::DOUBLE)"
+
+
+@query(
+    "rand_mask",
+    f"""SELECT vec_id, t, ch, CASE WHEN keep = 1 AND rn > round_even(n * {_RATIO}, 0) THEN 1 ELSE 0 END AS cond
+       FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, keep ORDER BY {ops.draw_sql(*KEYS, seed=6)}, t, ch) AS rn, count(*) OVER (PARTITION BY vec_id, keep) AS n FROM masked)""",
+)
 def rand_mask(spark, sf):
     """For each series a ratio of its own, and that share of its observed cells removed."""
     rows = fx.masked(spark, sf)
@@ -443,7 +450,15 @@ def pack_offsets(spark, sf):
     return running_sums(sizes, ["user_id"], F.floor(F.col("user_id") / 10_000), "length", "start").select("user_id", "length", "start")
 
 
-@query("pack_offsets_batched")
+@query(
+    "pack_offsets_batched",
+    """WITH RECURSIVE a AS (SELECT user_id, len(seq)::BIGINT AS length, row_number() OVER (ORDER BY user_id) AS rn FROM trace),
+       p AS (SELECT user_id, length, rn, 0::BIGINT AS file, 0::BIGINT AS start FROM a WHERE rn = 1
+             UNION ALL
+             SELECT a.user_id, a.length, a.rn, CASE WHEN p.start + p.length > 1000 THEN p.file + 1 ELSE p.file END, CASE WHEN p.start + p.length > 1000 THEN 0 ELSE p.start + p.length END
+             FROM p JOIN a ON a.rn = p.rn + 1)
+       SELECT user_id, file, start, length FROM p""",
+)
 def pack_offsets_batched(spark, sf):
     """Files roll over once one has more than 1000 values."""
     return ops.pack(fx.trace(spark, sf).select("user_id", F.size("seq").alias("n")), ["user_id"], "n", 1000)

@@ -15,10 +15,11 @@ from seqloom.runtime import ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
     builder = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
     builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false")
-    out = builder.getOrCreate()
+    out = builder.config("spark.checkpoint.dir", shared).getOrCreate()
     out.sparkContext.setLogLevel("ERROR")
     ship(out)
     yield out
