@@ -512,6 +512,45 @@ def up_pool(spark, sf):
     return fx.series(spark, sf).select("vec_id", (F.col("t") * 2 + F.col("ch") % 2).alias("t"), F.floor(F.col("ch") / 2).alias("ch"), six(F.col("value")).alias("v"))
 
 
+_POLES = [(0.9, 0.5), (0.5, -0.25), (-0.3, 0.125)]
+
+
+def _poles_sql() -> str:
+    poles = ", ".join(f"({k}, {a}::DOUBLE, {c}::DOUBLE)" for k, (a, c) in enumerate(_POLES))
+    return f"""WITH RECURSIVE pole AS (SELECT * FROM (VALUES {poles}) AS p(k, a, c)),
+       s AS (SELECT vec_id, ch, k, a, c, 0 AS t, value AS h FROM series, pole WHERE t = 0
+             UNION ALL
+             SELECT s.vec_id, s.ch, s.k, s.a, s.c, s.t + 1, s.a * s.h + x.value FROM s JOIN series x ON x.vec_id = s.vec_id AND x.ch = s.ch AND x.t = s.t + 1)
+       SELECT vec_id, CAST(t AS BIGINT) AS t, ch, {r6('sum(c * h)')} AS y FROM s GROUP BY 1, 2, 3"""
+
+
+@query("ssm_diagonal", _poles_sql())
+def ssm_diagonal(spark, sf):
+    """A diagonal state space model step by step: each pole has a state s = a s + u of its own, and y is the sum of c s."""
+    from seqloom.operators.kernels import linear_scan
+
+    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
+    u = F.transform("_p", lambda x: x["value"])
+    total = None
+    for a, c in _POLES:
+        own = linear_scan(u, a, 1.0, c, 0.0)
+        total = own if total is None else F.zip_with(total, own, lambda x, y: x + y)
+    out = rows.select("vec_id", "ch", F.posexplode(total).alias("t", "y"))
+    return out.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
+
+
+@query("ssm_convolution", _poles_sql())
+def ssm_convolution(spark, sf):
+    """The same model as a convolution: its kernel, the sum of c a^k, meets each step and those before it. Steps are joined on
+    the series, so the work is the square of a series' length and linear in their number."""
+    rows = fx.series(spark, sf)
+    before = rows.select("vec_id", "ch", F.col("t").alias("_t"), F.col("value").alias("_v"))
+    k = F.col("t") - F.col("_t")
+    kernel = sum(c * F.pow(F.lit(a), k) for a, c in _POLES)
+    both = rows.join(before, ["vec_id", "ch"]).where(k >= 0)
+    return both.groupBy("vec_id", "t", "ch").agg(six(F.sum(kernel * F.col("_v"))).alias("y"))
+
+
 _CAUCHY = f"SELECT vec_id, ch, k, {r6('sum((value * (zr - wr) + vi * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS re, {r6('sum((vi * (zr - wr) - value * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS im FROM (SELECT vec_id, ch, value, 0.1::DOUBLE * value AS vi, -0.5::DOUBLE - t AS wr, t::DOUBLE AS wi FROM series), (SELECT k, cos(2 * pi() * k / 8) AS zr, sin(2 * pi() * k / 8) AS zi FROM range(0, 8) AS r(k)) GROUP BY 1, 2, 3"
 
 
