@@ -22,8 +22,13 @@ def python_fold(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
+#: At most so many classes, the most frequent ones, are learned.
+CLASSES = 1000
+
+
 def bounded(keyed: DataFrame, key: str, group: str, most: int) -> DataFrame:
-    """About `most` rows, and never more than twice as many, of each value of `group` that is not null, by a hash of `key`.
+    """About `most` rows, and never more than twice as many, of each value of `group` that is not null, by a hash of `key`. Of
+    more than CLASSES values the rarest are left out.
 
     Rows of (key, group) and perhaps other columns; rows that repeat a key and a group count as one, with the least of each
     other column. The share that is kept of each value follows from its number of rows, counted first, so one scan beside
@@ -32,6 +37,7 @@ def bounded(keyed: DataFrame, key: str, group: str, most: int) -> DataFrame:
     known = keyed.where(F.col(group).isNotNull())
     counts = known.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_rows"))
     spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    counts = F.broadcast(counts.orderBy(F.desc("_rows"), "_group").limit(CLASSES))  # that many rows
     drawn = known.join(counts, F.col(group) == F.col("_group")).where(spread * F.col("_rows") < most)
     rest = [F.min(c).alias(c) for c in keyed.columns if c not in (key, group)]
     once = drawn.groupBy(key, group).agg(*rest) if rest else drawn.select(key, group).distinct()
