@@ -42,7 +42,7 @@ _KIND = np.where(_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 3))).astype
 _REPEATED = np.uint64(1)
 _SHAPES = np.uint64(16)
 #: Words whose contexts are added up at once.
-PART = 1 << 16
+PART = 1 << 17
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def training_features(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's sums of context vectors and numbers of occurrences (last column), of buckets and of shapes, in pieces."""
-    total = np.zeros((BUCKETS + SHAPES, DIM + 1))
+    columns = np.zeros((DIM + 1, BUCKETS + SHAPES))
     for batch in batches:
         data, off = text_buffer(batch.column(0))
         for a, b in slices(off):
@@ -161,22 +161,23 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for at in range(0, len(own), PART):
                 lo, hi = max(0, at - WINDOW), min(len(own), at + PART + WINDOW)
                 different, which = np.unique(own[lo:hi], return_inverse=True)
-                v, doc = index_vectors(different)[which], document[lo:hi]
-                around = np.ones((hi - lo, DIM + 1), np.float32)
-                around[:, :DIM] = 0
+                v, doc = index_vectors(different).astype(np.int8)[which], document[lo:hi]
+                around = np.zeros((hi - lo, DIM), np.int8)
                 for d in range(1, WINDOW + 1):
                     same = (doc[d:] == doc[:-d])[:, None]
-                    around[d:, :DIM] += v[:-d] * same
-                    around[:-d, :DIM] += v[d:] * same
+                    around[d:] += v[:-d] * same
+                    around[:-d] += v[d:] * same
                 end = min(len(own), at + PART)
-                around = around[at - lo : end - lo]
-                for row in (bucket_of(own[at:end]), BUCKETS + shape_row(shape[at:end])):
-                    order = np.argsort(row, kind="stable")
-                    first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0))
-                    total[row[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.float64)
+                around = np.ascontiguousarray(around[at - lo : end - lo].T)
+                for first, size, row in ((0, BUCKETS, bucket_of(own[at:end])), (BUCKETS, SHAPES, shape_row(shape[at:end]))):
+                    into = columns[:, first : first + size]
+                    for d in range(DIM):
+                        into[d] += np.bincount(row, weights=around[d], minlength=size)
+                    into[DIM] += np.bincount(row, minlength=size)
+    total = columns.T.astype("<i8")
     for i in range(0, len(total), PIECE):
         if total[i : i + PIECE, DIM].any():
-            packed = zlib.compress(total[i : i + PIECE].astype("<i8").tobytes(), 1)
+            packed = zlib.compress(total[i : i + PIECE].tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([packed], pa.binary())], ["piece", "sums"])
 
 
