@@ -163,7 +163,7 @@ def _order(pieces: DataFrame) -> Order:
     n = (1 << BUCKET_BITS) // PIECE
     counts = np.zeros(1 << BUCKET_BITS, np.float64)
     # Each of the exchange's partitions holds whole pieces, so every piece arrives once.
-    for r in pieces.select("piece", "counts").repartition(n, "piece").mapInArrow(_added, "piece int, counts binary").toLocalIterator():
+    for r in pieces.select("piece", "counts").repartition(n, "piece").mapInArrow(_added, "piece int, counts binary").collect():
         counts[r[0] * PIECE : (r[0] + 1) * PIECE] += np.frombuffer(zlib.decompress(r[1]), "<u8")
     return Order.of(counts)
 
