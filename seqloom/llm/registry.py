@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontamination, jaccard_join, language_id, license_scan, media_columns, quality, substring_dedup, token_codec, toxicity, url_filter
+from seqloom.llm import decontamination, exact_dedup, jaccard_join, language_id, license_scan, media_columns, quality, spelling, substring_dedup, token_codec, toxicity, url_filter, whitening
 
-_MODULES = (license_scan, url_filter, media_columns, token_codec, language_id, substring_dedup, toxicity, decontamination, jaccard_join, quality)
+_MODULES = (license_scan, url_filter, media_columns, token_codec, language_id, substring_dedup, toxicity, decontamination, jaccard_join, quality, exact_dedup, whitening, spelling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
