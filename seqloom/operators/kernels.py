@@ -1,4 +1,4 @@
-"""Sequence kernels as array expressions: scans, sums over poles, resampling."""
+"""Sequence kernels as array expressions: sums over poles, rescaling."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def linear_scan(u: Column, a: float, b: float, c: float, d: float) -> Column:
-    """Outputs of s = a s + b u, y = c s + d u over an array, from s = 0."""
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("y"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["s"] * a + x * b
-        return F.struct(s.alias("s"), F.concat(acc["y"], F.array(s * c + x * d)).alias("y"))
-
-    return F.aggregate(u, start, step)["y"]
-
-
 def cauchy_parts(vr: Column, vi: Column, wr: Column, wi: Column, zr: Column, zi: Column) -> tuple[Column, Column]:
     """Real and imaginary part of v / (z - w)."""
     dr, di = zr - wr, zi - wi

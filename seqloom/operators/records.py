@@ -5,57 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import ranges
 from seqloom.operators.sequences import row_numbers
 from seqloom.operators.series import LCG_M, draw
+from seqloom.tables import materialize
 
 
-def label_support(rows: DataFrame, key: str, labels: str, least: int) -> DataFrame:
-    """`kept`: the labels, in order, that occur at least `least` times over all rows. Support is aggregated before anything is
-    joined, and the kept labels come back as one row with an array (a vocabulary of labels, not of rows)."""
-    support = rows.select(F.explode(labels).alias("_l")).groupBy("_l").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    names = support.agg(F.array_sort(F.collect_list("_l")).alias("itos"))
-    return rows.crossJoin(F.broadcast(names)).withColumn("kept", F.filter(labels, lambda x: F.array_contains("itos", x)))
+#: Supported labels that go to every row as one array; of more, each row's are looked up by a join.
+ARRAY_LABELS = 1000
 
 
-def asof_label(marks: DataFrame, probes: DataFrame, key: str, at: str, label: str, default: str, unknown: list[str]) -> DataFrame:
+def label_support(rows: DataFrame, key: str, labels: str, least: int, most: int = ARRAY_LABELS) -> DataFrame:
+    """`kept`: the labels, in order, that occur at least `least` times over all rows, and `itos`: all kept labels, sorted (null if they
+    are more than `most`). Support is aggregated before anything is joined."""
+    support = materialize(rows.select(F.explode(labels).alias("_l")).groupBy("_l").agg(F.count("*").alias("_n")).where(F.col("_n") >= least), "label-support")
+    if support.limit(most + 1).count() <= most:
+        names = support.agg(F.array_sort(F.collect_list("_l")).alias("itos"))
+        return rows.crossJoin(F.broadcast(names)).withColumn("kept", F.filter(labels, lambda x: F.array_contains("itos", x)))
+    own = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "label-rows")
+    each = own.select("_row", F.posexplode(labels).alias("_i", "_l")).join(support.select("_l"), "_l")
+    kept = each.groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("_i", "_l"))).alias("_kept"))
+    none = F.lit(None).cast(rows.schema[labels].dataType)
+    out = own.join(kept, F.col("_row") == F.col("_of"), "left").withColumn("itos", none)
+    some = F.coalesce(F.transform("_kept", lambda x: x["_l"]), F.slice(labels, 1, 0))
+    return out.withColumn("kept", some).drop("_row", "_of", "_kept")
+
+
+def asof_label(marks: DataFrame, probes: DataFrame, key: str, at: str, label: str, default: str, unknown: list[str], most: int = ranges.MOST) -> DataFrame:
     """Each probe with the label of the latest mark at or before it; `default` before the first mark, and from a mark whose
-    label is among `unknown`. Marks and probes are merged by one sort per key; keys are independent."""
+    label is among `unknown`. Marks and probes are merged by a sort within ranges of a key's time; of several marks at one time
+    the last one by label counts."""
     known = F.when(F.col(label).isin(unknown), default).otherwise(F.col(label)) if unknown else F.col(label)
     a = marks.select(key, at, F.lit(0).alias("_kind"), known.alias("_label"))
     b = probes.select(key, at, F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_label"))
-    w = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(label, F.coalesce(F.last("_label", ignorenulls=True).over(w), F.lit(default)))
-    return both.where("_kind = 1").select(key, at, label)
+    both = ranges.last_known(ranges.ranged(a.unionByName(b), key, at, most), key, [at, "_kind", "_label"], "_label", "_last")
+    return both.where("_kind = 1").select(key, at, F.coalesce("_last", F.lit(default)).alias(label))
 
 
-def segments(marks: DataFrame, key: str, at: str, label: str, length: Column) -> DataFrame:
+def segments(marks: DataFrame, key: str, at: str, label: str, length: Column, most: int = ranges.MOST) -> DataFrame:
     """(key, start, end, label): from each change point to the next, the last one to the record's length plus one."""
-    end = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    return marks.select(key, F.col(at).alias("start"), F.coalesce(end, length + 1).alias("end"), label)
+    end = (length + 1).alias("_end")
+    own = ranges.ranged(marks.select(key, at, label, end), key, at, most)
+    out = ranges.neighbour(own, key, at, at, "_next", forwards=False)
+    return out.select(key, F.col(at).alias("start"), F.coalesce("_next", "_end").alias("end"), label)
 
 
-def segment_filter(parts: DataFrame, key: str, label: str, unknown: str, least: int) -> DataFrame:
+def segment_filter(parts: DataFrame, key: str, label: str, unknown: str, least: int, most: int = ranges.MOST) -> DataFrame:
     """Segments without the unknown label, numbered per key, then those of at least `least`; numbers count the short ones."""
-    number = (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).cast("long")
-    known = parts.where(F.col(label) != unknown).withColumn("number", number)
+    known = ranges.ranged(parts.where(F.col(label) != unknown), key, "start", most)
+    known = row_numbers(known, ["start"], F.col(ranges.RANGE), "_no", by=[key]).withColumn("number", F.col("_no") - 1).drop("_no", ranges.RANGE)
     return known.where((F.col("end") - F.col("start") > 0) & (F.col("end") - F.col("start") >= least))
 
 
-def gap_relabel(runs: DataFrame, key: str, at: str, label: str, gap: str, names: dict[tuple[str, str], str]) -> DataFrame:
+def gap_relabel(runs: DataFrame, key: str, at: str, label: str, gap: str, names: dict[tuple[str, str], str], most: int = ranges.MOST) -> DataFrame:
     """Gaps between two known neighbours get the name for that pair of labels; gaps at an edge and unnamed pairs stay."""
-    w = Window.partitionBy(key).orderBy(at)
-    before, after = F.lag(label).over(w), F.lead(label).over(w)
+    own = ranges.ranged(runs, key, at, most)
+    own = ranges.neighbour(ranges.neighbour(own, key, at, label, "_before"), key, at, label, "_after", forwards=False)
     out = F.col(label)
     for (a, b), name in names.items():
-        out = F.when((F.col(label) == gap) & (before == a) & (after == b), name).otherwise(out)
-    return runs.withColumn(label, out)
+        out = F.when((F.col(label) == gap) & (F.col("_before") == a) & (F.col("_after") == b), name).otherwise(out)
+    return own.withColumn(label, out).drop("_before", "_after", ranges.RANGE)
 
 
 def edge_trim(rows: DataFrame, key: str, at: str, label: str, background: str) -> DataFrame:
-    """Rows from the first to the last that is not background."""
-    w = Window.partitionBy(key)
+    """Rows from the first to the last that is not background. The two ends are aggregated, not gathered."""
     real = F.when(F.col(label) != background, F.col(at))
-    return rows.withColumns({"_lo": F.min(real).over(w), "_hi": F.max(real).over(w)}).where(F.col(at).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    ends = rows.groupBy(F.col(key).alias("_k")).agg(F.min(real).alias("_lo"), F.max(real).alias("_hi"))
+    return rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col(at).between(F.col("_lo"), F.col("_hi"))).drop("_k", "_lo", "_hi")
 
 
 def kfold(rows: DataFrame, key: str, label: str, folds: int, seed: int = 1) -> DataFrame:
@@ -67,11 +83,13 @@ def kfold(rows: DataFrame, key: str, label: str, folds: int, seed: int = 1) -> D
 
 
 def sampling_weights(rows: DataFrame, label: str, length: str, weights: Column) -> DataFrame:
-    """Class weight times the row's share of its class's total length, relative to the least."""
-    share = F.col(length) / F.sum(length).over(Window.partitionBy(label))
-    raw = rows.withColumn("_w", weights * share)
-    least = raw.agg(F.min("_w").alias("_least"))
-    return raw.crossJoin(F.broadcast(least)).withColumn("weight", F.col("_w") / F.col("_least")).drop("_w", "_least")  # one row
+    """Class weight times the row's share of its class's total length, relative to the least. A class is one row of totals, whatever
+    its size; the least comes from these rows."""
+    own = rows.withColumn("_w", weights * F.col(length))
+    totals = own.groupBy(F.col(label).alias("_l")).agg(F.sum(length).alias("_total"), F.min("_w").alias("_least"))
+    least = totals.agg(F.min(F.col("_least") / F.col("_total")).alias("_min"))
+    out = own.join(totals, F.col(label).eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(least))  # one row
+    return out.withColumn("weight", F.col("_w") / F.col("_total") / F.col("_min")).drop("_w", "_l", "_total", "_least", "_min")
 
 
 def aggregate_predictions(rows: DataFrame, key: str, score: str, target: str, how: str = "mean") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import ranges
+
 
 def vocabulary(events: DataFrame, event: str, base: int = 0) -> DataFrame:
     """(event, id): ids by falling count, ties by the event. Only the aggregated table, as long as the vocabulary, is sorted."""
@@ -76,10 +78,11 @@ def encode(traces: DataFrame, vocabulary_: DataFrame, event: str) -> DataFrame:
     return traces.crossJoin(F.broadcast(lookup)).withColumn("seq", F.transform("seq", lambda x: F.element_at("_map", x))).drop("_map")
 
 
-def islands(rows: DataFrame, key: str, position: str) -> DataFrame:
+def islands(rows: DataFrame, key: str, position: str, most: int = ranges.MOST) -> DataFrame:
     """(key, first, last) runs of consecutive positions."""
-    group = F.col(position) - F.row_number().over(Window.partitionBy(key).orderBy(position))
-    return rows.withColumn("_g", group).groupBy(key, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("_g")
+    numbered = row_numbers(ranges.ranged(rows.select(key, position), key, position, most), [position], F.col(ranges.RANGE), "_no", by=[key])
+    group = F.col(position) - F.col("_no")
+    return numbered.withColumn("_g", group).groupBy(key, "_g").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("_g")
 
 
 def row_numbers(rows: DataFrame, order: list[str | Column], coarse: Column, name: str = "rn", by: list[str] | None = None) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import array_split_bounds
+from seqloom.operators import ranges
+from seqloom.operators.sequences import row_numbers, running_sums
+from seqloom.tables import discard, materialize
 
 #: A linear congruential step, small enough to stay exact in 64-bit integers; the same arithmetic works in any SQL engine.
 LCG_A, LCG_B, LCG_M = 1103515245, 12345, 2147483647
@@ -98,27 +100,101 @@ def reverse_mean(x: Column, alpha: Column, bar: Column, noise: Column) -> Column
     return (x - (1 - alpha) / F.sqrt(1 - bar) * noise) / F.sqrt(alpha)
 
 
-def pack(sizes: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
-    """Offsets of arrays packed one behind the other into files: (file, start, length) for each, a new file once the running end
-    of the current one is over `most` (0: a single file).
+def pack(sizes: DataFrame, order: list[str], size: str, most: int, coarse: Column) -> DataFrame:
+    """Offsets of arrays packed one behind the other into files: (order, file, start, length) for each, a new file once the running end
+    of the current one is over `most` (0: a single file). `order` are unique keys, `coarse` is as for `sequences.row_numbers`.
 
-    Where a file ends depends on where the one before it ended, so the narrow table of sizes (a row for each array) goes through
-    one task in order, batch by batch, with two numbers of state; the sort before it spills. Where files do not roll,
-    `sequences.running_sums` gives the offsets without that.
+    Where a file ends depends on where the one before it ended. So each array learns which one would begin the next file if it began
+    one itself (`_successors`), and the arrays that do begin one are those on the way from the first: the way is doubled each round,
+    so the rounds are the logarithm of the number of files. Nothing passes through one task.
     """
-    narrow = sizes.select(*order, F.col(size).cast("long").alias("length"))
-    types = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = end = 0
-        for batch in batches:
-            files, starts = [], []
-            for n in batch.column(len(order)).to_pylist():
-                if most and end > most:
-                    file, end = file + 1, 0
-                files.append(file)
-                starts.append(end)
-                end += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(order)], pa.array(files, pa.int64()), pa.array(starts, pa.int64()), batch.column(len(order))], [*order, "file", "start", "length"])
-
-    return narrow.repartition(1).sortWithinPartitions(*order).mapInArrow(run, f"{types}, file long, start long, length long")
+    own = sizes.select(*order, F.col(size).cast("long").alias("length"))
+    own = running_sums(row_numbers(own, order, coarse, "_no"), order, coarse, "length", "_at")
+    own = materialize(own.withColumn("_i", F.col("_no") - 1).drop("_no"), "pack-arrays")
+    if not most:
+        return own.select(*order, F.lit(0).cast("long").alias("file"), F.col("_at").alias("start"), "length")
+    jump = materialize(_successors(own, most), "pack-next")
+    begins = materialize(own.where(F.col("_i") == 0).select("_i"), "pack-begins")
+    while True:
+        reached = begins.join(jump, "_i").select(F.col("_next").alias("_i"))
+        again = jump.select(F.col("_i").alias("_from"), F.col("_next").alias("_to"))
+        after = materialize(jump.join(again, F.col("_next") == F.col("_from")).select("_i", F.col("_to").alias("_next")), "pack-next")
+        reached = materialize(begins.unionByName(reached), "pack-begins")
+        done = reached.count() == begins.count()
+        for used in (jump, begins):
+            discard(used)
+        jump, begins = after, reached
+        if done:
+            break
+    flagged = own.join(begins.withColumn("_new", F.lit(1)), "_i", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    numbered = running_sums(flagged, ["_i"], F.floor(F.col("_i") / ranges.MOST), "_new", "_files")
+    numbered = materialize(numbered.withColumn("file", F.col("_files") + F.col("_new") - 1), "pack-files")
+    first = numbered.where("_new = 1").select(F.col("file").alias("_f"), F.col("_at").alias("_first"))
+    return numbered.join(first, F.col("file") == F.col("_f")).select(*order, "file", (F.col("_at") - F.col("_first")).alias("start"), "length")
+
+
+def _successors(own: DataFrame, most: int) -> DataFrame:
+    """(_i, _next): for arrays (_i, _at) in order, the first one that lies more than `most` behind each; without one, no row.
+
+    Both sides are merged within ranges of the offset; where a range has no such array, the first of the next range that has any is it.
+    """
+    size = own.agg(F.count("*").alias("n"), F.max("_at").alias("top")).first()
+    width = max(most + 1, -(-((size.top or 0) + 1) * ranges.MOST // max(1, size.n)))
+    marks = own.select(F.col("_at").alias("_v"), F.lit(0).alias("_kind"), F.col("_i").alias("_mark"), "_i")
+    probes = own.select((F.col("_at") + most).alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_mark"), "_i")
+    both = marks.unionByName(probes).withColumn("_range", F.floor(F.col("_v") / width))
+    # From behind: what comes before a probe lies behind it, and the last of these is the nearest.
+    order = [F.desc("_v"), F.desc("_kind"), F.desc("_i")]
+    inside = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    table = both.groupBy("_range").agg(F.min("_mark").alias("_first"))
+    behind = F.last("_first", ignorenulls=True).over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    table = table.select(F.col("_range").alias("_r"), behind.alias("_behind"))
+    out = both.withColumn("_inside", inside).where("_kind = 1").join(table, F.col("_range") == F.col("_r"))
+    return out.select("_i", F.coalesce("_inside", "_behind").alias("_next")).where(F.col("_next").isNotNull())
+
+
+# Shuffled order
+
+SHUFFLE_ROUNDS, SHUFFLE_WALK = 4, 64
+
+
+def _mixed(x: Column, key: int) -> Column:
+    t = (x + key) % LCG_M
+    return (t * t % LCG_M * LCG_A + LCG_B) % LCG_M
+
+
+def shuffled_position(i: Column, n: int, seed: int = 0) -> Column:
+    """Where number i (from 0) of n stands in an order drawn by `seed`: a permutation that is computed row by row, with nothing sorted.
+
+    A Feistel network over pairs (i % a, i / a) with a = ceil(sqrt(n)) permutes a few more numbers than n; what lands beyond is
+    sent through again until it is below n. A number is beyond with a chance of 1 / sqrt(n), so SHUFFLE_WALK passes are never used
+    up where they are fewer than the numbers beyond; should they be, it is an error and not a wrong order.
+    """
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = max(1, -(-n // a))
+
+    def network(x: Column) -> Column:
+        left, right = x % a, F.floor(x / a)
+        for k in range(SHUFFLE_ROUNDS):
+            if k % 2 == 0:
+                left = (left + _mixed(right, shuffle_key(seed, k))) % a
+            else:
+                right = (right + _mixed(left, shuffle_key(seed, k))) % b
+        return right * a + left
+
+    walk = F.sequence(F.lit(1), F.lit(max(1, min(a * b - n, SHUFFLE_WALK))))
+    out = F.aggregate(walk, network(i.cast("long")), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("the walk was too short")).cast("long"))
+
+
+def shuffle_key(seed: int, k: int) -> int:
+    """The key of round k."""
+    return (seed * 1_000_003 + (k + 1) * 7_919) % LCG_M
+
+
+def shuffled_batches(rows: DataFrame, order: list[str], coarse: Column, size: int, seed: int) -> DataFrame:
+    """`batch` and `slot`: rows in an order drawn by `seed` (one for each epoch), cut into batches of `size`; the last may be smaller.
+    `order` and `coarse` are as for `sequences.row_numbers`, which numbers the rows before they are permuted."""
+    own = row_numbers(rows, order, coarse, "_no")
+    at = shuffled_position(F.col("_no") - 1, rows.count(), seed)
+    return own.withColumn("_at", at).withColumns({"batch": F.floor(F.col("_at") / size), "slot": F.col("_at") % size}).drop("_no", "_at")

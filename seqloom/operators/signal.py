@@ -63,6 +63,19 @@ def frequency_response(sections: np.ndarray, at: np.ndarray, rate: float) -> np.
     return out
 
 
+def gain(sections: np.ndarray, at: Column, rate: float) -> Column:
+    """The size of the response at a frequency column."""
+    w = at * (2 * math.pi / rate)
+
+    def squared(a: float, b: float, c: float) -> Column:
+        return F.pow(a + b * F.cos(w) + c * F.cos(2 * w), 2) + F.pow(b * F.sin(w) + c * F.sin(2 * w), 2)
+
+    out = F.lit(1.0)
+    for section in sections.tolist():
+        out = out * (squared(*section[:3]) / squared(*section[3:]))
+    return F.sqrt(out)
+
+
 def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """All rows of x (series, samples) through the sections; `state` (section, 2) times the first sample is where they start."""
     for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
@@ -77,7 +90,7 @@ def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -
     return x
 
 
-def _settled(sections: np.ndarray) -> np.ndarray:
+def settled(sections: np.ndarray) -> np.ndarray:
     """The sections' states after a long input of ones, each relative to its own input."""
     out = np.zeros((len(sections), 2))
     for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
@@ -90,11 +103,16 @@ def _both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forwards and backwards, so that nothing is delayed. The ends are continued by their point reflections."""
     n = min(3 * (2 * len(sections) + 1), x.shape[1] - 1)
     head, tail = 2 * x[:, :1] - x[:, n:0:-1], 2 * x[:, -1:] - x[:, -2 : -n - 2 : -1]
-    long, state = np.concatenate([head, x, tail], axis=1), _settled(sections)
+    long, state = np.concatenate([head, x, tail], axis=1), settled(sections)
     once = _run(sections, long, state)[:, ::-1]
     return _run(sections, once, state)[:, ::-1][:, n : n + x.shape[1]]
 
 
+def both_ways_matrix(sections: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) weights that do the same to series of n samples, as it is linear in them."""
+    return _both_ways(sections, np.eye(n)).T
+
+
 def filtered(signal: Column | str, sections: np.ndarray, both_ways: bool = False) -> Column:
     """An array<double> column through a filter, forwards or forwards and backwards. Null stays null, an empty array empty; a
     missing sample spoils what comes after it."""

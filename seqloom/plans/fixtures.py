@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import sequences
 
 LENGTH, STRIDE = 20, 5
+LONG, LONG_STRIDE = 100, 20
 STEPS, CHANNELS = 16, 4
 
 
@@ -52,6 +53,12 @@ def win(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.sliding_windows(trace(spark, sf), LENGTH, STRIDE)
 
 
+def long_win(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of LONG ids every LONG_STRIDE positions, of the events of ten users together."""
+    events = table(spark, sf, "events").join(vocab(spark, sf), "event_type").withColumn("team", F.floor(F.col("user_id") / 10))
+    return sequences.sliding_windows(sequences.collect_traces(events, "team", "id", ["ts", "event_id"]), LONG, LONG_STRIDE)
+
+
 def gen(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that stand for generated sequences (odd users)."""
     return win(spark, sf).where(F.col("user_id") % 2 == 1)
@@ -132,6 +139,7 @@ SQL: dict[str, str] = {
     "trace": "SELECT user_id, list(id ORDER BY pos) AS seq FROM ev GROUP BY user_id",
     "trace_text": "SELECT user_id, CASE WHEN user_id % 19 = 0 THEN '' WHEN user_id % 17 = 0 THEN array_to_string(seq, ',') || ',x' ELSE array_to_string(seq, ',') END AS line FROM trace",
     "win": f"SELECT user_id, st, seq[st + 1 : st + {LENGTH}] AS seq FROM (SELECT user_id, seq, unnest(range(0, len(seq) - {LENGTH} + 1, {STRIDE})) AS st FROM trace WHERE len(seq) >= {LENGTH})",
+    "long_win": f"SELECT team, st, seq[st + 1 : st + {LONG}] AS seq FROM (SELECT team, seq, unnest(range(0, len(seq) - {LONG} + 1, {LONG_STRIDE})) AS st FROM (SELECT user_id // 10 AS team, list(id ORDER BY ts, event_id) AS seq FROM ev GROUP BY 1) WHERE len(seq) >= {LONG})",
     "gen": "SELECT * FROM win WHERE user_id % 2 = 1",
     "real": "SELECT * FROM win WHERE user_id % 2 = 0",
     "noisy": "SELECT user_id, pos, id + value / 100.0 - 1.0 AS x FROM ev",

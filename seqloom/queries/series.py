@@ -8,8 +8,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import activation, ids_text, interleaved_embedding, six, step_embedding
+from seqloom.operators import convolution, scans, signal
 from seqloom.operators import series as ops
-from seqloom.operators import signal
 from seqloom.plans import fixtures as fx
 
 query = fx.Registry()
@@ -206,7 +206,7 @@ def cond_concat(spark, sf):
 # Imputation metrics
 
 _MISS = "(SELECT * FROM masked WHERE keep = 0)"
-_SAMPLED = "(SELECT vec_id, t, ch, quantile_disc(value, 0.5) AS med FROM samples WHERE s < 4 GROUP BY 1, 2, 3)"
+_SAMPLED = "(SELECT vec_id, t, ch, quantile_disc(value, 0.5) AS med FROM (SELECT * FROM samples UNION ALL SELECT vec_id, t, ch, 5, value * 1.2::DOUBLE FROM series) GROUP BY 1, 2, 3)"
 
 
 @query("masked_mse", f"SELECT {r6('avg(m)')} AS mse FROM (SELECT vec_id // 50 AS b, avg((value * 0.1::DOUBLE) * (value * 0.1::DOUBLE)) AS m FROM {_MISS} GROUP BY 1)")
@@ -231,8 +231,9 @@ def forecast_mse(spark, sf):
 
 @query("impute_rmse_mae", f"SELECT {r6('sqrt(sum((med - value) * (med - value)) / count(*))')} AS rmse, {r6('sum(abs(med - value)) / count(*)')} AS mae FROM {_MISS} JOIN {_SAMPLED} USING (vec_id, t, ch)")
 def impute_rmse_mae(spark, sf):
-    """Against the lower median of four samples."""
-    med = fx.samples(spark, sf).where("s < 4").groupBy(*KEYS).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("med"))
+    """Against the lower median of six samples: the five, and one of 1.2 times the value."""
+    more = fx.series(spark, sf).select(*KEYS, F.lit(5).cast("long").alias("s"), (F.col("value") * 1.2).alias("value"))
+    med = fx.samples(spark, sf).unionByName(more).groupBy(*KEYS).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("med"))
     e = F.col("med") - F.col("value")
     both = fx.masked(spark, sf).where("keep = 0").join(med, KEYS)
     return both.agg(six(F.sqrt(F.sum(e * e) / F.count("*"))).alias("rmse"), six(F.sum(F.abs(e)) / F.count("*")).alias("mae"))
@@ -271,23 +272,29 @@ def crps(spark, sf):
 _ALPHA = "SELECT t, beta, alpha, alpha_bar, coalesce(lag(alpha_bar) OVER (ORDER BY t), 1.0) AS prev FROM alpha"
 
 
-@query("diffusion_schedule", f"SELECT t, {r6('beta')} AS beta, {r6('alpha')} AS alpha, {r6('alpha_bar')} AS alpha_bar, {r6('prev')} AS alpha_bar_prev FROM ({_ALPHA})")
+@query("diffusion_schedule", f"SELECT vec_id, t, {r6('beta')} AS beta, {r6('alpha')} AS alpha, {r6('alpha_bar')} AS alpha_bar, {r6('prev')} AS alpha_bar_prev FROM (SELECT vec_id, vec_id % 200 AS k FROM embeddings) JOIN ({_ALPHA}) ON t = k")
 def diffusion_schedule(spark, sf):
-    return ops.alpha_bar(fx.sched(spark, sf)).select("t", *[six(F.col(c)).alias(c) for c in ("beta", "alpha", "alpha_bar", "alpha_bar_prev")])
+    """The schedule at the step drawn for each series."""
+    drawn = fx.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 200).alias("t"))
+    return drawn.join(ops.alpha_bar(fx.sched(spark, sf)), "t").select("vec_id", "t", *[six(F.col(c)).alias(c) for c in ("beta", "alpha", "alpha_bar", "alpha_bar_prev")])
 
 
-@query("diffusion_sigma", f"SELECT t, {r6('sqrt(CASE WHEN t = 0 THEN beta ELSE beta * (1 - prev) / (1 - alpha_bar) END)')} AS sigma FROM ({_ALPHA})")
+@query("diffusion_sigma", f"SELECT vec_id, t, {r6('sqrt(CASE WHEN t = 0 THEN beta ELSE beta * (1 - prev) / (1 - alpha_bar) END)')} AS sigma FROM (SELECT vec_id, vec_id % 200 AS k FROM embeddings) JOIN ({_ALPHA}) ON t = k")
 def diffusion_sigma(spark, sf):
-    return ops.sigma(fx.sched(spark, sf)).select("t", six(F.col("sigma")).alias("sigma"))
+    drawn = fx.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 200).alias("t"))
+    return drawn.join(ops.sigma(fx.sched(spark, sf)), "t").select("vec_id", "t", six(F.col("sigma")).alias("sigma"))
 
 
 _LO, _HI = math.sqrt(1e-4), math.sqrt(0.5)
 
 
-@query("quad_schedule", f"SELECT t, {r6('beta')} AS beta, {r6('exp(sum(ln(1 - beta)) OVER (ORDER BY t))')} AS alpha_bar FROM (SELECT t, pow({_LO}::DOUBLE + t * {(_HI - _LO) / 49}::DOUBLE, 2) AS beta FROM range(0, 50) AS r(t))")
+@query("quad_schedule", f"SELECT event_id, t, {r6('beta')} AS beta, {r6('alpha_bar')} AS alpha_bar FROM (SELECT event_id, event_id % 50 AS k FROM events) JOIN (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS alpha_bar FROM (SELECT t, pow({_LO}::DOUBLE + t * {(_HI - _LO) / 49}::DOUBLE, 2) AS beta FROM range(0, 50) AS r(t))) ON t = k")
 def quad_schedule(spark, sf):
+    """A quadratic schedule of 50 steps at the step drawn for each event."""
     beta = F.pow(F.lit(_LO) + F.col("id") * F.lit((_HI - _LO) / 49), 2)
-    return ops.alpha_bar(spark.range(50).select(F.col("id").alias("t"), beta.alias("beta"))).select("t", six(F.col("beta")).alias("beta"), six(F.col("alpha_bar")).alias("alpha_bar"))
+    schedule = ops.alpha_bar(spark.range(50).select(F.col("id").alias("t"), beta.alias("beta")))
+    drawn = fx.table(spark, sf, "events").select("event_id", (F.col("event_id") % 50).alias("t"))
+    return drawn.join(schedule, "t").select("event_id", "t", six(F.col("beta")).alias("beta"), six(F.col("alpha_bar")).alias("alpha_bar"))
 
 
 _STEP = f"SELECT m.*, sin(m.vec_id * 12.9898::DOUBLE + m.t * 78.233::DOUBLE) AS eps, a.beta, a.alpha, a.alpha_bar, a.prev, m.vec_id % 200 AS k FROM masked m JOIN ({_ALPHA}) a ON a.t = m.vec_id % 200"
@@ -352,18 +359,20 @@ def csdi_reverse_step(spark, sf):
     return _steps(spark, sf).select(*KEYS, six(mean + F.when(F.col("k") > 0, F.col("sigma") * F.cos("eps")).otherwise(0.0)).alias("x"))
 
 
-def _long(rows, c: str):
-    return rows.select("t", F.posexplode(c).alias("i", "v")).select("t", F.col("i").cast("long").alias("i"), six(F.col("v")).alias("v"))
+def _long(rows, key: str, c: str):
+    return rows.select(key, F.posexplode(c).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), six(F.col("v")).alias("v"))
 
 
-@query("step_embedding", f"SELECT t, i, {r6('CASE WHEN i < 4 THEN sin(t * exp(-i * ln(10000.0::DOUBLE) / 3)) WHEN i < 8 THEN cos(t * exp(-(i - 4) * ln(10000.0::DOUBLE) / 3)) ELSE 0 END')} AS v FROM range(0, 200) AS a(t), range(0, 9) AS b(i)")
+@query("step_embedding", f"SELECT vec_id, i, {r6('CASE WHEN i < 4 THEN sin(t * exp(-i * ln(10000.0::DOUBLE) / 3)) WHEN i < 8 THEN cos(t * exp(-(i - 4) * ln(10000.0::DOUBLE) / 3)) ELSE 0 END')} AS v FROM (SELECT vec_id, vec_id % 200 AS t FROM embeddings), range(0, 9) AS b(i)")
 def step_embedding_(spark, sf):
-    return _long(spark.range(200).select(F.col("id").alias("t"), step_embedding(F.col("id"), 9).alias("e")), "e")
+    """The step drawn for each series, embedded."""
+    return _long(fx.table(spark, sf, "embeddings").select("vec_id", step_embedding(F.col("vec_id") % 200, 9).alias("e")), "vec_id", "e")
 
 
-@query("time_embedding", f"SELECT t, i, {r6('CASE WHEN i % 2 = 0 THEN sin(t / pow(10000.0::DOUBLE, i / 8.0::DOUBLE)) ELSE cos(t / pow(10000.0::DOUBLE, (i - 1) / 8.0::DOUBLE)) END')} AS v FROM range(0, 100) AS a(t), range(0, 8) AS b(i)")
+@query("time_embedding", f"SELECT event_id, i, {r6('CASE WHEN i % 2 = 0 THEN sin(t / pow(10000.0::DOUBLE, i / 8.0::DOUBLE)) ELSE cos(t / pow(10000.0::DOUBLE, (i - 1) / 8.0::DOUBLE)) END')} AS v FROM (SELECT event_id, pos - 1 AS t FROM ev), range(0, 8) AS b(i)")
 def time_embedding(spark, sf):
-    return _long(spark.range(100).select(F.col("id").alias("t"), interleaved_embedding(F.col("id"), 8).alias("e")), "e")
+    """The position of each event in its trace, embedded."""
+    return _long(fx.ev(spark, sf).select("event_id", interleaved_embedding(F.col("pos") - 1, 8).alias("e")), "event_id", "e")
 
 
 @query("activations", f"SELECT vec_id, t, ch, {r6('(exp(value) - exp(-value)) / (exp(value) + exp(-value))')} AS tanh, {r6('greatest(value, 0)')} AS relu, {r6('value / (1 + exp(-value))')} AS silu, {r6('1 / (1 + exp(-value))')} AS sigmoid FROM series")
@@ -461,7 +470,8 @@ def pack_offsets(spark, sf):
 )
 def pack_offsets_batched(spark, sf):
     """Files roll over once one has more than 1000 values."""
-    return ops.pack(fx.trace(spark, sf).select("user_id", F.size("seq").alias("n")), ["user_id"], "n", 1000)
+    sizes = fx.trace(spark, sf).select("user_id", F.size("seq").alias("n"))
+    return ops.pack(sizes, ["user_id"], "n", 1000, F.floor(F.col("user_id") / 10_000))
 
 
 # Kernels and signals
@@ -473,19 +483,15 @@ def _scan_sql(a: float, b: float, y: str) -> str:
     return f"WITH RECURSIVE s AS ({steps} FROM s JOIN series x ON x.vec_id = s.vec_id AND x.ch = s.ch AND x.t = s.t + 1) SELECT vec_id, CAST(t AS BIGINT) AS t, ch, {r6(y)} AS y FROM s"
 
 
-def _scan(spark, sf, a: float, b: float, c: float, d: float):
-    from seqloom.operators.kernels import linear_scan
+def _scan(spark, sf, model):
+    out = scans.linear_scan(fx.series(spark, sf), ["vec_id", "ch"], "t", "value", model)
+    return out.select("vec_id", "t", "ch", six(F.col("y")).alias("y"))
 
-    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
-    rows = rows.select("vec_id", "ch", F.posexplode(linear_scan(F.transform("_p", lambda x: x["value"]), a, b, c, d)).alias("t", "y"))
-    return rows.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
 
-
-@query("ssm_scan_channels", _scan_sql(0.9, 0.5, "2.0::DOUBLE * h + 0.1::DOUBLE * value"))
 @query("ssm_scan", _scan_sql(0.9, 0.5, "2.0::DOUBLE * h + 0.1::DOUBLE * value"))
 def ssm_scan(spark, sf):
-    """Scalar state space model: s = 0.9 s + 0.5 u, y = 2 s + 0.1 u, folded over every channel of each series."""
-    return _scan(spark, sf, 0.9, 0.5, 2.0, 0.1)
+    """Scalar state space model: s = 0.9 s + 0.5 u, y = 2 s + 0.1 u, along every channel of each series."""
+    return _scan(spark, sf, scans.StateSpace.diagonal(0.9, 0.5, 2.0, 0.1))
 
 
 @query("causal_conv", f"SELECT vec_id, t, ch, {r6('0.5::DOUBLE * value + 0.3::DOUBLE * coalesce(lag(value, 1) OVER w, 0) + 0.2::DOUBLE * coalesce(lag(value, 2) OVER w, 0)')} AS y FROM series WINDOW w AS (PARTITION BY vec_id, ch ORDER BY t)")
@@ -527,34 +533,20 @@ def _poles_sql() -> str:
 @query("ssm_diagonal", _poles_sql())
 def ssm_diagonal(spark, sf):
     """A diagonal state space model step by step: each pole has a state s = a s + u of its own, and y is the sum of c s."""
-    from seqloom.operators.kernels import linear_scan
-
-    rows = fx.series(spark, sf).groupBy("vec_id", "ch").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_p"))
-    u = F.transform("_p", lambda x: x["value"])
-    total = None
-    for a, c in _POLES:
-        own = linear_scan(u, a, 1.0, c, 0.0)
-        total = own if total is None else F.zip_with(total, own, lambda x, y: x + y)
-    out = rows.select("vec_id", "ch", F.posexplode(total).alias("t", "y"))
-    return out.select("vec_id", F.col("t").cast("long").alias("t"), "ch", six(F.col("y")).alias("y"))
+    return _scan(spark, sf, scans.StateSpace.diagonal([a for a, _ in _POLES], [1.0] * len(_POLES), [c for _, c in _POLES]))
 
 
 @query("ssm_convolution", _poles_sql())
 def ssm_convolution(spark, sf):
-    """The same model as a convolution: its kernel, the sum of c a^k, meets each step and those before it. Steps are joined on
-    the series, so the work is the square of a series' length and linear in their number."""
-    rows = fx.series(spark, sf)
-    before = rows.select("vec_id", "ch", F.col("t").alias("_t"), F.col("value").alias("_v"))
-    k = F.col("t") - F.col("_t")
-    kernel = sum(c * F.pow(F.lit(a), k) for a, c in _POLES)
-    both = rows.join(before, ["vec_id", "ch"]).where(k >= 0)
-    return both.groupBy("vec_id", "t", "ch").agg(six(F.sum(kernel * F.col("_v"))).alias("y"))
+    """The same model as a convolution with its kernel, the sum of c a^k, by transforms."""
+    kernel = convolution.pole_kernel(spark.range(fx.STEPS), _POLES)
+    out = convolution.convolve(fx.series(spark, sf), ["vec_id", "ch"], "t", "value", kernel)
+    return out.select("vec_id", "t", "ch", six(F.col("y")).alias("y"))
 
 
 _CAUCHY = f"SELECT vec_id, ch, k, {r6('sum((value * (zr - wr) + vi * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS re, {r6('sum((vi * (zr - wr) - value * (zi - wi)) / ((zr - wr) * (zr - wr) + (zi - wi) * (zi - wi)))')} AS im FROM (SELECT vec_id, ch, value, 0.1::DOUBLE * value AS vi, -0.5::DOUBLE - t AS wr, t::DOUBLE AS wi FROM series), (SELECT k, cos(2 * pi() * k / 8) AS zr, sin(2 * pi() * k / 8) AS zi FROM range(0, 8) AS r(k)) GROUP BY 1, 2, 3"
 
 
-@query("cauchy_sum_channels", _CAUCHY)
 @query("cauchy_sum", _CAUCHY)
 def cauchy_sum(spark, sf):
     """Sum of v / (z - w) over the poles of every channel, at eight points of the unit circle, in real and imaginary parts."""
@@ -566,11 +558,59 @@ def cauchy_sum(spark, sf):
     return rows.groupBy("vec_id", "ch", F.col("z.k").alias("k")).agg(six(F.sum(re)).alias("re"), six(F.sum(im)).alias("im"))
 
 
-@query("iir_filter_channels", _scan_sql(0.8, 0.2, "h"))
 @query("iir_filter", _scan_sql(0.8, 0.2, "h"))
 def iir_filter(spark, sf):
     """First-order low pass of every channel: y = 0.2 x + 0.8 y."""
-    return _scan(spark, sf, 0.8, 0.2, 1.0, 0.0)
+    return _scan(spark, sf, scans.StateSpace.diagonal(0.8, 0.2, 1.0))
+
+
+# One long series: the values of all events in order of time. Chunks of 1,000 steps are far smaller than they would be, so that even
+# small tables have several.
+
+_EVENTS = "e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS t, value AS u FROM events), l AS MATERIALIZED (SELECT list(u ORDER BY t) AS u FROM e)"
+_CHUNK = 1000
+
+
+def _events(spark, sf):
+    from seqloom.operators.sequences import row_numbers
+
+    rows = row_numbers(fx.table(spark, sf, "events"), ["ts", "event_id"], F.date_trunc("day", "ts"))
+    return rows.select(F.lit(0).alias("key"), (F.col("rn") - 1).alias("t"), F.col("value").alias("u"))
+
+
+def _fold_sql(states: dict[str, str], y: str) -> str:
+    """SQL of a recurrence over the list of values: what each state becomes (u: the value; the states: those before), and y of the
+    states behind the step."""
+    names = ", ".join(states)
+    steps = ", ".join(f"{x} AS {n}" for n, x in states.items())
+    zeros = ", ".join(f"0.0::DOUBLE AS {n}" for n in states)
+    one = f"SELECT t + 1 AS t, {steps} FROM (SELECT s.t, l.u[s.t + 2] AS u, {', '.join(f's.{n} AS {n}' for n in states)}, len(l.u) AS n FROM s, l) WHERE t + 1 < n"
+    return f"WITH RECURSIVE {_EVENTS}, s AS (SELECT -1::BIGINT AS t, {zeros} UNION ALL {one}) SELECT t, {r6(y)} AS y FROM (SELECT t, {names} FROM s WHERE t >= 0)"
+
+
+@query("ssm_long", _fold_sql({"re": "0.9437137::DOUBLE * re - 0.2113771::DOUBLE * im + u", "im": "0.2113771::DOUBLE * re + 0.9437137::DOUBLE * im", "h": "-0.5171713::DOUBLE * h + u"}, "2.0::DOUBLE * re - 1.0::DOUBLE * im + 0.5::DOUBLE * h"))
+def ssm_long(spark, sf):
+    """A diagonal model with a complex pole along one series, in many tasks."""
+    model = scans.StateSpace.diagonal([0.9437137 + 0.2113771j, -0.5171713], [1.0, 1.0], [2.0 + 1.0j, 0.5])
+    return scans.linear_scan(_events(spark, sf), ["key"], "t", "u", model, chunk=_CHUNK).select("t", six(F.col("y")).alias("y"))
+
+
+@query("ssm_dense", _fold_sql({"a": "0.6137171::DOUBLE * a + 0.3119713::DOUBLE * b + u", "b": "-0.2171131::DOUBLE * a + 0.7113737::DOUBLE * b + 0.5137111::DOUBLE * u"}, "a - 2.0::DOUBLE * b"))
+def ssm_dense(spark, sf):
+    """A model with a full matrix along one series."""
+    model = scans.StateSpace.dense([[0.6137171, 0.3119713], [-0.2171131, 0.7113737]], [1.0, 0.5137111], [1.0, -2.0])
+    return scans.linear_scan(_events(spark, sf), ["key"], "t", "u", model, chunk=_CHUNK).select("t", six(F.col("y")).alias("y"))
+
+
+_HALF = "list_sum(list_transform(range(greatest(t - 3, 0), least(t + 2, len(l.u) - 1) + 1), lambda i: l.u[i + 1] * [0.1::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE, -0.25::DOUBLE, 0.125::DOUBLE][t - i + 3]))"
+
+
+@query("conv_long", f"WITH {_EVENTS} SELECT t, {r6(_HALF)} AS y FROM e, l")
+def conv_long(spark, sf):
+    """A kernel that looks back three steps and ahead two, over one series, by transforms in bands."""
+    lags = [(lag, h) for lag, h in zip(range(-2, 4), (0.1, 0.3, 1.0, 0.5, -0.25, 0.125), strict=True)]
+    kernel = spark.createDataFrame(lags, "lag long, h double")
+    return convolution.convolve(_events(spark, sf), ["key"], "t", "u", kernel).select("t", six(F.col("y")).alias("y"))
 
 
 # Signals: the embeddings as 64 samples
@@ -601,6 +641,23 @@ def _section_sql(sections) -> str:
     return f"WITH RECURSIVE {', '.join(parts)} SELECT vec_id, t, {r6('v')} AS y FROM {source}"
 
 
+def _long_section_sql(sections) -> str:
+    """The sections as one recurrence: the output of each is what goes into the next."""
+    states, u = {}, "u"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate([float(v) for v in s] for s in sections):
+        y = f"({b0!r}::DOUBLE * {u} + p{k})"
+        states |= {f"p{k}": f"{b1!r}::DOUBLE * {u} - ({a1!r}::DOUBLE) * {y} + q{k}", f"q{k}": f"{b2!r}::DOUBLE * {u} - ({a2!r}::DOUBLE) * {y}"}
+        u = y
+    return _fold_sql(states | {"y": u}, "y")
+
+
+def _linear_sql(weights) -> str:
+    """Each output as a weighted sum of all 64 samples."""
+    rows = ", ".join("[" + ", ".join(f"{float(w)!r}::DOUBLE" for w in row) + "]" for row in weights)
+    total = "list_sum(list_transform(range(1, 65), lambda i: x[i] * w[t + 1][i]))"
+    return f"WITH w AS MATERIALIZED (SELECT [{rows}] AS w) SELECT vec_id, t, {r6(total)} AS y FROM (SELECT vec_id, x, unnest(range(0, {len(weights)})) AS t FROM {_SIGNAL}), w"
+
+
 _LOW, _BAND = signal.butterworth(3, 2.0, 16.0), signal.butterworth(2, (1.0, 4.0), 16.0, "bandpass")
 
 
@@ -616,18 +673,33 @@ def butter_bandpass(spark, sf):
     return _samples_of(_signal(spark, sf), signal.filtered("x", _BAND))
 
 
-@query("butter_both_ways")
+@query("filter_long", _long_section_sql(_LOW))
+def filter_long(spark, sf):
+    """The low pass along one series, its states carried from chunk to chunk."""
+    return scans.filter_series(_events(spark, sf), ["key"], "t", "u", _LOW, chunk=_CHUNK).select("t", six(F.col("y")).alias("y"))
+
+
+@query("butter_both_ways", _linear_sql(signal.both_ways_matrix(_LOW, 64)))
 def butter_both_ways(spark, sf):
     """The low pass forwards and backwards, which delays nothing."""
     return _samples_of(_signal(spark, sf), signal.filtered("x", _LOW, both_ways=True))
 
 
-@query("butter_response")
+_HZ = "8.0::DOUBLE * (value - floor(value / 100) * 100) / 100"
+
+
+def _gain_sql(sections) -> str:
+    w = f"({_HZ} * {2 * math.pi / 16!r}::DOUBLE)"
+    size = lambda a, b, c: f"(power({a!r}::DOUBLE + {b!r}::DOUBLE * cos({w}) + {c!r}::DOUBLE * cos(2 * {w}), 2) + power({b!r}::DOUBLE * sin({w}) + {c!r}::DOUBLE * sin(2 * {w}), 2))"
+    return f"sqrt({' * '.join(f'{size(*v[:3])} / {size(*v[3:])}' for v in ([float(x) for x in s] for s in sections))})"
+
+
+@query("butter_response", f"SELECT event_id, {r6(_HZ)} AS hz, {r6(_gain_sql(_LOW))} AS gain FROM events")
 def butter_response(spark, sf):
-    """Gain of the low pass at 33 frequencies up to half the rate."""
-    at = [8.0 * i / 32 for i in range(33)]
-    gain = signal.frequency_response(_LOW, at, 16.0)
-    return spark.createDataFrame([(f, round(float(abs(g)), 6)) for f, g in zip(at, gain, strict=True)], "hz double, gain double")
+    """Gain of the low pass at each event's frequency (its value modulo 100, as a share of half the rate)."""
+    value = F.col("value")
+    hz = 8.0 * (value - F.floor(value / 100) * 100) / 100
+    return fx.table(spark, sf, "events").select("event_id", six(hz).alias("hz"), six(signal.gain(_LOW, hz, 16.0)).alias("gain"))
 
 
 def _resample_sql(rate: float, to: float, zeros: int = 16) -> str:
@@ -644,13 +716,22 @@ def resample_down(spark, sf):
     return _samples_of(_signal(spark, sf), signal.resampled(F.col("x"), 360.0, 100.0))
 
 
+_FROM_EVENTS = "(SELECT 0 AS vec_id, list(u ORDER BY t) AS x FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS t, value AS u FROM events))"
+
+
+@query("resample_long", _resample_sql(360.0, 100.0).replace("* 64::", "").replace(_SIGNAL, _FROM_EVENTS).replace("floor(64 *", "floor(len(x) *").replace("AS BIGINT), 63)", "AS BIGINT), len(x) - 1)").replace("SELECT vec_id, j AS t", "SELECT j AS t"))
+def resample_long(spark, sf):
+    """One series brought from 360 samples a second to 100; samples at the borders of chunks go to both sides."""
+    return scans.resample_series(_events(spark, sf), ["key"], "t", "u", 360.0, 100.0, chunk=_CHUNK).select("t", six(F.col("y")).alias("y"))
+
+
 @query("resample_up", _resample_sql(100.0, 250.0))
 def resample_up(spark, sf):
     """Samples at 100 a second brought to 250."""
     return _samples_of(_signal(spark, sf), signal.resampled(F.col("x"), 100.0, 250.0))
 
 
-@query("rescale_cubic")
+@query("rescale_cubic", _linear_sql(signal.cubic_matrix(64, 96)))
 def rescale_cubic(spark, sf):
     """64 samples rescaled to 96 by a cubic spline."""
     return _samples_of(_signal(spark, sf), signal.rescaled("x", 1.5))

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import clip, denormalize, ids_text, lcs_length, lcs_masks, minmax, nearest, positional_accuracy, quantize, rouge_recall, six
 from seqloom.operators import sequences
+from seqloom.operators.series import LCG_A, LCG_B, LCG_M, shuffle_key
+from seqloom.operators.series import shuffled_batches as shuffled
 from seqloom.operators.similarity import best_match
 from seqloom.plans import fixtures as fx
 
 query = fx.Registry()
 
 
+def six_sql(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
 def _day() -> Column:
     return F.date_trunc("day", "ts")
 
@@ -28,6 +34,28 @@ def batch_assign(spark, sf):
     return rows.select("event_id", F.floor((F.col("rn") - 1) / 32).alias("batch"))
 
 
+def _network_sql(x: str, seed: int) -> str:
+    """(select list) of x sent through the four rounds, one subquery a round; a, b and n are columns."""
+    mixed = lambda v, k: f"((({v} + {shuffle_key(seed, k)}) % {LCG_M}) * (({v} + {shuffle_key(seed, k)}) % {LCG_M}) % {LCG_M} * {LCG_A} + {LCG_B}) % {LCG_M}"
+    out = f"(SELECT event_id, n, a, b, {x} % a AS l, {x} // a AS r FROM {{}})"
+    for k in range(4):
+        side = f"(l + {mixed('r', k)}) % a AS l, r" if k % 2 == 0 else f"l, (r + {mixed('l', k)}) % b AS r"
+        out = f"(SELECT event_id, n, a, b, {side} FROM {out})"
+    return f"SELECT event_id, n, a, b, r * a + l AS x FROM {out}"
+
+
+def _shuffle_sql(seed: int, size: int) -> str:
+    sized = "(SELECT *, CAST(ceil(n / a::DOUBLE) AS BIGINT) AS b FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM events))"
+    again = _network_sql("x", seed).format("(SELECT * FROM w WHERE x >= n)")
+    return f"WITH RECURSIVE w AS ({_network_sql('i', seed).format(sized)} UNION ALL {again}) SELECT event_id, x // {size} AS batch, x % {size} AS slot FROM w WHERE x < n"
+
+
+@query("shuffled_batches", _shuffle_sql(7, 32))
+def shuffled_batches(spark, sf):
+    """Events in an order drawn for an epoch, in batches of 32."""
+    return shuffled(fx.table(spark, sf, "events"), ["ts", "event_id"], _day(), 32, seed=7).select("event_id", "batch", "slot")
+
+
 @query("trace_to_text", "SELECT user_id, array_to_string(seq, ',') AS line FROM trace")
 def trace_to_text(spark, sf):
     return fx.trace(spark, sf).select("user_id", ids_text("seq").alias("line"))
@@ -87,10 +115,12 @@ def preview(spark, sf):
     return fx.trace(spark, sf).orderBy("user_id").limit(3).select("user_id", ids_text(F.slice("seq", 1, 20)).alias("head"))
 
 
-@query("batch_plan", "SELECT b AS batch, least(32, 1000 - b * 32) AS size FROM range(0, 32) AS r(b)")
+@query("batch_plan", "SELECT user_id, b AS batch, least(32, n - b * 32) AS size FROM (SELECT user_id, n, unnest(range(0, (n + 31) // 32)) AS b FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1))")
 def batch_plan(spark, sf):
-    samples, size = 1000, 32
-    return spark.range(-(-samples // size)).select(F.col("id").alias("batch"), F.least(F.lit(size).cast("long"), samples - F.col("id") * size).alias("size"))
+    """As many samples as each user has events, in batches of 32 of which the last is cut to the number."""
+    n = fx.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = n.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 32) - 1)))
+    return rows.select("user_id", "batch", F.least(F.lit(32).cast("long"), F.col("n") - F.col("batch") * 32).alias("size"))
 
 
 @query("sliding_windows", "SELECT user_id, st, array_to_string(seq, ',') AS seq FROM win")
@@ -181,6 +211,27 @@ def best_match_(spark, sf):
     return best_match(fx.gen(spark, sf), fx.real(spark, sf)).select("user_id", "st", six(F.col("accuracy")).alias("accuracy"), six(F.col("rouge_l")).alias("rouge_l"))
 
 
+_LONG_BITS = (1 << fx.LONG) - 1
+
+
+@query(
+    "best_match_long",
+    f"""WITH g AS (SELECT DISTINCT seq FROM long_win WHERE team % 2 = 1),
+       r AS (SELECT seq, list_transform(range(1, 6), lambda v: CAST(list_sum(list_transform(range(1, {fx.LONG + 1}), lambda p: CASE WHEN seq[p] = v THEN (1::HUGEINT << (p - 1)::HUGEINT) ELSE 0::HUGEINT END)) AS HUGEINT)) AS m
+             FROM (SELECT DISTINCT seq FROM long_win WHERE team % 2 = 0)),
+       scored AS (
+           SELECT g.seq, max(len(list_filter(range(1, {fx.LONG + 1}), lambda i: g.seq[i] = r.seq[i])) / {fx.LONG}.0::DOUBLE) AS accuracy,
+                  max(({fx.LONG} - bit_count(list_reduce(list_transform(g.seq, lambda x: x::HUGEINT), lambda v, c: ((v + (v & m[c::BIGINT])) | (v - (v & m[c::BIGINT]))) & {_LONG_BITS}::HUGEINT, {_LONG_BITS}::HUGEINT))) / {fx.LONG}.0::DOUBLE) AS rouge_l
+           FROM g, r GROUP BY 1)
+       SELECT team, st, {six_sql('coalesce(accuracy, 0.0)')} AS accuracy, {six_sql('coalesce(rouge_l, 0.0)')} AS rouge_l FROM long_win LEFT JOIN scored USING (seq) WHERE team % 2 = 1""",
+)
+def best_match_long(spark, sf):
+    """Windows of 100 events, longer than a word of bits: those of odd teams against those of even ones."""
+    rows = fx.long_win(spark, sf)
+    best = best_match(rows.where("team % 2 = 1"), rows.where("team % 2 = 0"))
+    return best.select("team", "st", six(F.col("accuracy")).alias("accuracy"), six(F.col("rouge_l")).alias("rouge_l"))
+
+
 _SIMILARITY = "round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy, round(avg(rouge_l), 6) AS mean_rouge, round(stddev_pop(rouge_l), 6) AS std_rouge, count(*) AS n"
 
 
