@@ -6,8 +6,8 @@ searched for as byte strings: a shift table over blocks of bytes says how far th
 selects, by the hash of the pattern's ending block, a bucket of patterns, and a direct comparison confirms each occurrence.
 Because a pattern begins and ends with a blank, a match is a match of whole words.
 
-The benchmark is the side that is broadcast. Its size is checked first: items are dealt to blocks whose search tables take
-about TABLES bytes. With one block, the usual case, documents are read once and never shuffled. With more, the texts are
+The benchmark is the side that is broadcast. Its size is checked first: its different windows are dealt to blocks whose search
+tables take about TABLES bytes, whatever the length of an item and however many items are alike. With one block, the usual case, documents are read once and never shuffled. With more, the texts are
 written once under a number for each row, every block is searched in a job of its own, which writes the rows with hits only, and
 the hits are put together by those numbers; driver and workers hold the tables of one block at a time.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +110,19 @@ class Benchmark:
     """The patterns of a block of items, the search tables over them and the items that each belongs to."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
+        self._own((w, item) for item, text in items for w in windows_of(words_of(text)))
+
+    @classmethod
+    def of_windows(cls, pairs: Iterable[tuple[bytes, int | None]]) -> Benchmark:
+        """The same from (window, item) pairs."""
+        out = cls.__new__(cls)
+        out._own(pairs)
+        return out
+
+    def _own(self, pairs: Iterable[tuple[bytes, int | None]]) -> None:
         owners: dict[bytes, set[int]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(words_of(text)):
-                owners[w].update(() if item is None else (item,))
+        for w, item in pairs:
+            owners[w].update(() if item is None else (item,))
         patterns = sorted(owners)
         self.items = [sorted(owners[p]) for p in patterns]
         self.lengths = [p.count(b" ") - 1 for p in patterns]
@@ -139,15 +148,26 @@ class Benchmark:
         return len(words), runs, items
 
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0), batch.column(1), strict=True):
+            own = sorted(set(windows_of(words_of(text.as_py()))))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([item.as_py()] * len(own), pa.int64())], ["window", "item_id"])
+
+
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", tables: int = TABLES) -> list[DataFrame]:
-    """The benchmark (item_id, text) in parts whose search tables have about `tables` bytes (or one item): a sum over sizes
-    decides, not the driver. Items are dealt by their texts, so items without an id are dealt too."""
+    """The benchmark's (window, item_id) pairs in parts whose search tables have about `tables` bytes: a sum over sizes decides, not
+    the driver. Windows are dealt by their own hash, so a long item is spread out, equal items count once, and items without an
+    id are dealt too. (A window that very many items have still takes 64 bytes for each of them.)"""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * WORDS * TABLES_PER_BYTE
+    size = F.octet_length("text").cast("long")
+    total = (rows.select("text").distinct().agg(F.sum(size)).first()[0] or 0) * WORDS * TABLES_PER_BYTE
+    windows = rows.mapInArrow(_item_windows, "window binary, item_id long").distinct()
     n = max(1, -(-2 * int(total) // tables)) if total > tables else 1
-    if n == 1:
-        return [rows]
-    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
+    if n > 1:
+        windows = materialize(windows, "leak-windows")
+    n = max(n, -(-windows.count() * 64 // tables))
+    return [windows] if n == 1 else [windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i) for i in range(n)]
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -199,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     parts = blocks_of(benchmark, tables=tables)
 
     def ship(part: DataFrame):
-        return spark.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in part.collect()]))  # bounded by `tables`
+        return spark.sparkContext.broadcast(Benchmark.of_windows((bytes(r[0]), r[1]) for r in part.collect()))  # bounded by `tables`
 
     found = ("_words", "_runs", "_items")
     inner = {f"_c{i}": c for i, c in enumerate(own.values())}

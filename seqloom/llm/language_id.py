@@ -26,8 +26,9 @@ from seqloom.llm.store import columns, with_carried
 from seqloom.llm.textkernels import slices, text_buffer
 
 BITS, ORDERS, DIM = 15, (1, 2, 3, 4), 16
-#: At most about so many rows of each language are learned from.
-TRAIN_ROWS = 500
+#: At most about so many rows of each language are learned from (and of all languages together, `samples.TOTAL_ROWS`); of a row,
+#: as many of its most frequent buckets, so that what reaches the driver is bounded in bytes.
+TRAIN_ROWS, ROW_BUCKETS = 500, 16_384
 #: Bytes whose n-grams are held at once.
 SLICE = 1 << 18
 #: At least this share of rightly predicted calibration rows is kept by the rejection.
@@ -83,12 +84,14 @@ def _counts(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for n in ORDERS:
             total += np.bincount(ngram_buckets(text[lo:hi], np.array([0, hi - lo]), n, BITS)[0], minlength=1 << BITS)
     found = np.flatnonzero(total)
+    if len(found) > ROW_BUCKETS:
+        found = np.sort(found[np.argsort(-total[found], kind="stable")[:ROW_BUCKETS]])
     return found, total[found]
 
 
 def training_features(rows: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(label, buckets, counts) of (doc_id, text, label) rows, in the order of their ids; computed on the executors. A row has
-    at most 2**BITS buckets, however long its text is."""
+    at most ROW_BUCKETS buckets, however long its text is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.store import materialize
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
@@ -22,27 +24,34 @@ def python_fold(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-#: At most so many classes, the most frequent ones, are learned.
-CLASSES = 1000
+#: Rows of all classes together, about; every class keeps one at least.
+TOTAL_ROWS = 6000
+#: Classes whose counts may be broadcast.
+BROADCAST_ROWS = 10_000
 
 
-def bounded(keyed: DataFrame, key: str, group: str, most: int) -> DataFrame:
-    """About `most` rows, and never more than twice as many, of each value of `group` that is not null, by a hash of `key`. Of
-    more than CLASSES values the rarest are left out.
+def bounded(keyed: DataFrame, key: str, group: str, most: int, total: int = TOTAL_ROWS) -> DataFrame:
+    """About `most` rows, and never more than twice as many, of each value of `group` that is not null, by a hash of `key`. Where
+    there are so many values that this would be more than about `total` rows, each gets an equal share of these, and at least one row:
+    none is left out.
 
     Rows of (key, group) and perhaps other columns; rows that repeat a key and a group count as one, with the least of each
     other column. The share that is kept of each value follows from its number of rows, counted first, so one scan beside
     the count draws for all values. What is left is about the bound; its ranks (by the hash, then by key) hold it exactly.
     """
     known = keyed.where(F.col(group).isNotNull())
-    counts = known.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_rows"))
+    counts = materialize(known.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_rows")), "sample-classes")
+    classes = counts.count()
+    share = max(1, min(most, total // max(1, classes)))
     spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) / 1_000_003.0
-    counts = F.broadcast(counts.orderBy(F.desc("_rows"), "_group").limit(CLASSES))  # that many rows
-    drawn = known.join(counts, F.col(group) == F.col("_group")).where(spread * F.col("_rows") < most)
+    # So small a share may draw no row of a class: some more are drawn, and ranks then hold the bound.
+    drawn_of = share if share > 32 else 4 * share + 32
+    counts = F.broadcast(counts) if classes <= BROADCAST_ROWS else counts
+    drawn = known.join(counts, F.col(group) == F.col("_group")).where(spread * F.col("_rows") < drawn_of)
     rest = [F.min(c).alias(c) for c in keyed.columns if c not in (key, group)]
     once = drawn.groupBy(key, group).agg(*rest) if rest else drawn.select(key, group).distinct()
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.col(key)), key))
-    return once.withColumn("_rank", rank).where(F.col("_rank") <= 2 * most).select(keyed.columns)
+    return once.withColumn("_rank", rank).where(F.col("_rank") <= 2 * share).select(keyed.columns)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.textkernels import mix64, slices, span_hashes, text_buffer
 
 MAX_VOCABULARY = 1_000_000
-#: Pre-tokens whose ids a worker keeps; when they are more, those not met since the last time are let go. Only speed depends on it.
-MEMO = 300_000
+#: Pre-tokens whose ids a worker keeps, and their characters at the most, so that what it keeps is bounded in bytes; when they are
+#: more, those not met since the last time are let go. Only speed depends on it.
+MEMO, MEMO_LENGTH = 150_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -246,7 +247,7 @@ class Codec:
             for k, data, c in zip(missing, raw, self.hash.candidates(raw).tolist(), strict=True):
                 ids = [int(self.ids[c])] if self.keys[c] == data else merge_bytes(data, self.ranks)
                 out[k] = struct.pack(f"<{len(ids)}I", *ids)
-        self.memo.update((pieces[k], out[k]) for k in new)
+        self.memo.update((pieces[k], out[k]) for k in new if len(pieces[k]) <= MEMO_LENGTH)
         return out
 
     def bounds(self, text: str, code: np.ndarray) -> np.ndarray:
