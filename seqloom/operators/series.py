@@ -100,15 +100,17 @@ def reverse_mean(x: Column, alpha: Column, bar: Column, noise: Column) -> Column
     return (x - (1 - alpha) / F.sqrt(1 - bar) * noise) / F.sqrt(alpha)
 
 
-def pack(sizes: DataFrame, order: list[str], size: str, most: int, coarse: Column) -> DataFrame:
+def pack(sizes: DataFrame, order: list[str], size: str, most: int, coarse: Column | None = None) -> DataFrame:
     """Offsets of arrays packed one behind the other into files: (order, file, start, length) for each, a new file once the running end
-    of the current one is over `most` (0: a single file). `order` are unique keys, `coarse` is as for `sequences.row_numbers`.
+    of the current one is over `most` (0: a single file). `order` are unique keys, `coarse` is as for `sequences.row_numbers`
+    (without it, the first key is a number and its ranges are as wide as `ranges.MOST`).
 
     Where a file ends depends on where the one before it ended. So each array learns which one would begin the next file if it began
     one itself (`_successors`), and the arrays that do begin one are those on the way from the first: the way is doubled each round,
     so the rounds are the logarithm of the number of files. Nothing passes through one task.
     """
     own = sizes.select(*order, F.col(size).cast("long").alias("length"))
+    coarse = F.floor(F.col(order[0]) / ranges.MOST) if coarse is None else coarse
     own = running_sums(row_numbers(own, order, coarse, "_no"), order, coarse, "length", "_at")
     own = materialize(own.withColumn("_i", F.col("_no") - 1).drop("_no"), "pack-arrays")
     if not most:

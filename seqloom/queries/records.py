@@ -395,28 +395,56 @@ def delineate(spark, sf):
     return delineate_(fx.ann(spark, sf).select("user_id", "sample", s.alias("symbol")))
 
 
-@query("stratified_folds", "SELECT 4 AS folds, (SELECT count(DISTINCT source) FROM documents) AS groups, TRUE AS each_once, TRUE AS balanced")
-def stratified_folds(spark, sf):
-    """Folds of whole groups by their labels, and what must hold of them: each group in one fold, no fold far from its share."""
+def _folds(spark, sf, ratios: list[float], **more):
+    """Documents as groups: how many of each profile (its labels, joined) each fold got."""
     rows = fx.rec(spark, sf)
-    folds = fold_groups(rows, "group_id", "tags", [0.25] * 4)
-    sizes = folds.join(rows.groupBy("group_id").agg(F.count("*").alias("n")), "group_id").groupBy("fold").agg(F.sum("n").alias("n"), F.count("*").alias("g"))
-    total = sizes.agg(F.count("*").cast("int").alias("folds"), F.sum("g").alias("groups"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("n"))
-    once = folds.groupBy("group_id").agg(F.count("*").alias("k")).agg((F.max("k") == 1).alias("each_once"))
-    return total.crossJoin(once).select("folds", "groups", "each_once", ((F.col("hi") - F.col("lo")) * 4 <= F.col("n") * 2).alias("balanced"))  # one row each
+    fold = fold_groups(rows, "doc_id", "tags", ratios, **more)
+    return rows.join(fold, "doc_id").groupBy(ids_text(F.array_sort("tags")).alias("profile"), "fold").agg(F.count("*").alias("k"))
+
+
+def _shares(counts, ratios: list[float]):
+    """(profile, fold, m, quota, k): every fold with its share of each profile, rounded down, and what it got."""
+    m = counts.groupBy(F.col("profile").alias("_p")).agg(F.sum("k").alias("m"))
+    every = m.select("_p", "m", F.posexplode(F.array(*[F.floor(F.col("m") * r + 1e-9) for r in ratios])).alias("_f", "quota"))
+    both = every.join(counts, (F.col("_p") == F.col("profile")) & (F.col("_f") == F.col("fold")), "left")
+    return both.select(F.col("_p").alias("profile"), F.col("_f").cast("long").alias("fold"), "m", "quota", F.coalesce("k", F.lit(0)).alias("k"))
+
+
+def _shares_sql(ratios: list[float]) -> str:
+    values = ", ".join(f"({i}::BIGINT, {r!r}::DOUBLE)" for i, r in enumerate(ratios))
+    return f"""share AS (SELECT profile, fold, m, CAST(floor(m * ratio + 1e-9::DOUBLE) AS BIGINT) AS quota
+               FROM (SELECT array_to_string(list_sort(tags), ',') AS profile, count(*) AS m FROM rec GROUP BY 1), (VALUES {values}) AS r(fold, ratio))"""
+
 
+_TENTHS, _SUBSETS = [0.1] * 10, [0.8, 0.1, 0.1]
 
-@query("stratified_folds_batched")
+
+@query("stratified_folds", f"WITH {_shares_sql(_TENTHS)} SELECT label, fold, CAST(sum(m) AS BIGINT) AS total, CAST(sum(quota) AS BIGINT) AS quota, TRUE AS balanced FROM (SELECT *, unnest(string_split(profile, ',')) AS label FROM share) GROUP BY 1, 2")
+def stratified_folds(spark, sf):
+    """Ten folds, label by label: the documents that have it, those that a fold got for certain (no more than its share of each
+    profile, rounded down), and whether what it got in all is within five documents, or a
+    twentieth, of a tenth."""
+    each = _shares(_folds(spark, sf, _TENTHS), _TENTHS).withColumn("label", F.explode(F.split("profile", ",")))
+    out = each.groupBy("label", "fold").agg(F.sum("m").alias("total"), F.sum(F.least("quota", "k")).alias("quota"), F.sum("k").alias("k"))
+    off = F.abs(F.col("k") - F.col("total") / 10)
+    return out.select("label", "fold", "total", "quota", (off <= F.greatest(F.lit(5.0), F.col("total") * 0.05)).alias("balanced"))
+
+
+@query("stratified_folds_batched", f"WITH {_shares_sql(_TENTHS)} SELECT profile, fold, m, quota, TRUE AS within FROM share")
 def stratified_folds_batched(spark, sf):
-    docs = fx.rec(spark, sf).withColumn("g", F.col("doc_id").cast("string"))
-    return fold_groups(docs, "g", "tags", [0.1] * 10, batch=500)
+    """What rounding leaves, in batches of about 50 groups: still every fold has its share of each profile, and of the rest no more
+    than there is."""
+    out = _shares(_folds(spark, sf, _TENTHS, batch=50), _TENTHS)
+    rest = F.col("m") - F.sum("quota").over(Window.partitionBy("profile"))
+    return out.select("profile", "fold", "m", "quota", F.col("k").between(F.col("quota"), F.col("quota") + rest).alias("within"))
 
 
-@query("stratified_subsets")
+@query("stratified_subsets", f"WITH {_shares_sql(_SUBSETS)} SELECT profile, fold AS subset, quota, TRUE AS within FROM share")
 def stratified_subsets(spark, sf):
-    """Rows with the subset (8:1:1) of their group."""
-    rows = fx.rec(spark, sf)
-    return rows.join(fold_groups(rows, "group_id", "tags", [0.8, 0.1, 0.1], seed=5), "group_id").select("doc_id", F.col("fold").alias("subset"))
+    """Subsets of 8:1:1."""
+    out = _shares(_folds(spark, sf, _SUBSETS, seed=5), _SUBSETS)
+    rest = F.col("m") - F.sum("quota").over(Window.partitionBy("profile"))
+    return out.select("profile", F.col("fold").alias("subset"), "quota", F.col("k").between(F.col("quota"), F.col("quota") + rest).alias("within"))
 
 
 _DRAW = draw_sql("c")
