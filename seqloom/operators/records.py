@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +94,26 @@ def sampling_weights(rows: DataFrame, label: str, length: str, weights: Column)
     return out.withColumn("weight", F.col("_w") / F.col("_total") / F.col("_min")).drop("_w", "_l", "_total", "_least", "_min")
 
 
-def aggregate_predictions(rows: DataFrame, key: str, score: str, target: str, how: str = "mean") -> DataFrame:
-    """One score for each source row; its parts must agree on the target."""
-    pick = {"mean": F.avg, "max": F.max, "min": F.min}[how]
-    out = rows.groupBy(key).agg(pick(score).alias(score), F.min(target).alias(target), F.max(target).alias("_hi"))
+#: Aggregates by name. `add_aggregate` puts in more.
+AGGREGATES: dict[str, Callable[[Column], Column]] = {
+    "mean": F.avg,
+    "max": F.max,
+    "min": F.min,
+    "median": F.median,
+    "sum": F.sum,
+}
+
+
+def add_aggregate(name: str, function: Callable[[Column], Column]) -> None:
+    """An aggregate of the user's own: a function of a column to an aggregated one, or a grouped-aggregate pandas UDF."""
+    AGGREGATES[name] = function
+
+
+def aggregate_predictions(rows: DataFrame, key: str, score: str, target: str, how: str | Callable[[Column], Column] = "mean") -> DataFrame:
+    """One score for each source row, by an aggregate's name or the aggregate itself; its parts must agree on the target."""
+    if isinstance(how, str) and how not in AGGREGATES:
+        raise ValueError(f"no aggregate {how!r}; there are {', '.join(sorted(AGGREGATES))}")
+    pick = AGGREGATES[how] if isinstance(how, str) else how
+    out = rows.groupBy(key).agg(pick(F.col(score)).alias(score), F.min(target).alias(target), F.max(target).alias("_hi"))
     agreed = F.when(F.col(target) == F.col("_hi"), F.col(target)).otherwise(F.raise_error(F.lit("targets disagree")).cast(rows.schema[target].dataType))
     return out.select(key, score, agreed.alias(target))
