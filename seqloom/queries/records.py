@@ -561,3 +561,147 @@ def prepare_annotated(spark, sf):
     rows = fx.ann(spark, sf).groupBy("user_id").agg(F.collect_set("symbol").alias("symbols"))
     steps = [prepare.merged_names("symbols", prepare.merged(["click", "view"])), prepare.supported("user_id", "symbols", 10)]
     return chained(rows, steps).select("user_id", F.array_join(F.array_sort("kept"), ",").alias("labels"))
+
+
+def _chained(rows, kind: str, **arguments):
+    from seqloom.operators import prepare
+    from seqloom.operators.signal import chained
+
+    return chained(rows, prepare.recipe(kind, **arguments))
+
+
+@query(
+    "prepare_optional_labels",
+    f"""WITH r AS (SELECT doc_id, source, quality + 1 AS l1, CASE WHEN toxic = 1 THEN 2 END AS l2 FROM documents JOIN labels USING (doc_id))
+       SELECT doc_id, CASE WHEN source <> 'src1' THEN array_to_string(list_filter([CASE WHEN l1 IS NOT NULL THEN 'q' || (l1 - 1) END, CASE WHEN l2 IS NOT NULL THEN 't' || (l2 - 1) END], lambda x: x IS NOT NULL), ',') END AS labels,
+              (row_number() OVER (PARTITION BY source ORDER BY {draw_sql("doc_id")}, doc_id) - 1) % 10 AS fold FROM r""",
+)
+def prepare_optional_labels(spark, sf):
+    """Labels counted from 1 in optional columns: matched, counted from 0, put together, taken from what is not for training, and
+    folds within each source."""
+    labels = fx.table(spark, sf, "labels").select("doc_id", (F.col("quality") + 1).alias("l1"), F.when(F.col("toxic") == 1, 2).alias("l2"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    out = _chained(
+        fx.table(spark, sf, "documents").select("doc_id", "source"),
+        "labels in optional columns",
+        matched_only=(labels, "doc_id"),
+        zero_based=("l1", "l2"),
+        composite_labels=("labels", name("q", "l1"), name("t", "l2")),
+        labels_of_part=("labels", F.col("source") != "src1"),
+        folds_within=("source", "doc_id", 10),
+    )
+    return out.select("doc_id", F.array_join("labels", ",").alias("labels"), "fold")
+
+
+@query(
+    "prepare_long_recordings",
+    f"""SELECT vec_id, {r6("list_avg(list_transform(embedding[1:40], lambda v: v::DOUBLE))")} AS mean, quality, {draw_sql("label", seed=3)} % 5 AS fold
+       FROM embeddings JOIN labels ON doc_id = vec_id WHERE len(list_filter(embedding, lambda v: v IS NULL OR isnan(v))) = 0""",
+)
+def prepare_long_recordings(spark, sf):
+    """Recordings without a hole, cut to a length, matched with diagnoses, in folds of whole patients (here: of labels)."""
+    diagnoses = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), "quality")
+    rows = fx.table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    out = _chained(rows, "long recordings of patients", complete=("embedding",), at_most_long=("embedding", 40), matched_only=(diagnoses, "vec_id"), folds_of_groups=("label", 5, 3))
+    mean = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x) / F.size("embedding")
+    return out.select("vec_id", six(mean).alias("mean"), "quality", "fold")
+
+
+@query(
+    "prepare_collections",
+    f"""WITH r AS (SELECT * FROM rec WHERE group_id IN ('src0', 'src2', 'src5') AND quality IS NOT NULL),
+       k AS (SELECT x FROM (SELECT unnest(tags) AS x FROM r) GROUP BY 1 HAVING count(*) >= 8)
+       SELECT doc_id, coalesce((SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT unnest(tags) AS x, generate_subscripts(tags, 1) AS i) WHERE x IN (SELECT x FROM k)), '') AS labels,
+              (row_number() OVER (PARTITION BY group_id ORDER BY {draw_sql("doc_id")}, doc_id) - 1) % 10 AS fold FROM r""",
+)
+def prepare_collections(spark, sf):
+    """Some of several collections, complete records only, labels with support, folds within each collection."""
+    out = _chained(fx.rec(spark, sf), "several collections", only_datasets=("group_id", ["src0", "src2", "src5"]), complete=("quality",), supported=("doc_id", "tags", 8), folds_within=("group_id", "doc_id", 10))
+    return out.select("doc_id", F.array_join("kept", ",").alias("labels"), "fold")
+
+
+@query(
+    "prepare_two_labels",
+    f"""WITH r AS (SELECT o_orderkey, o_orderstatus, [o_orderstatus, o_orderpriority] AS l, o_totalprice * 0.001::DOUBLE AS price FROM orders),
+       k AS (SELECT x FROM (SELECT unnest(l) AS x FROM r) GROUP BY 1 HAVING count(*) >= 400)
+       SELECT o_orderkey, array_to_string(list_filter(l, lambda x: list_contains(ks, x)), ',') AS labels, {r6("price")} AS price,
+              (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_FOLD}, o_orderkey) - 1) % 10 AS fold FROM r, (SELECT list(x) AS ks FROM k)""",
+)
+def prepare_two_labels(spark, sf):
+    """Two label columns as one list, values in another unit, labels with support, folds within the first label."""
+    out = _chained(fx.table(spark, sf, "orders"), "two label columns", composite_labels=("labels", F.col("o_orderstatus"), F.col("o_orderpriority")), unit=("o_totalprice", 0.001), supported=("o_orderkey", "labels", 400), folds_within=("o_orderstatus", "o_orderkey", 10))
+    return out.select("o_orderkey", F.array_join("kept", ",").alias("labels"), six(F.col("o_totalprice")).alias("price"), "fold")
+
+
+@query(
+    "prepare_readers",
+    f"""WITH o AS (SELECT o_custkey AS c, bool_or(o_orderstatus = 'O') AS a, bool_or(o_totalprice > 400000) AS b, list_sort(list(DISTINCT o_orderpriority))[1:2] AS seen FROM orders GROUP BY 1)
+       SELECT c AS c_custkey, array_to_string(list_filter([CASE WHEN a THEN 'open' END, CASE WHEN b THEN 'dear' END, CASE WHEN c_acctbal < 0 THEN 'owing' END], lambda x: x IS NOT NULL), ',') AS labels,
+              array_to_string(seen, ',') AS seen, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY {draw_sql("c")}, c) - 1) % 10 AS fold FROM customer JOIN o ON c = c_custkey""",
+)
+def prepare_readers(spark, sf):
+    """Flags that several readers gave, as labels; what they saw, cut to a length; folds within each segment."""
+    o = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+    reader = o.agg(F.bool_or(F.col("o_orderstatus") == "O").alias("a"), F.bool_or(F.col("o_totalprice") > 400000).alias("b"), F.array_sort(F.collect_set("o_orderpriority")).alias("seen"))
+    flags = [F.when(F.col("a"), "open"), F.when(F.col("b"), "dear"), F.when(F.col("c_acctbal") < 0, "owing")]
+    out = _chained(fx.table(spark, sf, "customer"), "flags of several readers", matched_only=(reader, "c_custkey"), composite_labels=("labels", *flags), at_most_long=("seen", 2), folds_within=("c_mktsegment", "c_custkey", 10))
+    return out.select("c_custkey", F.array_join("labels", ",").alias("labels"), F.array_join("seen", ",").alias("seen"), "fold")
+
+
+@query(
+    "prepare_recordings",
+    f"""WITH a AS (SELECT CASE WHEN user_id = 3 THEN 2 ELSE user_id END AS u, CASE WHEN symbol IN ('error', 'signup') THEN 'error|signup' ELSE symbol END AS x FROM ann),
+       d AS (SELECT DISTINCT u, x FROM a), k AS (SELECT x FROM d GROUP BY 1 HAVING count(*) >= 5)
+       SELECT u AS user_id, coalesce(string_agg(CASE WHEN x IN (SELECT x FROM k) THEN x END, ',' ORDER BY x), '') AS labels, {draw_sql("u", seed=4)} % 5 AS fold FROM d GROUP BY u""",
+)
+def prepare_recordings(spark, sf):
+    """Annotated recordings: two ids of one patient levelled, labels merged and supported, folds of whole patients."""
+    from seqloom.operators import prepare
+    from seqloom.operators.signal import chained
+
+    alias, *steps = prepare.recipe("annotated recordings", aliased=("user_id", {3: 2}), merged_names=("symbols", prepare.merged(["error", "signup"])), supported=("user_id", "symbols", 5), folds_of_groups=("user_id", 5, 4))
+    rows = chained(fx.ann(spark, sf), alias).groupBy("user_id").agg(F.collect_set("symbol").alias("symbols"))
+    return chained(rows, steps).select("user_id", F.array_join(F.array_sort("kept"), ",").alias("labels"), "fold")
+
+
+@query(
+    "prepare_waves",
+    f"""WITH RECURSIVE m AS (SELECT user_id, list(sample ORDER BY sample) AS p, list(CASE symbol WHEN 'click' THEN '(' WHEN 'purchase' THEN ')' ELSE symbol END ORDER BY sample) AS s FROM ann GROUP BY 1),
+       w AS (SELECT user_id, p, s, 1 AS i, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::VARCHAR AS kind FROM m
+             UNION ALL
+             SELECT user_id, p, s, i + CASE WHEN {_OPEN} AND s[i + 2] = ')' THEN 3 WHEN {_OPEN} THEN 2 WHEN {_PEAK} AND s[i + 1] = ')' THEN 2 ELSE 1 END,
+                    CASE WHEN {_OPEN} OR {_PEAK} THEN p[i] END,
+                    CASE WHEN {_OPEN} AND s[i + 2] = ')' THEN p[i + 2] WHEN {_OPEN} THEN p[i + 1] WHEN {_PEAK} AND s[i + 1] = ')' THEN p[i + 1] WHEN {_PEAK} THEN p[i] END,
+                    CASE WHEN {_OPEN} THEN s[i + 1] WHEN {_PEAK} THEN s[i] END
+             FROM w WHERE i <= len(p)),
+       g AS (SELECT user_id, start, kind, lag(kind) OVER o AS a, lead(kind) OVER o AS b FROM w WHERE kind IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY start)),
+       n AS (SELECT user_id, start, CASE WHEN kind = 'view' AND a = 'error' AND b = 'signup' THEN 'between' ELSE kind END AS kind FROM g),
+       t AS (SELECT *, min(CASE WHEN kind <> 'view' THEN start END) OVER u AS lo, max(CASE WHEN kind <> 'view' THEN start END) OVER u AS hi FROM n WINDOW u AS (PARTITION BY user_id))
+       SELECT user_id, kind, count(*) AS n FROM t WHERE start BETWEEN lo AND hi GROUP BY 1, 2""",
+)
+def prepare_waves(spark, sf):
+    """Delineated recordings: waves from marks, gaps named by their neighbours, background cut off at the ends, and how many there
+    are of each kind."""
+    s = F.when(F.col("symbol") == "click", "(").when(F.col("symbol") == "purchase", ")").otherwise(F.col("symbol"))
+    waves = delineate_(fx.ann(spark, sf).select("user_id", "sample", s.alias("symbol"))).select("user_id", "start", "kind")
+    named = ops.gap_relabel(waves, "user_id", "start", "kind", "view", {("error", "signup"): "between"})
+    return ops.edge_trim(named, "user_id", "start", "kind", "view").groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "prepare_loader",
+    f"""WITH s AS (SELECT list_sort(list(l)) AS itos FROM (SELECT l FROM (SELECT unnest(tags) AS l FROM rec) GROUP BY 1 HAVING count(*) >= 45)),
+       r AS (SELECT doc_id, n_chars, {draw_sql("doc_id", seed=6)} % 10 AS fold, list_transform(itos, lambda x: CASE WHEN list_contains(tags, x) THEN 1 ELSE 0 END) AS hot FROM rec, s)
+       SELECT CASE WHEN fold < 8 THEN 'train' WHEN fold = 8 THEN 'valid' ELSE 'test' END AS part, i AS class, count(*) AS chunks, CAST(sum(hot[i + 1]) AS BIGINT) AS positive
+       FROM (SELECT fold, hot, unnest(range(0, n_chars, 1000)) AS start FROM r), (SELECT unnest(range(0, len(itos))) AS i FROM s) GROUP BY 1, 2""",
+)
+def prepare_loader(spark, sf):
+    """From records to what a loader serves: supported labels as a vector of zeros and ones, parts by fold (all but the last two, the
+    one before the last, the last), and chunks of 1,000 positions, counted by part and class."""
+    rows = ops.label_support(fx.rec(spark, sf), "doc_id", "tags", 45)
+    hot = F.transform("itos", lambda x: F.array_contains("tags", x).cast("int"))
+    fold = F.expr(draw_sql("doc_id", seed=6)) % 10
+    part = F.when(fold < 8, "train").when(fold == 8, "valid").otherwise("test")
+    chunks = sequences.stride_chunks(rows.select(part.alias("part"), "n_chars", hot.alias("hot")), "n_chars", 1000)
+    each = chunks.select("part", F.posexplode("hot").alias("class", "x"))
+    return each.groupBy("part", F.col("class").cast("long").alias("class")).agg(F.count("*").alias("chunks"), F.sum("x").alias("positive"))
