@@ -6,6 +6,7 @@ the steps of a sampler are a loop inside the map.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -73,6 +74,22 @@ class TraceDenoiser:
             w |= {f"a{i}": np.exp(-np.exp(rng.normal(-2, 0.5, d_model))), f"b{i}": draw(d_model, d_model), f"c{i}": draw(d_model, d_model), f"d{i}": rng.normal(0, 1, d_model), f"f{i}": draw(d_model, 4 * d_model), f"g{i}": draw(4 * d_model, d_model)}
         return TraceDenoiser(steps, d_model, w, layers)
 
+    def saved(self) -> bytes:
+        """The model as an .npz archive."""
+        out = io.BytesIO()
+        np.savez_compressed(out, steps=self.steps, d_model=self.d_model, layers=self.layers, **{f"w_{k}": v for k, v in self.weights.items()})
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> TraceDenoiser:
+        """A model from an .npz archive; a missing weight or a wrong shape is an error that names it."""
+        with np.load(io.BytesIO(data), allow_pickle=False) as z:
+            out = TraceDenoiser(int(z["steps"]), int(z["d_model"]), {k[2:]: z[k] for k in z.files if k.startswith("w_")}, int(z["layers"]))
+        for name, own in TraceDenoiser.initial(out.d_model, out.layers, out.steps).weights.items():
+            if name not in out.weights or out.weights[name].shape != own.shape:
+                raise ValueError(f"no weight {name} of shape {own.shape}")
+        return out
+
     def embed(self, k: np.ndarray) -> np.ndarray:
         half = self.d_model // 2
         arg = k[:, None] * np.exp(-np.log(10000.0) * np.arange(half) / max(half - 1, 1))

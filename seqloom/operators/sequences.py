@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import ranges
+from seqloom.tables import materialize
 
 
 def vocabulary(events: DataFrame, event: str, base: int = 0) -> DataFrame:
@@ -71,11 +72,24 @@ def batches(rows: DataFrame, order: list[str], coarse: Column, size: int) -> Dat
     return numbered.withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
-def encode(traces: DataFrame, vocabulary_: DataFrame, event: str) -> DataFrame:
-    """Sequences of events as sequences of ids; events that the vocabulary lacks become null. The map has one entry for each
-    vocabulary entry and travels as one row."""
-    lookup = vocabulary_.agg(F.map_from_entries(F.collect_list(F.struct(event, "id"))).alias("_map"))
-    return traces.crossJoin(F.broadcast(lookup)).withColumn("seq", F.transform("seq", lambda x: F.element_at("_map", x))).drop("_map")
+#: Entries of a vocabulary that goes to every row as one map; of a larger one, events are looked up by a join.
+MAP_ENTRIES = 10_000
+
+
+def encode(traces: DataFrame, vocabulary_: DataFrame, event: str, most: int = MAP_ENTRIES) -> DataFrame:
+    """Sequences of events as sequences of ids; events that the vocabulary lacks become null. A vocabulary of at most `most` entries
+    is one row with a map; a larger one meets the events, one by one, by a join, and sequences are put together again."""
+    if vocabulary_.limit(most + 1).count() <= most:
+        lookup = vocabulary_.agg(F.map_from_entries(F.collect_list(F.struct(event, "id"))).alias("_map"))
+        return traces.crossJoin(F.broadcast(lookup)).withColumn("seq", F.transform("seq", lambda x: F.element_at("_map", x))).drop("_map")
+    own = materialize(traces.withColumn("_row", F.monotonically_increasing_id()), "encode-traces")
+    each = own.select("_row", F.posexplode("seq").alias("_i", "_e"))
+    each = each.join(vocabulary_.select(F.col(event).alias("_event"), F.col("id").alias("_id")), F.col("_e") == F.col("_event"), "left")
+    back = each.groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("_i", "_id"))).alias("_p"))
+    kind = f"array<{vocabulary_.schema['id'].dataType.simpleString()}>"
+    empty = F.when(F.col("seq").isNotNull(), F.array().cast(kind))
+    out = own.join(back, F.col("_row") == F.col("_of"), "left").withColumn("seq", F.coalesce(F.transform("_p", lambda x: x["_id"]), empty))
+    return out.drop("_row", "_of", "_p")
 
 
 def islands(rows: DataFrame, key: str, position: str, most: int = ranges.MOST) -> DataFrame:
