@@ -229,6 +229,15 @@ def forecast_mse(spark, sf):
     return fx.daily(spark, sf).where("t > 168").agg(F.round(F.avg(error * error), 2).alias("mse"), F.count("*").alias("n"))
 
 
+_BLACK = f"{ops.draw_sql('vec_id', seed=32)} % 3"
+
+
+@query("mask_blackout_parts", f"SELECT vec_id, t, ch, CASE WHEN t >= p * ({L} // 3) + least(p, {L} % 3) AND t < (p + 1) * ({L} // 3) + least(p + 1, {L} % 3) THEN 0 ELSE 1 END AS keep FROM (SELECT *, {_BLACK} AS p FROM series)")
+def mask_blackout_parts(spark, sf):
+    """The same one of three nearly equal parts is missing in all channels of a series."""
+    return ops.mask_array_split(fx.series(spark, sf), L, 3, shared=True, seed=32).select(*KEYS, "keep")
+
+
 @query("impute_rmse_mae", f"SELECT {r6('sqrt(sum((med - value) * (med - value)) / count(*))')} AS rmse, {r6('sum(abs(med - value)) / count(*)')} AS mae FROM {_MISS} JOIN {_SAMPLED} USING (vec_id, t, ch)")
 def impute_rmse_mae(spark, sf):
     """Against the lower median of six samples: the five, and one of 1.2 times the value."""
@@ -359,6 +368,14 @@ def csdi_reverse_step(spark, sf):
     return _steps(spark, sf).select(*KEYS, six(mean + F.when(F.col("k") > 0, F.col("sigma") * F.cos("eps")).otherwise(0.0)).alias("x"))
 
 
+@query("draw_steps", f"SELECT vec_id, {ops.draw_sql('vec_id', seed=31)} % 200 AS t, {r6('sqrt(alpha_bar)')} AS keep, {r6('sqrt(1 - alpha_bar)')} AS noise FROM embeddings JOIN alpha ON t = {ops.draw_sql('vec_id', seed=31)} % 200")
+def draw_steps(spark, sf):
+    """A step of the schedule drawn for each series, evenly over all steps, and the shares of series and noise at it."""
+    drawn = fx.table(spark, sf, "embeddings").select("vec_id", (ops.draw("vec_id", seed=31) % 200).alias("t"))
+    bar = F.col("alpha_bar")
+    return drawn.join(ops.alpha_bar(fx.sched(spark, sf)), "t").select("vec_id", "t", six(F.sqrt(bar)).alias("keep"), six(F.sqrt(1 - bar)).alias("noise"))
+
+
 def _long(rows, key: str, c: str):
     return rows.select(key, F.posexplode(c).alias("i", "v")).select(key, F.col("i").cast("long").alias("i"), six(F.col("v")).alias("v"))
 
@@ -415,6 +432,34 @@ def flatten(spark, sf):
     return rows.select("user_id", ids_text(F.flatten(F.transform("_p", lambda x: x["seq"]))).alias("flat"))
 
 
+@query(
+    "concat_axes",
+    f"""SELECT axis, vec_id, t, ch, {r6("value")} AS value FROM (
+       SELECT 0 AS axis, vec_id + part * (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, t, ch, value * (1 + part) AS value FROM series, (SELECT unnest([0, 1]) AS part)
+       UNION ALL SELECT 1, vec_id, t + part * {L}, ch, value * (1 + part) FROM series, (SELECT unnest([0, 1]) AS part)
+       UNION ALL SELECT 2, vec_id, t, ch + part * {C}, value * (1 + part) FROM series, (SELECT unnest([0, 1]) AS part))""",
+)
+def concat_axes(spark, sf):
+    """Two arrays of series (the second is twice the first) put together along the samples, the steps or the channels."""
+    rows = fx.series(spark, sf)
+    n = rows.agg((F.max("vec_id") + 1).alias("n"))
+    out = None
+    for axis, (column, size) in enumerate((("vec_id", F.col("n")), ("t", F.lit(L)), ("ch", F.lit(C)))):
+        second = rows.crossJoin(F.broadcast(n)).withColumns({column: F.col(column) + size, "value": F.col("value") * 2}).drop("n")  # one row with the number
+        both = rows.unionByName(second).select(F.lit(axis).alias("axis"), *KEYS, six(F.col("value")).alias("value"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("arg_extremes", "SELECT vec_id, ch, arg_min(t, (v, t)) AS lowest, arg_min(t, (-v, t)) AS highest, min(t) FILTER (WHERE v > 0) AS first_positive FROM (SELECT vec_id, ch, t, round(value * 4) AS v FROM series) GROUP BY 1, 2")
+def arg_extremes(spark, sf):
+    """Where each channel is lowest and highest, the first of ties, and where it first is above zero; values are rounded, so there are ties."""
+    v = F.round(F.col("value") * 4)
+    rows = fx.series(spark, sf).select("vec_id", "ch", "t", v.alias("v"))
+    first = F.min(F.when(F.col("v") > 0, F.col("t")))
+    return rows.groupBy("vec_id", "ch").agg(F.min(F.struct("v", "t"))["t"].alias("lowest"), F.min(F.struct(-F.col("v"), "t"))["t"].alias("highest"), first.alias("first_positive"))
+
+
 @query("channels_except", "SELECT vec_id, array_to_string(list_filter([0, 1, 2, 3], lambda c: c <> vec_id % 4), ',') AS rest FROM embeddings")
 def channels_except(spark, sf):
     rest = F.array_except(F.array(*[F.lit(i).cast("long") for i in range(C)]), F.array(F.col("vec_id") % C))

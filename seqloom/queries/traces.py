@@ -394,3 +394,11 @@ def parse_record_name(spark, sf):
     pattern = "^.{4}([0-9]+)_N([0-9]+)$"
     rows = fx.table(spark, sf, "events").withColumn("_name", name).where(F.col("_name").rlike(pattern))
     return rows.select("user_id", "event_id", *[F.regexp_extract("_name", pattern, i).try_cast("long").alias(n) for i, n in ((1, "exam"), (2, "record"))])
+
+
+@query("experiment_names", "SELECT user_id, 'T' || n || '_beta0' || '0.0001' || '_betaT' || CASE WHEN n % 2 = 0 THEN '0.02' ELSE '0.5' END AS name FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def experiment_names(spark, sf):
+    """The name of an experiment with as many steps as the user has events."""
+    n = fx.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    last = F.when(F.col("n") % 2 == 0, "0.02").otherwise("0.5")
+    return n.select("user_id", F.format_string("T%d_beta0%s_betaT%s", F.col("n"), F.lit("0.0001"), last).alias("name"))
