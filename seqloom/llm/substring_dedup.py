@@ -10,7 +10,7 @@ they are unique. Documents meet on the seeds that are left (a join on the seed's
 Extension: around each place of a shared seed, the text is extended both ways to every window that selected it, and an
 extension counts as a match if the same LENGTH words are found from another place (128-bit hashes, compared by the least and
 the greatest place of each, so a group of any size is reduced before it is shuffled and no pairs are formed). Matches that
-follow each other merge to maximal repeats, whose words go.
+follow each other merge to runs, whose words go (a run may be made of repeats with several partners).
 
 Texts that are equal as a whole need no seeds: they are classes of one key, of which a single member takes part; all words of
 such a text are removed if it has a window at all.
@@ -149,7 +149,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, .
     """Remove all words of windows that occur more than once.
 
     Returns one row for each row of `docs`: the columns in `carry` as they are, n_words, n_removed, kept_text (the words that
-    stay, joined by one blank), and repeats (the maximal repeats that are removed, as [first, last) word numbers). Words are
+    stay, joined by one blank), and repeats (the runs that are removed, as [first, last) word numbers; adjoining repeats
+    are one run). Words are
     runs of anything but ASCII white space. A null text has no words and an empty kept_text; a text of fewer than `length`
     words keeps them all. Rows with equal texts, repeated rows included, are repeats of each other. An empty table gives none.
     Ids may be null or repeated: nothing is joined on them. Other columns are ignored, whatever their names; of carried columns
