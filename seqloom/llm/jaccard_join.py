@@ -39,8 +39,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.store import discard, materialize
+from seqloom.llm.store import added_up, discard, materialize
 from seqloom.llm.textkernels import document_words, mix64, signed, slices, text_buffer, window_hashes
+from seqloom.operators.sequences import running_sums
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 FRAGMENTS, BUCKET_BITS, PIECE = 8, 21, 1 << 16
@@ -48,6 +49,8 @@ FRAGMENTS, BUCKET_BITS, PIECE = 8, 21, 1 << 16
 BLOCK, GRAMS, PACK = 256, 1 << 20, 128
 #: N-grams of at most FEW sets of a block are counted pair by pair, others as columns of a matrix, so many at once.
 FEW, COLUMNS = 16, 1 << 13
+#: Tasks that blocks are dealt to, about, at the most.
+MOST_TASKS = 20_000
 #: How often sets with too many empty cells are dealt anew.
 DEALS = 4
 #: Keys of sets that a task remembers, to let only the first of equal ones through.
@@ -151,7 +154,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(zlib.decompress(packed.as_py()), "<u4").astype(np.uint64)
+            raw = zlib.decompress(packed.as_py())
+            own = np.frombuffer(raw, "<u4" if len(raw) == 4 * PIECE else "<u8").astype(np.uint64)  # of a task, or of a level
             total[piece] = total[piece] + own if piece in total else own
     if total:
         packed = [zlib.compress(x.astype("<u8").tobytes(), 1) for x in total.values()]
@@ -162,8 +166,7 @@ def _order(pieces: DataFrame) -> Order:
     """Add up the counts of all tasks. The driver gets the sums: 2**BUCKET_BITS numbers, whatever the corpus."""
     n = (1 << BUCKET_BITS) // PIECE
     counts = np.zeros(1 << BUCKET_BITS, np.float64)
-    # Each of the exchange's partitions holds whole pieces, so every piece arrives once.
-    for r in pieces.select("piece", "counts").repartition(n, "piece").mapInArrow(_added, "piece int, counts binary").collect():
+    for r in added_up(pieces.select("piece", "counts"), n, _added).collect():
         counts[r[0] * PIECE : (r[0] + 1) * PIECE] += np.frombuffer(zlib.decompress(r[1]), "<u8")
     return Order.of(counts)
 
@@ -460,6 +463,18 @@ def _all_pairs(rows: DataFrame, group: str) -> DataFrame:
     return rows.select(of.alias("of"), side.alias("side"), "set_key", "n", "copies")
 
 
+def _by_load(work: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks with the number of their task, and how many tasks: blocks follow each other, and a task takes those that begin within its
+    share of all rows, so none gets more than its share and the rest of one block."""
+    work = materialize(work, "near-work")
+    loads = work.groupBy("of").agg(F.count("*").alias("_rows"))
+    placed = materialize(running_sums(loads, ["of"], F.shiftright("of", 52), "_rows", "_at"), "near-loads")
+    total = placed.agg(F.sum("_rows")).first()[0] or 0
+    share = max(2 * BLOCK, total // MOST_TASKS)
+    tasks = placed.select("of", F.floor(F.col("_at") / share).cast("int").alias("_task"))
+    return work.join(tasks, "of"), total // share + 1
+
+
 def _around_heads(rows: DataFrame) -> DataFrame:
     """Blocks (of, side, set_key, n, copies) of the rows (head, set_key, n, copies); a head is in all blocks of its group."""
     size = rows.groupBy("head").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
@@ -504,8 +519,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links with, those of an equal set included). A-Z are lowered; words are runs of anything but ASCII white space; a text of
     fewer than WORDS words has one shingle of all of them. A null or wordless text has an empty set and links with nothing:
     its component is its own id. Rows with a null id take part; their component is the least id of those they reach, or null.
-    Links of repeated ids are links of that id's rows, each judged by its own text. An empty table gives none. Other columns
-    are ignored, whatever their names.
+    Links of repeated ids are links of that id's rows, each judged by its own text. An empty table gives none. A long text is
+    one set, with eight bytes a shingle; it fills blocks by its shingles. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -566,8 +581,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(meeting)
 
     def may(work: DataFrame) -> DataFrame:
-        both = work.join(each.select("set_key", "bits"), "set_key").select("of", "side", "set_key", "n", "component", "bits")
-        return materialize(both.repartition("of").sortWithinPartitions("of").mapInArrow(_may(numerator, denominator), "a long, b long"), "near-may")
+        work, tasks = _by_load(work)
+        both = work.join(each.select("set_key", "bits"), "set_key").select("_task", "of", "side", "set_key", "n", "component", "bits")
+        both = both.repartitionById(tasks, F.col("_task")).drop("_task").sortWithinPartitions("of")
+        return materialize(both.mapInArrow(_may(numerator, denominator), "a long, b long"), "near-may")
 
     # Step 4: each class in the group of the head that it shares most with, and each head in its own.
     nearest = groups.groupBy("set_key", "n", "copies").agg(F.max(F.struct("shared", "head")).alias("_best")).select(F.col("_best.head").alias("head"), "set_key", "n", "copies")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.samples import fold, labelled_texts
+from seqloom.llm.store import added_up
 from seqloom.llm.textkernels import SLICE_BYTES, byte_class, mix64, slices, span_hashes, text_buffer
 
 DIM, NONZERO, WINDOW, HIDDEN = 24, 4, 2, 16
@@ -197,8 +198,7 @@ def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     gets the sums of all tasks: BUCKETS + SHAPES rows, whatever the corpus."""
     total = np.zeros((BUCKETS + SHAPES, DIM + 1), np.int64)
     pieces = texts.select("text").mapInArrow(_context_sums, "piece int, sums binary")
-    # Each of the exchange's partitions holds whole pieces, so every piece arrives once.
-    for piece, packed in pieces.repartition(len(total) // PIECE, "piece").mapInArrow(_added, "piece int, sums binary").collect():
+    for piece, packed in added_up(pieces, len(total) // PIECE, _added).collect():
         total[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(zlib.decompress(packed), "<i8").reshape(-1, DIM + 1)
     sums = total[:, :DIM].astype(np.float64)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -256,7 +256,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """Score whole texts.
 
     Returns one row for each row (repeated rows stay repeated): doc_id, score (0 to 1), predicted (1 from THRESHOLD on). A null
-    text scores as an empty one, whose pooled vector is zero. An empty table gives none. Other columns are ignored, whatever their names.
+    text scores as an empty one, whose pooled vector is zero. An empty table gives none. Long texts are pooled in parts, so
+    memory does not grow with them; a score that ties with THRESHOLD is predicted 1. Other columns are ignored, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.tables import discard, materialize, shared_dir
 
-__all__ = ["columns", "discard", "fresh", "materialize", "shared_dir", "with_carried"]
+__all__ = ["added_up", "columns", "discard", "fresh", "materialize", "shared_dir", "with_carried"]
 
 
 def with_carried(df: DataFrame, carry: dict[str, Column], more: list[Column], run: Callable, schema: str, results: tuple[str, ...]) -> DataFrame:
@@ -37,3 +37,19 @@ def fresh(taken: list[str], *names: str) -> tuple[str, ...]:
         used.add(name.lower())
         out.append(name)
     return tuple(out)
+
+
+#: Tasks whose sums one task adds up.
+FAN_IN = 256
+
+
+def added_up(pieces: DataFrame, n: int, run: Callable) -> DataFrame:
+    """One row a piece from the rows (piece, sums) of all tasks; `run`, for mapInArrow, adds up the pieces that a task has got. With many
+    tasks it goes in levels, FAN_IN to one, so that no task reads what all tasks have made."""
+    schema, tasks = pieces.schema, pieces.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        dealt = pieces.withColumn("_group", F.spark_partition_id() % tasks).repartition(n * tasks, "piece", "_group")
+        pieces = dealt.drop("_group").mapInArrow(run, schema)
+    # Each of the exchange's partitions holds whole pieces, so every piece arrives once.
+    return pieces.repartition(n, "piece").mapInArrow(run, schema)

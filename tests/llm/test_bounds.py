@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontamination, language_id, samples, token_codec, toxicity
+from seqloom.llm import decontamination, jaccard_join, language_id, quality, samples, store, token_codec, toxicity
 
 
 def test_every_class_is_learned(spark):
@@ -61,3 +61,32 @@ def test_equal_and_long_items_are_dealt(spark):
     assert one == many
     n = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.decontaminate(docs, bench, tables=200_000).collect()}
     assert n == {1: (40, 500), 2: (20, 1), 3: (3, 0), 4: (0, 0)}
+
+
+def test_blocks_are_dealt_by_load(spark):
+    """Whole blocks, and no task gets more than its share and the rest of one block."""
+    rng = random.Random(5)
+    sizes = {rng.randrange(-(2**63), 2**63): rng.choice([1, 2, 500, 512]) for _ in range(60)}
+    work = spark.createDataFrame([(of, i) for of, n in sizes.items() for i in range(n)], "of long, set_key long").repartition(3)
+    dealt, tasks = jaccard_join._by_load(work)
+    rows = dealt.groupBy("_task", "of").count().collect()
+    assert {r.of: r["count"] for r in rows} == sizes and len(rows) == len(sizes)
+    loads = Counter()
+    for r in rows:
+        loads[r._task] += r["count"]
+    assert max(loads) < tasks and max(loads.values()) <= 4 * jaccard_join.BLOCK and len(loads) > 0.8 * tasks
+    empty, one = jaccard_join._by_load(work.limit(0))
+    assert empty.count() == 0 and one == 1
+
+
+def test_counts_are_added_in_levels(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 50}" for j in range(30))) for i in range(300)], "doc_id long, text string").repartition(20)
+    once = quality.word_vectors(texts)
+    monkeypatch.setattr(store, "FAN_IN", 3)
+    again = quality.word_vectors(texts)
+    assert (once[0] == again[0]).all() and (once[1] == again[1]).all() and once[0].any()
+    rows = texts.select(F.col("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(jaccard_join._classes, "doc_id long, key long, n long, set_key long, piece int, counts binary")
+    pieces = rows.where("piece IS NOT NULL").select("piece", "counts")
+    levels = {r.piece: bytes(r.counts) for r in store.added_up(pieces, 4, jaccard_join._added).collect()}
+    monkeypatch.setattr(store, "FAN_IN", 1000)
+    assert levels == {r.piece: bytes(r.counts) for r in store.added_up(pieces, 4, jaccard_join._added).collect()} and len(levels) == 32
