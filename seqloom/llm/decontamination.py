@@ -212,7 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     inside an occurrence), n_items and item_ids (items with an occurring window, sorted as strings), runs ([first, last) word
     numbers of what is hit). A null or wordless text has no words and no hits; null items and items without words have no
     windows. Items with a null id are searched like the others, but not listed; items that share an id count as one. An empty
-    benchmark hits nothing, an empty table gives none. Other columns are ignored, whatever their names; of carried columns with
+    benchmark hits nothing, an empty table gives none. Texts of any length are searched as a whole, in one pass. Other columns are ignored, whatever their names; of carried columns with
     the names above the results win, unless `results` gives others to these five.
     """
     spark, own = docs.sparkSession, columns(carry)

@@ -156,7 +156,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
 
     Returns one row for each row (repeated rows stay repeated): the columns in `carry` as they are, lang_pred, score (the
     confidence, 0 to 1), rejected. A null text, or one without a letter, is `und` with score 0 and is rejected; so is every
-    row if the model knows no language. An empty table gives none. Other columns are ignored, whatever their names; of carried
+    row if the model knows no language. An empty table gives none. Long texts are summed in parts. Of equally
+    probable languages the first by name is predicted. Other columns are ignored, whatever their names; of carried
     columns with the names above the results win, unless `results` gives other names to lang_pred, score and rejected.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -185,7 +185,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     `license_id` (null: not a known licence), `n_license_lines`, how many lines are entirely a known notice, and
     `line_licenses`, their distinct ids sorted and joined by commas (empty for none). Ids may be null or repeated; nothing is
     joined on them. A null text has a null digest, no licence and no lines; an empty text has the digest of the empty form, and
-    no licence. An empty table gives an empty table. Other columns of `docs` are ignored, whatever their names.
+    no licence. A text of any length is one form and one digest, and a row for each
+    of its lines inside the scan. An empty table gives an empty table. Other columns of `docs` are ignored, whatever their names.
 
     `known` (license_digest, license_id) may have any size; of rows that share a digest the first id by name counts, and rows
     with a null are left out. It is broadcast only up to BROADCAST_ROWS rows. The default is a constant.

@@ -383,7 +383,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     For each row (repeated rows stay repeated): the UTF-8 bytes of the text (null: none), padded with zero bytes to a positive
     multiple of SAMPLE, are wrapped by `wrap`; the container is parsed again and the payload fetched through its sample
     tables. Columns: id, n_bytes (without padding), payload_bytes, payload_sha256 and tail_crc32 (of the last 64 bytes) of
-    what was read back, media_bytes and media_sha256 of the container, feature (codec, duration and keyframes as text). An empty
+    what was read back, media_bytes and media_sha256 of the container, feature (codec, duration and keyframes as text). A text of
+    any length is one container, held in memory about four times; one beyond 4 GB would need wider sizes and is an error. An empty
     table gives none; other columns are ignored, whatever their names.
     """
 

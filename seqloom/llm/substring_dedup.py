@@ -149,9 +149,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", carry: tuple[str, .
     """Remove all words of windows that occur more than once.
 
     Returns one row for each row of `docs`: the columns in `carry` as they are, n_words, n_removed, kept_text (the words that
-    stay, joined by one blank), and repeats (the runs that are removed, as [first, last) word numbers; adjoining repeats
-    are one run). Words are
-    runs of anything but ASCII white space. A null text has no words and an empty kept_text; a text of fewer than `length`
+    stay, joined by one blank), and repeats (the runs that are removed, as [first, last) word numbers; adjoining repeats are
+    one run). Words are runs of anything but ASCII white space. A long text takes eight bytes a word while it is hashed. A null text has no words and an empty kept_text; a text of fewer than `length`
     words keeps them all. Rows with equal texts, repeated rows included, are repeats of each other. An empty table gives none.
     Ids may be null or repeated: nothing is joined on them. Other columns are ignored, whatever their names; of carried columns
     with the names above the results win, unless `results` gives others to these four.

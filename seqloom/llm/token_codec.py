@@ -308,8 +308,9 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
 
     Returns one row for each row (repeated rows stay repeated): doc_id, n_tokens, ids_sha256 (over little-endian unsigned
     32-bit ids), decoded_sha256 (over the decoded bytes), n_bytes, `matches` (the decoded bytes equal the text's), and with
-    `with_ids` the ids themselves as array<int>. A null text counts as empty: no tokens, the digests of nothing. Other columns
-    are ignored, whatever their names.
+    `with_ids` the ids themselves as array<int>. A null text counts as empty: no tokens, the digests of nothing. An empty
+    table gives none. A text of any length is encoded as a whole and takes memory in proportion to it; a single pre-token of n bytes is
+    merged in n log n steps. Of equally ranked merges the leftmost goes first. Other columns are ignored, whatever their names.
     """
     codec = docs.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "matches", *["ids"] * with_ids]
