@@ -16,7 +16,9 @@ the scans of whole files.
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -34,13 +36,17 @@ ROWS = 65_536
 
 
 def found(path: str, suffix: str) -> list[str]:
-    """The files below a path (or the file itself), in order."""
+    """The files below a path (or the file itself), in order; what begins with _ or . is not there yet."""
     path = path.removeprefix("file://")
     if os.path.isfile(path):
         return [path]
     if not os.path.isdir(path):
         raise FileNotFoundError(path)
-    return sorted(os.path.join(folder, name) for folder, _, names in os.walk(path) for name in names if name.lower().endswith(suffix) and not name.startswith(("_", ".")))
+    out = []
+    for folder, folders, names in os.walk(path):
+        folders[:] = [x for x in folders if not x.startswith(("_", "."))]
+        out += [os.path.join(folder, name) for name in names if name.lower().endswith(suffix) and not name.startswith(("_", "."))]
+    return sorted(out)
 
 
 @dataclass
@@ -163,45 +169,41 @@ class _Written(WriterCommitMessage):
 
 
 class _NpyWriter(DataSourceArrowWriter):
-    """Every task writes files of its own under a name for the attempt; the commit gives them their names, an abort removes them."""
+    """Every task writes files of its own into a folder of the job that readers do not see; the commit moves them out of it, an abort
+    removes it (what a task that is still running writes there later stays unseen)."""
 
     def __init__(self, schema: StructType, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.job = uuid.uuid4().hex
+        self.pending = f"{self.path}/_pending-{self.job}"
         self.at = [f.name for f in schema.fields].index("value")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        os.makedirs(f"{self.path}/_pending", exist_ok=True)
+        os.makedirs(self.pending, exist_ok=True)
         rows: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for x in batch.column(self.at):
                 rows.setdefault(len(x.values), []).append(np.asarray(x.values, float))
         files = []
         for width, own in sorted(rows.items()):
-            files.append(f"part-{task.partitionId():05d}-{width}-{task.taskAttemptId()}.npy")
-            np.save(f"{self.path}/_pending/{files[-1]}", np.stack(own), allow_pickle=False)
+            files.append(f"part-{task.partitionId():05d}-{width}-{task.taskAttemptId()}-{self.job[:8]}.npy")
+            np.save(f"{self.pending}/{files[-1]}", np.stack(own), allow_pickle=False)
         return _Written(files)
 
     def commit(self, messages: list[_Written | None]) -> None:
         before = found(self.path, ".npy") if self.overwrite else []
         for m in messages:
             for name in m.files if m else []:
-                os.replace(f"{self.path}/_pending/{name}", f"{self.path}/{name}")
+                os.replace(f"{self.pending}/{name}", f"{self.path}/{name}")
         for file in before:
-            if "/_pending/" not in file:
-                os.remove(file)
-        self._cleared([])
+            os.remove(file)
+        shutil.rmtree(self.pending, ignore_errors=True)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._cleared([name for m in messages for name in (m.files if m else [])])
-
-    def _cleared(self, names: list[str]) -> None:
-        for name in names:
-            os.remove(f"{self.path}/_pending/{name}")
-        if os.path.isdir(f"{self.path}/_pending") and not os.listdir(f"{self.path}/_pending"):
-            os.rmdir(f"{self.path}/_pending")
+        shutil.rmtree(self.pending, ignore_errors=True)
 
 
 # Records with a text header
