@@ -28,7 +28,7 @@ from seqloom.llm.textkernels import mix64, slices, span_hashes, text_buffer
 MAX_VOCABULARY = 1_000_000
 #: Pre-tokens whose ids a worker keeps, and their characters at the most, so that what it keeps is bounded in bytes; when they are
 #: more, those not met since the last time are let go. Only speed depends on it.
-MEMO, MEMO_LENGTH = 150_000, 64
+MEMO, MEMO_LENGTH = 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
