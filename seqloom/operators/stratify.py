@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators import ranges
 from seqloom.operators.sequences import row_numbers
 from seqloom.tables import materialize
 
@@ -125,27 +126,16 @@ def stratified_folds(rows: DataFrame, group: str, labels: str, ratios: list[floa
     return numbered.where(F.col("fold").isNotNull()).select("group_", "fold").unionByName(assigned).withColumnRenamed("group_", group)
 
 
-def delineate(rows: DataFrame) -> DataFrame:
+def delineate(rows: DataFrame, most: int = ranges.MOST) -> DataFrame:
     """(user_id, start, end, kind) waves from annotation symbols: an opening mark, a peak and a closing mark make a wave; a peak
-    without an opening or closing mark begins or ends at itself. One key's marks are read in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        at, symbol, out, i = pdf["sample"].tolist(), pdf["symbol"].tolist(), [], 0
-        while i < len(at):
-            if symbol[i] == "(" and i + 2 < len(at) and symbol[i + 2] == ")" and symbol[i + 1] not in "()":
-                out.append((at[i], at[i + 2], symbol[i + 1]))
-                i += 3
-            elif symbol[i] == "(" and i + 1 < len(at) and symbol[i + 1] not in "()":
-                out.append((at[i], at[i + 1], symbol[i + 1]))
-                i += 2
-            elif symbol[i] not in "()":
-                closed = i + 1 < len(at) and symbol[i + 1] == ")"
-                out.append((at[i], at[i + 1] if closed else at[i], symbol[i]))
-                i += 1 + closed
-            else:
-                i += 1
-        key = pdf["user_id"].iloc[0] if len(pdf) else 0
-        return pd.DataFrame({"user_id": [key] * len(out), "start": [x[0] for x in out], "end": [x[1] for x in out], "kind": [x[2] for x in out]}).astype({"user_id": "int64", "start": "int64", "end": "int64", "kind": "object"})
-
-    return rows.groupBy("user_id").applyInPandas(run, "user_id long, start long, end long, kind string")
+    without an opening or closing mark begins or ends at itself.
+
+    An opening mark is never part of the wave before it, and a closing mark behind a peak always is of that peak's wave. So each peak
+    is one wave, and the marks next to it tell its ends: nothing is read in order. A mark without a place is its key's last."""
+    mark = F.struct("sample", "symbol")
+    own = rows.select("user_id", "sample", "symbol", F.coalesce("sample", F.lit(1 << 62)).alias("_at"), mark.alias("_mark"))
+    own = materialize(ranges.ranged(own, "user_id", "_at", most), "marks")
+    own = ranges.neighbour(ranges.neighbour(own, "user_id", "_at", "_mark", "_before"), "user_id", "_at", "_mark", "_after", forwards=False)
+    end = lambda side, symbol: F.when(F.col(side)["symbol"] == symbol, F.col(side)["sample"]).otherwise(F.col("sample"))
+    peaks = own.where(~F.col("symbol").isin("(", ")"))
+    return peaks.select("user_id", end("_before", "(").alias("start"), end("_after", ")").alias("end"), F.col("symbol").alias("kind"))

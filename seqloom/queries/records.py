@@ -12,6 +12,7 @@ from seqloom.operators.series import draw_sql
 from seqloom.operators.stratify import delineate as delineate_
 from seqloom.operators.stratify import stratified_folds as fold_groups
 from seqloom.plans import fixtures as fx
+from seqloom.tables import materialize
 
 query = fx.Registry()
 
@@ -684,6 +685,7 @@ def prepare_waves(spark, sf):
     are of each kind."""
     s = F.when(F.col("symbol") == "click", "(").when(F.col("symbol") == "purchase", ")").otherwise(F.col("symbol"))
     waves = delineate_(fx.ann(spark, sf).select("user_id", "sample", s.alias("symbol"))).select("user_id", "start", "kind")
+    waves = materialize(waves, "waves")  # read for ranges, neighbours on both sides, and ends
     named = ops.gap_relabel(waves, "user_id", "start", "kind", "view", {("error", "signup"): "between"})
     return ops.edge_trim(named, "user_id", "start", "kind", "view").groupBy("user_id", "kind").agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import ranges, records, sequences, series
+from seqloom.operators import ranges, records, sequences, series, stratify
 
 HUGE = 1 << 40
 
@@ -137,3 +137,33 @@ def test_batches_have_each_row_once(spark):
     sizes = {r.batch: r["count"] for r in out.groupBy("batch").count().collect()}
     assert sizes == {i: 10 if i < 10 else 3 for i in range(11)}
     assert out.select("batch", "slot").distinct().count() == 103
+
+
+def waves_in_order(marks):
+    """Marks of a key read one after another."""
+    at, symbol, out, i = [x[0] for x in marks], [x[1] for x in marks], [], 0
+    peak = lambda j: j < len(at) and symbol[j] not in ("(", ")", None)
+    closing = lambda j: j < len(at) and symbol[j] == ")"
+    while i < len(at):
+        if symbol[i] == "(" and peak(i + 1):
+            step = 3 if closing(i + 2) else 2
+            out.append((at[i], at[i + step - 1], symbol[i + 1]))
+        elif peak(i):
+            step = 2 if closing(i + 1) else 1
+            out.append((at[i], at[i + step - 1], symbol[i]))
+        else:
+            step = 1
+        i += step
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, HUGE])
+def test_waves_need_no_order(spark, most):
+    """Also without a key, a place or a symbol, with an empty symbol, and without a task that holds a key's marks."""
+    rng = random.Random(8)
+    of = {k: [(t, rng.choice(["(", ")", "N", "p", "", None])) for t in sorted(rng.sample(range(900), n))] for k, n in [(1, 300), (2, 40), (3, 1), (None, 30)]}
+    of[4] = [(7, "("), (9, "N"), (None, ")")]
+    df = spark.createDataFrame([(k, t, s) for k, v in of.items() for t, s in v], "user_id long, sample long, symbol string").repartition(3)
+    out = stratify.delineate(df, most)
+    assert both(out) == sorted(((k, *w) for k, v in of.items() for w in waves_in_order(v)), key=repr)
+    assert "Pandas" not in out._jdf.queryExecution().toString() and out.columns == ["user_id", "start", "end", "kind"]
