@@ -22,7 +22,7 @@ from seqloom.llm.samples import fold, labelled_texts
 from seqloom.llm.textkernels import slices, text_buffer
 
 BITS, ORDERS = 19, (3, 4, 5)
-#: At most about so many rows of each class are learned from, and so many buckets of a row.
+#: At most about so many rows of each class are learned from. So many buckets of a row are sent as numbers; the rest of them as bits.
 TRAIN_ROWS, ROW_BUCKETS = 2000, 1 << 15
 #: Bytes whose n-grams are held at once.
 SLICE = 1 << 20
@@ -63,39 +63,62 @@ def _once(buckets: np.ndarray, last: np.ndarray) -> np.ndarray:
     return buckets[last[buckets] == at]
 
 
-def training_features(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """(label, distinct buckets) of (doc_id, text, label) rows, in the order of their ids; computed on the executors."""
+class Features(list):
+    """(label, distinct buckets) of each row, and in `rest` what rows of more than ROW_BUCKETS have beyond these, as (row's place, bits):
+    2**BITS bits, however long the text is."""
+
+    def __init__(self, rows, rest=()):
+        super().__init__(rows)
+        self.rest = list(rest)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row's place, buckets): each bucket of a row occurs once in all its parts."""
+        for i, (_, buckets) in enumerate(self):
+            yield i, buckets
+        for i, bits in self.rest:
+            yield i, np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+
+
+def _bits(buckets: np.ndarray) -> bytes:
+    out = np.zeros(1 << BITS, np.uint8)
+    out[buckets] = 1
+    return np.packbits(out).tobytes()
+
+
+def training_features(rows: DataFrame) -> Features:
+    """All features of (doc_id, text, label) rows, in the order of their ids; computed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            # Buckets are hashes: the lowest of them are a fair sample of a long text's n-grams.
-            out = [np.sort(x)[:ROW_BUCKETS].astype("<i4").tobytes() if len(x) > ROW_BUCKETS else x.astype("<i4").tobytes() for x in _distinct(data, off, last)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "bucket"])
+            out = [np.sort(x) if len(x) > ROW_BUCKETS else x for x in _distinct(data, off, last)]
+            first = pa.array([x[:ROW_BUCKETS].astype("<i4").tobytes() for x in out], pa.binary())
+            rest = pa.array([_bits(x[ROW_BUCKETS:]) if len(x) > ROW_BUCKETS else None for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), first, rest], ["doc_id", "label", "bucket", "rest"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bucket binary").collect()
-    got.sort(key=lambda r: (r[0] is not None, r[0], bytes(r[2])))
-    return [(r[1], np.frombuffer(r[2], "<i4")) for r in got]
+    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bucket binary, rest binary").collect()
+    got.sort(key=lambda r: (r[0] is not None, r[0], bytes(r[2]), bytes(r[3] or b"")))
+    return Features(((r[1], np.frombuffer(r[2], "<i4")) for r in got), ((i, r[3]) for i, r in enumerate(got) if r[3] is not None))
 
 
-def train(rows: list[tuple[int, np.ndarray]], rounds: int = 200, rate: float = 0.5, penalty: float = 1e-4, smooth: float = 1.0) -> ToxicityModel:
+def train(rows: Features, rounds: int = 200, rate: float = 0.5, penalty: float = 1e-4, smooth: float = 1.0) -> ToxicityModel:
     """Log-count ratios, then the logistic regression. Without rows of both classes the score is the share of toxic rows."""
     size = 1 << BITS
     y = np.array([r[0] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(size, np.float32), 4.0 if len(y) and y[0] else -4.0)
     total, toxic = np.zeros(size), np.zeros(size)
-    for label, buckets in rows:  # each bucket occurs once in a row
+    for i, buckets in rows.parts():
         total[buckets] += 1
-        if label:
+        if y[i]:
             toxic[buckets] += 1
     other = total - toxic
     ratio = np.log((toxic + smooth) / (y.sum() + 2 * smooth)) - np.log((other + smooth) / (len(y) - y.sum() + 2 * smooth))
     ratio[total < LEAST_ROWS] = 0.0
     ratio[np.abs(ratio) < 0.7] = 0.0  # neither class's
-    kept = [b[ratio[b] != 0] for _, b in rows]
-    every, row = np.concatenate(kept).astype(np.int64), np.repeat(np.arange(len(y)), [len(b) for b in kept])
+    kept = [(i, b[ratio[b] != 0]) for i, b in rows.parts()]
+    every, row = np.concatenate([b for _, b in kept]).astype(np.int64), np.repeat([i for i, _ in kept], [len(b) for _, b in kept])
     value = ratio[every]
     scale = 1.0 / max(1.0, float(np.sqrt(np.bincount(row, weights=value * value, minlength=len(y)).mean())))
     value = value * scale
